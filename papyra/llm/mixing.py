@@ -26,7 +26,7 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 2048
 SHARD_SLOTS = 1024
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 SLOT_CHUNK = 4096
 WALK = 64
 
