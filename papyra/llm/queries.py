@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing
+from . import decontaminate, language, lines, mixing
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -23,9 +29,34 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op6_language": op6_language,
     "op9_mixing": op9_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+lines AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM parts),
+worded AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM lines),
+firsts AS (
+  SELECT words, len(words) AS n, min(struct_pack(d := doc_id, p := pos)) AS f
+  FROM worded WHERE len(words) > 0 GROUP BY words),
+variants AS (
+  SELECT f, n, i, list_concat(words[1:i - 1], words[i + 1:]) AS rest
+  FROM firsts, unnest(range(1, n + 1)) AS t(i) WHERE n >= 5),
+near AS (
+  SELECT f FROM (SELECT f, min(f) OVER (PARTITION BY n, i, rest) AS m FROM variants) WHERE f <> m
+  UNION
+  SELECT CASE WHEN v.f > s.f THEN v.f ELSE s.f END AS f FROM variants v JOIN firsts s ON s.words = v.rest),
+kept AS (SELECT f.d AS doc_id, f.p AS pos FROM firsts WHERE f NOT IN (SELECT f FROM near)),
+judged AS (
+  SELECT w.doc_id, w.line, w.pos, len(w.words) > 0 AS has_words, len(w.words) = 0 OR k.pos IS NOT NULL AS stays
+  FROM worded w LEFT JOIN kept k ON k.doc_id = w.doc_id AND k.pos = w.pos),
+rebuilt AS (
+  SELECT doc_id, count(*) FILTER (has_words) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS kept
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM rebuilt""",
+}
