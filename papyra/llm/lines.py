@@ -9,10 +9,10 @@ place; this is judged on the input, not on what is left.
 
 Near lines share a variant: the line as it is, or less one word. Emitting all
 variants of all lines would write the text many times over, so a key join comes
-first: a line of n words is cut at the quarters of N = n and N = n + 1, and for
-each quarter the rest of the line is a key. One edit lies in one quarter, so near
+first: a line of n words is cut at the halves of N = n and N = n + 1, and for
+each quarter the rest of the line is a key. One edit lies in one half, so near
 lines share a key, and only lines that share one emit variants, within that
-quarter alone. A variant's hash is an exclusive or of word hashes tagged with
+half alone. A variant's hash is an exclusive or of word hashes tagged with
 their place from the left or from the right, taken from running windows, so a
 long line costs no more a word than a short one. Lines that share a variant with
 an earlier line are verified on their words.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import WORD, staged
 
 MIN_WORDS = 5
-PARTS = 4
+PARTS = 2
 
 
 def _lines(text: Column) -> Column:
@@ -40,7 +40,8 @@ def _lines(text: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(0))
+    plain = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(line, r"[\x09\x0B-\x0D]", " ")).otherwise(line)
+    return F.filter(F.split(plain, " ", -1), lambda word: word != "")
 
 
 def _cut(n: Column, part: int) -> Column:
@@ -48,7 +49,7 @@ def _cut(n: Column, part: int) -> Column:
 
 
 def _part_key(words: Column, n: Column, more: int, part: int) -> Column:
-    """Hash of what lies outside a quarter of a line of n words, cut as one of n + more."""
+    """Hash of what lies outside a half of a line of n words, cut as one of n + more."""
     full = n + more
     before, after = _cut(full, part), full - _cut(full, part + 1)
     key = F.xxhash64(full, F.lit(part), F.slice(words, F.lit(1), before), F.slice(words, n - after + 1, after))
@@ -57,12 +58,9 @@ def _part_key(words: Column, n: Column, more: int, part: int) -> Column:
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """One row per distinct line with words: its hashes, length, earliest place and part keys."""
-    occurrences = (
-        docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-        .select("doc_id", "pos", _words(F.col("line")).alias("words"))
-        .withColumn("n", F.size("words"))
-        .where("n > 0")
-    )
+    # Words are split once, inside the generator, and only their hashes leave it.
+    hashed = F.transform(_lines(F.col("text")), lambda line: F.transform(_words(line), lambda word: F.xxhash64(word)))
+    occurrences = docs.select("doc_id", F.posexplode(hashed).alias("pos", "words")).withColumn("n", F.size("words")).where("n > 0")
     names = [(more, part) for more in (0, 1) for part in range(PARTS)]
     keyed = occurrences.select(
         F.xxhash64("words").alias("h"),
@@ -76,19 +74,19 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def _sharing(lines: DataFrame) -> DataFrame:
-    """Lines and quarters that share a part key with another line."""
+    """Lines and halves that share a part key with another line."""
     parts = F.array(
         *[
-            F.struct(F.lit(more).alias("more"), F.lit(part).alias("part"), F.col(f"k{more}{part}").alias("key"))
+            F.struct(F.lit(more).cast("byte").alias("more"), F.lit(part).cast("byte").alias("part"), F.col(f"k{more}{part}").alias("key"))
             for more in (0, 1)
             for part in range(PARTS)
         ]
     )
-    keys = lines.select("h", "h2", "n", "place", F.explode(parts).alias("p")).where("p.key is not null")
-    keys = keys.select("h", "h2", "n", "place", "p.more", "p.part", "p.key")
+    keys = lines.select("h", F.explode(parts).alias("p")).select("h", "p.*").where("key is not null")
     # Two rows of more = 1 alone are lines of equal length that would also meet at more = 0.
     often = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("more").alias("least")).where("c > 1 and least = 0").select("key")
-    return keys.join(often, "key")
+    shared = keys.join(often, "key").groupBy("h").agg(F.collect_set(F.struct("key", "more", "part")).alias("shared"))
+    return lines.select("h", "h2", "n", "place").join(shared, "h")
 
 
 def _with_words(docs: DataFrame, at: DataFrame) -> DataFrame:
@@ -104,13 +102,13 @@ def _with_words(docs: DataFrame, at: DataFrame) -> DataFrame:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """Hashed variants of the shared quarters: less the word at ``i``, or whole with a gap at ``i``."""
+    """Hashed variants of the shared halves: less the word at ``i``, or whole with a gap at ``i``."""
     each = lines.select("h", "place", "n", "words", F.explode("shared").alias("s")).select("h", "place", "n", "words", "s.*")
     full = F.col("n") + F.col("more")
     start = F.floor(full * F.col("part") / PARTS).cast("int")
     stop = F.floor(full * (F.col("part") + 1) / PARTS).cast("int") - F.col("more")
     size = stop - start
-    # A whole quarter has a gap after its last word too, where a null stands.
+    # A whole half has a gap after its last word too, where a null stands.
     segment = F.concat(F.slice("words", start + 1, size), F.when(F.col("more") == 1, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
     each = each.select("h", "place", "key", "more", size.alias("m"), F.posexplode(segment).alias("i", "word"))
     left = F.coalesce(F.xxhash64("word", "i"), F.lit(0))
@@ -145,8 +143,7 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def near_copies(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Hashes ``(h, h2)`` of the lines that have a near line which occurs earlier."""
-    shared = _sharing(lines).groupBy("h", "h2", "n", "place").agg(F.collect_set(F.struct("key", "more", "part")).alias("shared"))
-    candidates = staged(_with_words(docs, shared), "near_lines")
+    candidates = staged(_with_words(docs, _sharing(lines)), "near_lines")
     variants = _variants(candidates)
     groups = variants.groupBy("variant").agg(F.min(F.struct("place", "h")).alias("first"), F.count("*").alias("c")).where("c > 1")
     pairs = (
