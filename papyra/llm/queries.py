@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, lines, mixing
-from .common import table
+from . import decontaminate, html_text, jaccard, language, licences, lines, mixing, warc
+from .common import shared_dir, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +21,33 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = f"{shared_dir(spark)}/papyra/warc-{uuid.uuid4().hex}"
+    warc.write(pages, path)
+    found = warc.resolved(warc.read(spark, path, payloads=False))
+    kind = dict(pages.dtypes)["page_id"]
+    return found.select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))["taken"]
 
@@ -35,11 +55,34 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_html_text": op5_html_text,
     "op6_language": op6_language,
+    "op7_warc": op7_warc,
     "op8_jaccard": op8_jaccard,
     "op9_mixing": op9_mixing,
+    "op10_licences": op10_licences,
 }
 
+def _licence_sql() -> str:
+    """The scan in DuckDB's dialect, from the operator's fixed values."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    cleaned = f"regexp_replace(lower(%s), {quoted(licences.COPYRIGHT_LINE)}, '', 'g')"
+    for pattern, replacement in licences.SPELLINGS:
+        cleaned = f"regexp_replace({cleaned}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
+    cleaned = f"regexp_replace({cleaned}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    joined = "trim(regexp_replace(%s, '[ \\n]+', ' ', 'g'))"
+    values = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licences.KNOWN)
+    return f"""
+WITH known AS (SELECT DISTINCT sha256({joined % (cleaned % "t")}) AS digest, i AS licence FROM (VALUES {values}) AS v(i, t)),
+cleaned AS (SELECT doc_id, {cleaned % "coalesce(text, '')"} AS c FROM documents),
+units AS (
+  SELECT doc_id, sha256({joined % "c"}) AS whole, unnest(list_concat([c], string_split(c, chr(10)), regexp_split_to_array(c, '\\n *\\n'))) AS u FROM cleaned),
+digests AS (SELECT DISTINCT doc_id, whole, sha256({joined % "u"}) AS digest FROM units)
+SELECT doc_id, whole AS digest, max(CASE WHEN k.digest = whole THEN licence END) AS licence,
+  coalesce(string_agg(DISTINCT licence, ',' ORDER BY licence), '') AS licences, count(licence) AS n_found
+FROM digests LEFT JOIN known k USING (digest) GROUP BY doc_id, whole"""
+
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
@@ -64,4 +107,17 @@ rebuilt AS (
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS kept
   FROM judged GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM rebuilt""",
+    "op7_warc": r"""
+WITH heads AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hexed AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h FROM heads),
+fives AS (SELECT page_id, n, h, list_transform(range(8), lambda k: ('0x' || substr(h, 5 * k + 1, 5))::BIGINT) AS v FROM hexed),
+coded AS (
+  SELECT page_id, n, list_aggregate(list_transform(range(32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)), 'string_agg', '') AS digest
+  FROM fives),
+original AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS o FROM coded)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> o THEN o END AS refers_to FROM original""",
+    "op10_licences": _licence_sql(),
 }
