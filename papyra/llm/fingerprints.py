@@ -87,9 +87,9 @@ def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of all documents and their edited texts, and their likeness."""
     placed = _ordered(docs)
     # A bucket's first document by doc_id and text; the hash only breaks ties of equal rows.
-    first_ids = placed.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
-    same = (placed["bucket"] == first_ids["bucket"]) & placed["doc_id"].eqNullSafe(first_ids["doc_id"])
-    firsts = placed.join(first_ids, same).select(placed["bucket"], placed["doc_id"], "text").groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
+    first_ids = placed.groupBy(F.col("bucket").alias("b")).agg(F.min("doc_id").alias("i"))
+    firsts = placed.join(first_ids, (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("i")))
+    firsts = firsts.groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
     order = Window.orderBy("bucket")
     firsts = staged(
         firsts.withColumn("last", F.max("bucket").over(Window.partitionBy()))
