@@ -1,20 +1,63 @@
-"""The corpus pipeline: stages that each apply one operator of papyra.llm."""
+"""The corpus pipeline: five stages, each one operator of papyra.llm.
+
+Documents whose language is unknown go; lines that repeat an earlier one go, and
+documents left without a line; of documents that are near copies one stays;
+documents that hold a benchmark item go; the rest is mixed to target weights.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from papyra.llm import mixing
+from papyra.llm import decontaminate, jaccard, language, lines, mixing
 from papyra.llm.common import staged, table
 
+#: A text's language counts as known from this share of its n-grams on.
+LEAST_SCORE = 0.15
+#: Near copies: shingles of five words, similar at 80 per cent.
+SHINGLE, PERCENT = 5, 80
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found; the model learns from all that have a lang."""
+    found = language.predict(docs, language.train(docs), keep=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the lines that occur earlier; those that lose all their lines go."""
+    found = lines.dedup(docs).where("n_lines = 0 or n_removed < n_lines")
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id."""
+    kept = jaccard.join(docs, SHINGLE, PERCENT).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)["taken"]
+    """Documents of which the mix takes words, with size, target and words taken."""
+    taken = mixing.mix(docs)["taken"].where("taken > 0").withColumnRenamed("doc_id", "mixed_id")
+    return docs.join(taken, docs["doc_id"] == taken["mixed_id"]).drop("mixed_id")
 
 
-STAGES = [("mixing", mix_sources)]
+STAGES = [
+    ("language ID", known_language),
+    ("line dedup", unique_lines),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", no_benchmark),
+    ("mixing", mix_sources),
+]
 
-#: SQL cannot express language ID and mixing.
+#: SQL cannot express language ID and mixing; tests hold them against brute force.
 ORACLE_SQL = None
 
 
@@ -22,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each writing the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)
