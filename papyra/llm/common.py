@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -26,11 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    Cuts the lineage with a table that survives lost executors.
+    Cuts the lineage with a table that survives lost executors. The shuffle files
+    behind it are of no more use; Spark deletes them once the driver has collected
+    its garbage, which is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/papyra/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

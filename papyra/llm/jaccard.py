@@ -44,6 +44,8 @@ SHINGLE = 4
 PERCENT = 85
 MIN_SEGMENT = 5
 SMALL_GROUP = 8
+FEW_PAIRS = 64
+SKETCH_BITS = 1024
 SHARD_BYTES = 16 << 20
 
 
@@ -54,7 +56,7 @@ class Bands:
         self.percent = percent
         self.low: list[int] = []
         self.high: list[int] = []
-        self.segments: list[tuple[int, int, int]] = []
+        self.segments: list[tuple[int, int, int, int]] = []
         lo = 1
         while (lo * (100 - percent)) // percent < 1:
             lo += 1  # smaller sets are similar to equal ones only
@@ -68,17 +70,16 @@ class Bands:
             self.high.append(hi)
             self.segments.append(self.allocate(lo, hi))
 
-    def allocate(self, lo: int, hi: int) -> tuple[int, int, int]:
-        """Number of budget-2 and of budget-1 segments, and of spare ones among the latter."""
+    def allocate(self, lo: int, hi: int) -> tuple[int, int, int, int]:
+        """Number of budget-2 and of budget-1 segments, and of both kinds of spare ones among the latter."""
         need = hi * (100 - self.percent) // self.percent + 1
         for two in range(need // 2 + 1):
-            one = need - 2 * two
-            if lo >= MIN_SEGMENT * (two + one):
+            if lo >= MIN_SEGMENT * (two + need - 2 * two):
                 break
-        if two:
-            return two, max(0, need - 2 * two), 0
-        spare = 1 + need // 40
-        return (0, need + spare, spare) if lo >= MIN_SEGMENT * (need + spare) * 0.9 else (0, need, 0)
+        if two or need < 4:
+            return two, max(0, need - 2 * two), 0, 0
+        short, large = 1 + need // 10, 1 + need // 25
+        return 0, need + short + large, short, large
 
     def of(self, n: int) -> list[int]:
         """The bands whose smaller sets may be similar to a set of n."""
@@ -94,15 +95,15 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     out = []
     place, value = mix(shingles, 1), mix(shingles, 2)
     for g in bands.of(len(shingles)):
-        two, one, spare = bands.segments[g]
+        two, one, short, _ = bands.segments[g]
         m = two + one
         seg = ((place >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         total = np.zeros(m, dtype=np.uint64)
         np.add.at(total, seg, value)
-        held = np.bincount(seg, minlength=m) > 0
+        held = np.bincount(seg, minlength=m) > 1
         salts = mix(np.arange(m, dtype=np.uint64), 1000 + g)
         whole = mix(total ^ salts)
-        out.append(whole if not spare or m - np.count_nonzero(held) > spare else whole[held])
+        out.append(whole if m - np.count_nonzero(held) > short else whole[held])
         if two:
             near = seg < two
             out.append(mix((total[seg[near]] - value[near]) ^ salts[seg[near]]))
@@ -116,19 +117,37 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """The parity of the number of shingles in each of SKETCH_BITS buckets.
+
+    Sets differ in at least as many shingles as their sketches in bits.
+    """
+    at = (mix(shingles, 5) >> np.uint64(32)) * np.uint64(SKETCH_BITS) >> np.uint64(32)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, s1, s2``: each document's number of shingles and its set's hashes."""
-    schema = docs.select("doc_id").schema.add("n", "long").add("s1", "long").add("s2", "long")
+def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Each document's number of shingles, set hashes, sketch, and large groups that its spare segments cover."""
+    schema = docs.select("doc_id").schema
+    for name, kind in (("n", "long"), ("s1", "long"), ("s2", "long"), ("sketch", "binary"), ("spare", "long")):
+        schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
         for batch in batches:
-            rows = [(len(s), *set_hash(s)) for s in shingle_sets(_bytes(batch.column(1)), k)]
-            columns = zip(*rows, strict=True) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=schema.names)
+            n, hashes, sketches, spare = [], [], [], []
+            for s in shingle_sets(_bytes(batch.column(1)), k):
+                n.append(len(s))
+                hashes.append(set_hash(s))
+                sketches.append(sketch(s) if len(s) >= bands.first else b"")
+                spare.append(min([bands.segments[g][3] for g in bands.of(len(s))], default=0))
+            a, b = zip(*hashes, strict=True) if hashes else ([], [])
+            columns = [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketches, pa.binary()), pa.array(spare, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -169,7 +188,7 @@ def _signed(docs: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "shard int, sig binary, times binary, s1 binary, s2 binary, n binary")
 
 
-def _meet(percent: int):
+def _meet(percent: int, small_group: int):
     """Of one shard's signatures: candidate pairs (kind 0) and members of large groups (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -186,13 +205,13 @@ def _meet(percent: int):
         start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, dtype=np.int64)
         size = np.diff(np.append(start, len(sig)))
         lefts, rights = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
-        for s in range(2, SMALL_GROUP + 1):
+        for s in range(2, small_group + 1):
             members = owner[start[size == s][:, None] + np.arange(s)]
             for i, j in combinations(range(s), 2):
                 lefts.append(members[:, i])
                 rights.append(members[:, j])
         group = np.repeat(np.arange(len(size)), size)
-        big = size[group] > SMALL_GROUP
+        big = size[group] > small_group
         first, last = owner[start][group[big]], owner[start + size - 1][group[big]]
         me = owner[big]
         same = np.append(group[big][1:] == group[big][:-1], False) if len(me) else np.zeros(0, dtype=bool)
@@ -246,81 +265,149 @@ def _as_class(rows: DataFrame, classes: DataFrame, one: str, two: str, name: str
     return rows.join(ids, [one, two]).drop(one, two)
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that their sizes and sketches do not rule out."""
+    one = classes.select(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
+    two = classes.select(F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for i in (3, 5)]
+            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+            a_n, b_n = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            ok = (apart * (100 + percent) <= (a_n + b_n) * (100 - percent)) & (np.minimum(a_n, b_n) * 100 >= np.maximum(a_n, b_n) * percent)
+            yield batch.filter(pa.array(ok)).select(["a", "b"])
+
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "a_n", "a_sketch", "b_n", "b_sketch")
+    return joined.mapInArrow(run, pairs.select("a", "b").schema)
+
+
+def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``class, text`` of the classes in ``wanted.id``: a text of the class's smallest doc_id with the class's set."""
+    need = classes.join(wanted.select(F.col("id").alias("class")).distinct(), "class", "left_semi").select("class", "s1", "s2")
+    found = need.join(docs.where("text is not null").select("doc_id", "text"), F.col("class") == F.col("doc_id")).select("class", "text", "s1", "s2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = [set_hash(s) == h for s, h in zip(shingle_sets(_bytes(batch.column(1)), k), own, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["class", "text"])
+
+    return found.mapInArrow(run, found.select("class", "text").schema)
+
+
+def _with_rivals(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The classes of ``texts`` with too few shingles of their own to rule out a similar one."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-total // (2 * SHARD_BYTES)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(_bytes(batch.column(1)), k))
+            # Sets are sorted, so a shard's shingles are a range of each.
+            bounds = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
+            cuts = [np.concatenate([[0], np.searchsorted(x, bounds), [len(x)]]) for x in sets]
+            ids, n = np.array(batch.column(0).to_pylist(), dtype=np.int64), np.array([len(x) for x in sets], dtype=np.int64)
+            for shard in range(shards):
+                own = [x[c[shard] : c[shard + 1]] for x, c in zip(sets, cuts, strict=True)]
+                parts = [np.concatenate(own) if own else np.zeros(0, dtype=np.uint64), np.array([len(x) for x in own], dtype=np.int32), ids, n]
+                columns = [pa.array([shard], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "shingles", "times", "ids", "n"])
+
+    def count(table: pa.Table) -> pa.Table:
+        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
+        shingles, ids, n = join("shingles", np.uint64), join("ids", np.int64), join("n", np.int64)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), join("times", np.int32))
+        order = np.argsort(shingles)
+        shingles, owner = shingles[order], owner[order]
+        new = np.append(True, shingles[1:] != shingles[:-1]) if len(shingles) else np.zeros(0, dtype=bool)
+        alone = new & np.append(new[1:], True) if len(shingles) else new
+        return pa.table([pa.array(ids), pa.array(n), pa.array(np.bincount(owner[alone], minlength=len(ids)).astype(np.int64))], names=["class", "n", "own"])
+
+    dealt = texts.select("class", "text").mapInArrow(deal, "shard int, shingles binary, times binary, ids binary, n binary")
+    counted = dealt.groupBy("shard").applyInArrow(count, "class long, n long, own long").groupBy("class").agg(F.first("n").alias("n"), F.sum("own").alias("own"))
+    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return counted.where(F.col("own") < size).select("class")
+
+
 def _prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The rarest shingles of each class, one of which any similar class must have too."""
+    schema = texts.select("class").schema.add("shingle", "long").add("n", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, s in enumerate(shingle_sets(_bytes(batch.column(1)), k)):
-                ids = pa.array(np.full(len(s), i, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(ids), pa.array(s.view(np.int64)), pa.array(np.full(len(s), len(s), dtype=np.int64))], names=["class", "shingle", "n"]
-                )
+                own = batch.column(0).take(pa.array(np.full(len(s), i, dtype=np.int64)))
+                columns = [own, pa.array(s.view(np.int64)), pa.array(np.full(len(s), len(s), dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    schema = texts.select("class").schema.add("shingle", "long").add("n", "long")
     rows = staged(texts.select("class", "text").mapInArrow(run, schema), "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("c"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
     rarest = Window.partitionBy("class").orderBy("c", "shingle")
     needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ranked = rows.join(often.where("c > 1"), "shingle", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("place", F.row_number().over(rarest))
-    return ranked.where((F.col("place") <= needed) & (F.col("c") > 1)).select("class", "shingle", "n")
+    ranked = rows.join(often, "shingle", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("place", F.row_number().over(rarest))
+    return ranked.where((F.col("place") <= needed) & (F.col("c") > 1)).select("class", "shingle")
+
 
+def _across(members: DataFrame, key: str) -> DataFrame:
+    """Pairs ``(a, b)`` of members with equal keys in different components."""
+    other = members.select(key, F.col("id").alias("b"), F.col("part").alias("b_part"))
+    pairs = members.select(key, F.col("id").alias("a"), "part").join(other, key)
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("part") != F.col("b_part"))).select("a", "b").distinct()
 
-def _similar_sizes(percent: int) -> Column:
-    return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+
+def _in_parts(rows: DataFrame, found: DataFrame, *ids: str) -> DataFrame:
+    """Add to each id column its component so far, as ``<id>_part``."""
+    grown = components(found)
+    for c in ids:
+        part = grown.select(F.col("id").alias(c), F.col("component_id").alias("__part"))
+        rows = rows.join(part, c, "left").withColumn(f"{c}_part", F.coalesce("__part", c)).drop("__part")
+    return rows
 
 
-def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Documents with their class (``doc_id, n, class``), and links that connect similar classes."""
-    sets = staged(_sets(docs, k), "sets")
+def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, small_group: int = SMALL_GROUP, few_pairs: int = FEW_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """Documents with their class (``doc_id, n, class``), and verified links that connect similar classes."""
+    sets = staged(_sets(docs, k, percent), "sets")
     classes = staged(
-        sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), F.first("n").alias("n")),
-        "classes",
+        sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), *[F.first(c).alias(c) for c in ("n", "sketch", "spare")]), "classes"
     )
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    met = staged(_signed(docs, k, percent, shards).groupBy("shard").applyInArrow(_meet(percent), MEET_SCHEMA), "met")
-    pairs = met.where("kind = 0").select("a1", "a2", "b1", "b2").distinct()
-    pairs = _as_class(_as_class(pairs, classes, "a1", "a2", "a"), classes, "b1", "b2", "b")
-    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    members = staged(_as_class(met.where("kind = 1").select("sig", F.col("a1"), F.col("a2")), classes, "a1", "a2", "id"), "members")
+    met = staged(_signed(docs, k, percent, shards).groupBy("shard").applyInArrow(_meet(percent, small_group), MEET_SCHEMA), "met")
+
+    pairs = _as_class(_as_class(met.where("kind = 0").drop("kind", "sig").distinct(), classes, "a1", "a2", "x"), classes, "b1", "b2", "y")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+    pairs = staged(_possible(pairs, classes, percent), "pairs")
+    members = met.where("kind = 1").select("sig", F.col("a1").alias("s1"), F.col("a2").alias("s2")).join(classes.select("s1", "s2", "class", "spare"), ["s1", "s2"])
+    members = members.select("sig", F.col("class").alias("id"), "spare")
+    busy = members.groupBy("id").agg(F.count("*").alias("c"), F.first("spare").alias("spare")).where("c > spare").select("id")
+    members = staged(members.select("sig", "id").join(busy, "id"), "members")
+
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id"))
     texts = staged(_class_texts(docs, classes, wanted, k), "texts")
-    found = staged(_verified(pairs, texts, k, percent), "links")
-    grown = components(found)
-    placed = members.join(grown, "id", "left").withColumn("part", F.coalesce("component_id", "id"))
-    open_groups = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("sig")
-    hot = staged(placed.join(open_groups, "sig").select("id", "part").distinct(), "open")
-    if not hot.isEmpty():
-        prefix = _prefixes(texts.join(hot.select(F.col("id").alias("class")), "class"), k, percent)
-        prefix = staged(prefix.join(hot.withColumnRenamed("id", "class"), "class"), "prefixes")
-        other = prefix.select("shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("part").alias("b_part"))
-        more = (
-            prefix.withColumnRenamed("class", "a").join(other, "shingle")
-            .where((F.col("a") < F.col("b")) & (F.col("part") != F.col("b_part")) & _similar_sizes(percent))
-            .select("a", "b").distinct()
-        )
-        found = staged(found.union(_verified(more, texts, k, percent)), "links")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = staged(_verified(first, texts, k, percent), "links")
+    rest = _in_parts(pairs.join(first, ["a", "b"], "left_anti"), found, "a", "b").where("a_part <> b_part").select("a", "b")
+    found = staged(found.union(_verified(rest, texts, k, percent)), "links")
+
+    placed = _in_parts(members, found, "id").withColumnRenamed("id_part", "part")
+    each = placed.groupBy("sig", "part").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+    crossing = each.where("c * c > cc").select("sig", ((F.col("c") * F.col("c") - F.col("cc")) / 2 <= few_pairs).alias("few"))
+    open_ = staged(placed.join(crossing, "sig"), "open")
+    more = _across(open_.where("few"), "sig")
+    many = open_.where("not few").select(F.col("id").alias("class"), "part").distinct()
+    if not many.isEmpty():
+        rivals = staged(_with_rivals(texts.join(many.select("class"), "class"), k, percent), "rivals")
+        prefix = _prefixes(texts.join(rivals, "class"), k, percent)
+        more = more.union(_across(staged(prefix.join(many, "class").withColumnRenamed("class", "id"), "prefixes"), "shingle")).distinct()
+    more = staged(_possible(more.join(pairs, ["a", "b"], "left_anti"), classes, percent), "more")
+    found = staged(found.union(_verified(more, texts, k, percent)), "links")
     return sets.join(classes.select("s1", "s2", "class"), ["s1", "s2"], "left").select("doc_id", "n", "class"), found
 
 
-def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``class, text`` of the classes in ``wanted.id``: a text of the class's smallest doc_id with the class's set."""
-    need = classes.join(wanted.select(F.col("id").alias("class")).distinct(), "class", "left_semi").select("class", "s1", "s2")
-    found = need.join(docs.where("text is not null").select("doc_id", "text"), F.col("class") == F.col("doc_id")).select("class", "text", "s1", "s2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            keep = [set_hash(s) == h for s, h in zip(shingle_sets(_bytes(batch.column(1)), k), own, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["class", "text"])
-
-    return found.mapInArrow(run, found.select("class", "text").schema)
-
-
-def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, **groups: int) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    rows, found = links(docs, k, percent)
+    rows, found = links(docs, k, percent, **groups)
     grown = components(found).withColumnRenamed("id", "class")
     return rows.join(grown, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "class", "doc_id").alias("component_id")
