@@ -88,7 +88,8 @@ def compare(docs: DataFrame) -> DataFrame:
     placed = _ordered(docs)
     # A bucket's first document by doc_id and text; the hash only breaks ties of equal rows.
     first_ids = placed.groupBy(F.col("bucket").alias("b")).agg(F.min("doc_id").alias("i"))
-    firsts = placed.join(first_ids, (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("i")))
+    # One row a bucket, and MOST_BUCKETS buckets and one for null ids at most.
+    firsts = placed.join(F.broadcast(first_ids), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("i")))
     firsts = firsts.groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
     order = Window.orderBy("bucket")
     firsts = staged(
