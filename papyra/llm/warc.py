@@ -8,7 +8,7 @@ each response's payload against its digest, and joins revisits to originals by
 record id.
 
 Archives are text files whose line separator is a record's end, CR LF CR LF, so
-Spark's writer makes them in whatever store the path names.
+Spark's writer makes them, compressed, in whatever store the path names.
 
 Defined results: null html counts as empty, a null url as none; empty payloads
 are deduplicated like others if ``min_bytes`` is 0; rows that repeat a page_id
@@ -20,6 +20,7 @@ be of any size, as only its largest page_id is gathered, and the join may split
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -83,11 +84,13 @@ def records(decided: DataFrame, date: str = DATE) -> DataFrame:
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -> None:
     out = records(decide(pages, min_bytes), date)
-    out.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    out.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes) -> Iterator[dict]:
-    """Records of one archive file."""
+    """Records of one archive file, compressed or not."""
+    if archive[:2] == b"\x1f\x8b":
+        archive = gzip.decompress(archive)
     at = 0
     while at < len(archive):
         end = archive.index(b"\r\n\r\n", at)
