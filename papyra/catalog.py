@@ -596,13 +596,12 @@ def read_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Our own rules, over the words of the given tables.
 REWRITES = [
-    (r"\bth\b", "the"),
-    (r"\bthe the\b", "the"),
-    (r"\bre\b", "are"),
-    (r"\bthe (\w+ing)\b", "that $1"),
-    (r"\bthat\b", "that one"),
-    (r"\bdept\b", "department"),
-    (r"\bsem (\d)\b", "semester $1"),
+    (r"(^|[ \n])th([ ,.\n]|$)", "$1the$2"),
+    (r"the the", "the"),
+    (r"(^|[ \n])re([ ,.\n]|$)", "$1are$2"),
+    (r"the ([a-z]+ing)([ ,.\n]|$)", "that $1$2"),
+    (r"that", "that one"),
+    (r"dept", "department"),
 ]
 INTENTS = [
     ("project", r"\b(nomenclature|projects?)\b"),
@@ -614,7 +613,7 @@ INTENTS = [
 
 def _rewrite_sql(column: str) -> str:
     for pattern, replacement in REWRITES:
-        column = f"regexp_replace({column}, {quoted('(?i)' + pattern)}, {quoted(replacement.replace('$1', chr(92) + '1'))}, 'g')"
+        column = f"regexp_replace({column}, {quoted('(?i)' + pattern)}, {quoted(replacement.replace('$', chr(92)))}, 'g')"
     return column
 
 

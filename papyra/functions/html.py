@@ -51,6 +51,12 @@ class _Reader(HTMLParser):
         else:
             self.lines.append(line)
 
+    def _end_cell(self) -> None:
+        """Close the innermost table's open cell, as the next cell, row or table end does."""
+        if self.cell and len(self.cell) == len(self.tables):
+            self._flush()
+            self.tables[-1][-1].append(" ".join(self.cell.pop()))
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.dropped or tag in DROPPED:
             self.dropped += tag not in VOID and tag in DROPPED
@@ -65,8 +71,10 @@ class _Reader(HTMLParser):
         elif tag == "table":
             self.tables.append([])
         elif tag == "tr" and self.tables:
+            self._end_cell()
             self.tables[-1].append([])
         elif tag in ("td", "th") and self.tables:
+            self._end_cell()
             if not self.tables[-1]:
                 self.tables[-1].append([])
             self.cell.append([])
@@ -82,9 +90,10 @@ class _Reader(HTMLParser):
             self._flush()
         if tag in HEADINGS:
             self.heading = False
-        elif tag in ("td", "th") and self.cell and self.tables:
-            self.tables[-1][-1].append(" ".join(self.cell.pop()))
+        elif tag in ("td", "th", "tr") and self.tables:
+            self._end_cell()
         elif tag == "table" and self.tables:
+            self._end_cell()
             lines = table_lines(self.tables.pop())
             if self.cell:
                 self.cell[-1] += lines
@@ -105,6 +114,7 @@ class _Reader(HTMLParser):
         self.close()
         self._flush()
         while self.tables:
+            self._end_cell()
             self.lines += table_lines(self.tables.pop())
         return self
 

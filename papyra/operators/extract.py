@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Headings that end a part of a course text.
-HEADINGS = r"text\s?books?|references?(?:\s+books?)?|online\s+(?:resources?|references?)|assessment|evaluation|prerequisites?|course\s+(?:objectives?|outcomes?)|end\s+sem(?:ester)?\s+exam\w*|assignments?|activities"
+HEADINGS = r"text\s?books?|references?(?:\s+books?)?|online\s+(?:resources?|references?)|assessment|evaluation|prerequisites?|course\s+(?:objectives?|outcomes?)|end\s+sem(?:ester)?\s+exam\w*|assignments?|activities|scheme|modules?|[1-9]\.0"
 
 
 def between_headings(text: Column, heading: str, stop: str = HEADINGS, most_chars: int | None = None) -> Column:
@@ -41,7 +41,7 @@ def books(sections: DataFrame, key: str) -> DataFrame:
 def prerequisites(text: Column) -> Column:
     """Named prerequisites; null for a missing part or one that says there are none."""
     part = between_headings(text, r"pre-?requisites?")
-    bare = F.lower(F.regexp_replace(part, r"[^A-Za-z]", ""))
+    bare = F.lower(F.regexp_replace(F.substring_index(part, "\n", 1), r"[^A-Za-z]", ""))
     items = F.filter(F.transform(F.split(part, r"[,;\n]|\band\b"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when((bare != "") & ~bare.isin("nil", "none", "na", "nill", "no"), items)
 

@@ -163,6 +163,7 @@ def module_outlines(lines: DataFrame, by: str) -> DataFrame:
 
 
 _EXPERIMENT = re.compile(r"^\s*(?:(?:experiment|expt|exp)\.?\s*(?:no\.?\s*)?)?(\d{1,2})\s*[.):-]?(?:\s+(.*\S))?\s*$", re.I)
+_EXPERIMENTS_START = re.compile(r"(?i)^\s*(?:list\s+of\s+)?(?:suggested\s+)?(?:experiments|practicals)\s*:?\s*$")
 _EXPERIMENTS_END = re.compile(r"(?i)^\s*(?:text\s?books?|references?|assessment|term\s?work)\b")
 
 
@@ -170,14 +171,16 @@ def experiments(lines: list[str]) -> list[dict]:
     """Numbered experiments of a lab text.
 
     A number counts if it is 1, the next, or the one after that; a number alone
-    waits for its title; other lines continue the title before them. A list that
-    starts again replaces what has the same number.
+    waits for its title; other lines continue the title before them. Book lists and
+    assessment end the list; where it starts again, it replaces what has the same number.
     """
     found: dict[int, str] = {}
-    last, waiting = 0, None
+    last, waiting, ended = 0, None, False
     for line in lines:
-        if _EXPERIMENTS_END.match(line):
-            last, waiting = 0, None
+        if _EXPERIMENTS_END.match(line) or _EXPERIMENTS_START.match(line):
+            last, waiting, ended = 0, None, bool(_EXPERIMENTS_END.match(line))
+            continue
+        if ended:
             continue
         m = _EXPERIMENT.match(line)
         n = int(m[1]) if m else 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -90,12 +91,10 @@ def entities(queries: DataFrame, aliases: DataFrame, qkey: str, text: str, expli
     Explicit codes come before aliases of the same place.
     """
     low = F.lower(text)
-    words = queries.select(qkey, low.alias("q"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
+    words = queries.select(qkey, low.alias("__q"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
     given = aliases.select(F.lower("alias").alias("a"), "code", F.regexp_extract(F.lower("alias"), "([a-z0-9]+)", 1).alias("w"))
-    near = words.join(given, "w").where(F.contains(F.col("q"), F.col("a"))).groupBy(qkey).agg(F.collect_set(F.struct("a", "code")).alias("hits"))
-    rows = queries.select(qkey, F.col(text).alias("q")).join(near, qkey, "left")
-    import re
-
+    near = words.join(given, "w").where(F.contains(F.col("__q"), F.col("a"))).groupBy(qkey).agg(F.collect_set(F.struct("a", "code")).alias("hits"))
+    rows = queries.select(qkey, F.col(text).alias("__q")).join(near, qkey, "left")
     pattern = re.compile(explicit, re.I)
 
     @F.pandas_udf("array<string>")
@@ -109,15 +108,15 @@ def entities(queries: DataFrame, aliases: DataFrame, qkey: str, text: str, expli
 
         return pd.Series([one(q, h) for q, h in zip(texts, hits, strict=True)])
 
-    return rows.select(qkey, resolve("q", "hits").alias("codes"))
+    return rows.select(qkey, resolve("__q", "hits").alias("codes"))
 
 
 def entities_sql(queries: DataFrame, aliases: DataFrame, qkey: str, text: str) -> DataFrame:
     """Alias matches not overlapped by a longer one, without Python: ``qkey, alias, code, place``."""
     low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
-    words = queries.select(qkey, low.alias("q")).withColumn("w", F.explode(F.array_distinct(F.split(F.trim("q"), " "))))
+    words = queries.select(qkey, low.alias("__q")).withColumn("w", F.explode(F.array_distinct(F.split(F.trim("__q"), " "))))
     given = aliases.select(F.trim(F.regexp_replace(F.lower("alias"), "[^a-z0-9]+", " ")).alias("alias"), "code").withColumn("w", F.substring_index("alias", " ", 1))
-    hit = words.join(given, "w").withColumn("place", F.position(F.concat(F.lit(" "), F.col("alias"), F.lit(" ")), F.col("q")))
+    hit = words.join(given, "w").withColumn("place", F.position(F.concat(F.lit(" "), F.col("alias"), F.lit(" ")), F.col("__q")))
     hit = hit.where("place > 0").select(qkey, "alias", "code", "place", (F.col("place") + F.length("alias")).alias("stop"))
     longer = hit.select(F.col(qkey).alias("k"), F.col("place").alias("p"), F.col("stop").alias("s"), F.length("alias").alias("n"))
     overlapped = hit.join(longer, (F.col(qkey) == F.col("k")) & (F.col("p") < F.col("stop")) & (F.col("place") < F.col("s")) & (F.col("n") > F.length("alias")), "left_anti")
