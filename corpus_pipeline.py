@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm import decontaminate, jaccard, language, lines, mixing
 from papyra.llm.common import staged, table
+from papyra.session import ship
 
 #: A text's language counts as known from this share of its n-grams on.
 LEAST_SCORE = 0.15
@@ -21,32 +22,39 @@ SHINGLE, PERCENT = 5, 80
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; the model learns from all that have a lang."""
-    found = language.predict(docs, language.train(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    ship(spark)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    found = language.predict(rows, language.train(docs), keep=("row",))
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that occur earlier; those that lose all their lines go."""
-    found = lines.dedup(docs).where("n_lines = 0 or n_removed < n_lines")
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = lines.dedup(docs.select("doc_id", "text", F.struct(*rest).alias("rest"))).where("n_lines = 0 or n_removed < n_lines")
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select(*[new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id."""
-    kept = jaccard.join(docs, SHINGLE, PERCENT).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    ship(spark)
+    kept = jaccard.join(docs, SHINGLE, PERCENT).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    ship(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, with size, target and words taken."""
-    taken = mixing.mix(docs)["taken"].where("taken > 0").withColumnRenamed("doc_id", "mixed_id")
-    return docs.join(taken, docs["doc_id"] == taken["mixed_id"]).drop("mixed_id")
+    """Documents of which the mix takes words, with size, target and words taken; these replace columns of their names."""
+    taken = mixing.mix(docs)["taken"].where("taken > 0").groupBy(F.col("doc_id").alias("mixed_id"))
+    taken = taken.agg(F.sum("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
+    own = docs.select(*[c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "mixed_id")])
+    return own.join(taken, own["doc_id"].eqNullSafe(taken["mixed_id"])).drop("mixed_id")
 
 
 STAGES = [

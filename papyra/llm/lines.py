@@ -20,8 +20,8 @@ an earlier line are verified on their words.
 Defined results: null texts count as empty; a line without a word is never
 removed; lines that repeat within a document, and documents that repeat under
 other ids, lose all but the earliest line; rows that repeat a doc_id count as
-that one document and get equal results; an empty table gives an empty result;
-other columns are carried and may have any names.
+that one document and get equal results; rows without a doc_id count as one, the
+earliest, document; an empty table gives an empty result; other columns are carried.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def _with_words(docs: DataFrame, at: DataFrame) -> DataFrame:
     wanted = at.select(F.col("place.doc_id").alias("__doc"), F.struct("place.pos", "h", "h2", "n", "shared").alias("w"))
     wanted = wanted.groupBy("__doc").agg(F.collect_list("w").alias("ws"))
     texts = docs.select("doc_id", "text").where("text is not null")
-    found = wanted.join(texts, F.col("__doc") == F.col("doc_id")).select("doc_id", _lines(F.col("text")).alias("lines"), F.explode("ws").alias("w"))
+    found = wanted.join(texts, F.col("__doc").eqNullSafe(F.col("doc_id"))).select("doc_id", _lines(F.col("text")).alias("lines"), F.explode("ws").alias("w"))
     return found.select(
         "w.h", "w.h2", "w.n", "w.shared", F.struct("doc_id", "w.pos").alias("place"),
         _words(F.element_at("lines", F.col("w.pos") + 1)).alias("words"),
@@ -171,7 +171,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     kept = kept.select("__doc", flags.cast("binary").alias("__flags"))
     has_word = lambda line: line.rlike(WORD)
     one = F.lit("1").cast("binary")
-    joined = docs.join(kept, docs["doc_id"] == kept["__doc"], "left").withColumn("__lines", _lines(F.col("text")))
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__doc"]), "left").withColumn("__lines", _lines(F.col("text")))
     joined = joined.withColumn(
         "__kept", F.filter("__lines", lambda line, i: (F.substring(F.coalesce(F.col("__flags"), F.lit("").cast("binary")), i + 1, F.lit(1)) == one) | ~has_word(line))
     )

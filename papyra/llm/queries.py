@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import decontaminate, fingerprints, html_text, jaccard, language, licences, lines, mixing, suffixes, warc
 from .common import shared_dir, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup(table(spark, sf_dir, "documents"))
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -60,15 +62,26 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))["taken"]
 
 
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with this package sent to the Python workers first."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
-    "op2_suffix_dedup": op2_suffix_dedup,
-    "op3_simhash": op3_simhash,
-    "op4_decontaminate": op4_decontaminate,
-    "op5_html_text": op5_html_text,
-    "op6_language": op6_language,
-    "op7_warc": op7_warc,
-    "op8_jaccard": op8_jaccard,
+    "op2_suffix_dedup": _shipped(op2_suffix_dedup),
+    "op3_simhash": _shipped(op3_simhash),
+    "op4_decontaminate": _shipped(op4_decontaminate),
+    "op5_html_text": _shipped(op5_html_text),
+    "op6_language": _shipped(op6_language),
+    "op7_warc": _shipped(op7_warc),
+    "op8_jaccard": _shipped(op8_jaccard),
     "op9_mixing": op9_mixing,
     "op10_licences": op10_licences,
 }
