@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html, numbers, text, urls
-from .operators import chunking, extract, ranking, relational, structure, understanding
+from .operators import chunking, extract, ranking, relational, sections, structure, understanding
 from .session import ship
 from .sources import sinks, tables
 from .sources.tables import table
@@ -846,3 +846,115 @@ def answer_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("req"), F.size(text.answer_tokens(F.col("text"))).alias("n"))
     return rows.groupBy("req").agg(F.sum("n").alias("total"))
+
+
+# -- sections and links -------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT l_orderkey % 97 AS src, l_partkey % 97 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 400),
+s0 AS (SELECT 1::BIGINT AS url), s1 AS (SELECT DISTINCT dst AS url FROM s0 JOIN e ON url = src WHERE dst NOT IN (SELECT url FROM s0)),
+s2 AS (SELECT DISTINCT dst AS url FROM s1 JOIN e ON url = src WHERE dst NOT IN (SELECT url FROM s0 UNION SELECT url FROM s1))
+SELECT url, 0 AS depth FROM s0 UNION ALL SELECT url, 1 FROM s1 UNION ALL SELECT url, 2 FROM s2""")
+def link_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reachable pages and their depth, over a link graph made of order lines."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey < 400")
+    edges = rows.select((F.col("l_orderkey") % 97).alias("src"), (F.col("l_partkey") % 97).alias("dst"))
+    return sections.link_closure(edges, spark.range(1, 2).select(F.col("id").alias("url")), 2)
+
+
+@query("""WITH l AS (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN '/File.PDF?x=1' ELSE '' END AS link FROM pages)
+SELECT DISTINCT link FROM l WHERE lower(regexp_replace(link, '[?#].*$', '')) LIKE '%.pdf'""")
+def pdf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link = F.concat("url", F.when(F.col("page_id") % 3 == 0, "/File.PDF?x=1").otherwise(""))
+    return sections.pdf_links(table(spark, sf_dir, "pages").select(link.alias("link")))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN replace(replace(left(text, 200), 'the', 'THE'), 'THE a', 'A') ELSE left(text, 200) END AS text FROM documents""")
+def patched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).cast("int").alias("page"), F.left("text", F.lit(200)).alias("text"))
+    fixes = spark.createDataFrame([(3, 1, "the", "THE"), (3, 2, "THE a", "A")], "page int, ord int, old string, new string")
+    return sections.patched(pages, fixes).select("doc_id", "text")
+
+
+@query(f"""WITH b AS (SELECT item_id, list_distinct({plural_sql("text")}) AS q FROM benchmark),
+d AS (SELECT doc_id, source, list_distinct({plural_sql("left(text, 40)")}) AS t, list_distinct({plural_sql("left(text, 400)")}) AS c, list_distinct({plural_sql("right(text, 200)")}) AS m FROM documents WHERE lang = 'es'),
+s AS (SELECT item_id, doc_id,
+  CASE WHEN len(t) > 0 AND len(list_filter(t, lambda x: NOT list_contains(q, x))) = 0 THEN 60.0
+    WHEN len(list_intersect(q, t)) >= 2 AND len(list_intersect(q, t)) / greatest(len(t), 1) >= 0.66 THEN 40.0 ELSE 0.0 END AS n,
+  2.0 * len(list_intersect(q, c)) + 1.5 * len(list_intersect(q, m)) + CASE WHEN list_contains(q, source) THEN 100.0 ELSE 0.0 END AS r
+  FROM b JOIN d ON d.source = 'src' || (item_id % 20)),
+o AS (SELECT item_id, doc_id, n + r AS section_score, n, row_number() OVER (PARTITION BY item_id ORDER BY n + r DESC, doc_id) AS k FROM s)
+SELECT item_id, doc_id, round(section_score, 4) AS section_score FROM o WHERE k = 1 AND section_score > 0 AND (n > 0 OR section_score >= 1.5)""")
+def section_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best section of one source for each item, by title, subject and module words."""
+    words = lambda c: F.array_distinct(text.tokens_plural(c))
+    items = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("q"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"))
+    docs = table(spark, sf_dir, "documents").where("lang = 'es'")
+    docs = docs.select("doc_id", "source", F.col("source").alias("code"), words(F.left("text", F.lit(40))).alias("t"), words(F.left("text", F.lit(400))).alias("c"), words(F.right("text", F.lit(200))).alias("m"))
+    scored = sections.section_scores(items.join(docs, "source").withColumn("score", F.lit(0.0)), "q", "t", "c", "m")
+    return sections.best_section(scored, "item_id", "doc_id").select("item_id", "doc_id", F.round("section_score", 4).alias("section_score"))
+
+
+SEMESTER_PAGES = [("a.pdf", 1, "Semester III and Sem IV"), ("a.pdf", 2, "no term"), ("a.pdf", 10, "Semester I"), ("b.pdf", 1, "SEM-VIII")]
+
+
+@query("""SELECT * FROM (VALUES (1, 'a.pdf', 1), (1, 'a.pdf', 10), (2, 'b.pdf', 1)) AS v(query_id, filename, page)""")
+def semester_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.createDataFrame(SEMESTER_PAGES, "filename string, page int, text string")
+    overrides = spark.createDataFrame([(10, 4)], "page int, semester int")
+    asked = spark.createDataFrame([(1, "semester 4"), (2, "sem viii")], "query_id int, q string")
+    asked = asked.select("query_id", understanding.requested_semesters(F.col("q")).alias("semesters"))
+    return sections.semester_pages(sections.semester_markers(pages, overrides), asked, "query_id")
+
+
+@query(f"""WITH {_bm25_sql(stemmed_sql, 'plus_one', False)},
+u AS (SELECT 0 AS part, doc_id, rank FROM r WHERE item_id = 1 AND rank <= 5 UNION ALL SELECT 1, doc_id, rank FROM r WHERE item_id = 2 AND rank <= 5),
+once AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, rank) AS n FROM u)
+SELECT doc_id, part, rank, row_number() OVER (ORDER BY part, rank, doc_id) AS place FROM once WHERE n = 1 QUALIFY place <= 8""")
+def clause_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _bm25(spark, sf_dir)
+    return sections.clause_union(ranked.where("item_id = 1"), ranked.where("item_id = 2"), "doc_id").select("doc_id", "part", "rank", "place")
+
+
+@query(f"""WITH {_bm25_sql(stemmed_sql, 'plus_one', False)},
+h AS (SELECT r.item_id, d.source, rank, text, row_number() OVER (PARTITION BY r.item_id, d.source ORDER BY rank) AS n FROM r JOIN documents d USING (doc_id) WHERE rank <= 8),
+placed AS (SELECT item_id, source, text, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS place FROM h WHERE n = 1)
+SELECT item_id, source, place, sha256(left(text, CASE place WHEN 1 THEN 5000 WHEN 2 THEN 1200 ELSE 800 END)) AS piece FROM placed WHERE place <= 3""")
+def budgeted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _bm25(spark, sf_dir, k=8).join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return sections.budgeted_pages(hits, "item_id", "source", [5000, 1200, 800]).select("item_id", "source", "place", F.sha2("text", 256).alias("piece"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(lower(left(text, 30)), '[^a-z0-9]+'), lambda x: length(x) > 3) AS t, lower(text) AS x FROM conversations),
+l AS (SELECT *, last_value(x) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a FROM w),
+r AS (SELECT conv_id, turn, len(list_filter(t, lambda y: contains(a || ' ' || a, y))) > 0 AS k FROM l),
+g AS (SELECT *, bool_or(k) OVER (PARTITION BY conv_id) AS any_k FROM r)
+SELECT conv_id, turn FROM g WHERE k OR NOT any_k""")
+def relevant_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    whole = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("conv_id", "turn", F.left("text", F.lit(30)).alias("title"), F.last("text").over(whole).alias("a"))
+    return sections.relevant_sources(rows, "conv_id", "title", F.col("a"), F.col("a")).select("conv_id", "turn")
+
+
+QUESTIONS = [("which textbooks", "all_pages"), ("list lab experiments", "lab_pages"), ("module 3 please", "outlines"), ("all topics", "module_pages"), ("tell me more", "pages")]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({quoted(a)}, {quoted(b)})' for a, b in QUESTIONS)}) AS v(question, pages)")
+def section_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(q,) for q, _ in QUESTIONS], "question string")
+    return rows.select("question", sections.routed(F.col("question")).alias("pages"))
+
+
+@query("""SELECT left(sha256('https://h/' || (doc_id % 50) || '/a-b.pdf'), 16) AS hash_id, 'a b' AS title, min(doc_id) AS source_page FROM documents GROUP BY doc_id % 50""")
+def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://h/"), F.col("doc_id") % 50, F.lit("/a-b.pdf"))
+    links = table(spark, sf_dir, "documents").select(url.alias("url"), F.lit("").alias("link_text"), F.lit(0).alias("depth"), F.col("doc_id").alias("source_page"))
+    return sections.file_records(links).select("hash_id", "title", "source_page")
+
+
+@query("""SELECT 1 AS page, 'one' AS text UNION ALL SELECT 2, 'three'""")
+def lab_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lab's pages up to its assessment."""
+    rows = spark.createDataFrame([("f", 1, "one"), ("f", 2, "three\nAssessment: x"), ("f", 3, "gone")], "filename string, page int, text string")
+    return sections.lab_text(rows, "filename", "page").select("page", F.trim(F.regexp_replace("text", r"\s+$", "")).alias("text"))
