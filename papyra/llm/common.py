@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Shared folder used where the session names none (local tests).
 LOCAL_SHARED = "/tmp/checkpoints/papyra"
 
+#: Spark's switch for deleting the shuffle files of an execution when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows below which a dimension table may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -28,14 +30,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     Cuts the lineage with a table that survives lost executors. The shuffle files
-    behind it are of no more use; Spark deletes them once the driver has collected
-    its garbage, which is asked for here.
+    behind it are of no more use once it is written, so Spark is told to delete them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/papyra/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

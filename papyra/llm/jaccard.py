@@ -1,25 +1,32 @@
 """Exact n-gram Jaccard join by universe partition and pigeonhole.
 
 Documents are sets of word shingles. Equal sets form one class, known by a
-128-bit hash, and only classes are joined. Size bands make similar sets fall into
-one band or two neighbouring ones. For a band whose smaller sets have up to
-``hi`` shingles, similar sets differ in at most H shingles, and every shingle
-belongs to one of a number of segments by its hash. A segment gets a budget: 1
-if two sets must agree on it to meet there, 2 if they may differ by one shingle,
-which takes its one-deletion neighbourhood. If the budgets sum to more than H,
-similar sets meet in at least one segment. The budgets are set by cost: exact
-segments write least, but short ones are shared by chance, so a band of small
-sets gets as many larger segments with neighbourhoods as it needs to keep
-MIN_SEGMENT shingles a segment. Larger bands get spare segments instead, which
-lets a set leave out its empty ones.
+128-bit hash, and only classes are joined. A set that has more shingles of its own
+than similar sets may differ in has no similar set; such classes drop out first,
+found by counting a fixed share of all shingles over all documents.
+
+Size bands make similar sets fall into one band or two neighbouring ones. For a
+band whose smaller sets have up to ``hi`` shingles, similar sets differ in at most
+H shingles, and every shingle belongs to one of a number of segments by its hash. A
+segment gets a budget: 1 if two sets must agree on it to meet there, 2 if they may
+differ by one shingle, which takes its one-deletion neighbourhood. If the budgets
+sum to more than H, similar sets meet in at least one segment. The budgets are set
+by cost: exact segments write least, but short ones are shared by chance, so a
+band of small sets gets as many larger segments with neighbourhoods as it needs to
+keep MIN_SEGMENT shingles a segment. Larger bands get spare segments instead, so
+that costly ones may have budget 0: a set leaves out its segments of one shingle or
+none, if the first kind of spare covers them, and needs no large group, if the
+second kind covers its segments in large groups.
 
 Classes that meet become candidates: all pairs of a small group; of a large one,
-pairs with the first, the last and the next member. They are verified exactly,
-and components follow. Large groups that then still hold several components are
-finished by a prefix join: of each of their classes, the rarest shingles, as many
-as any similar set must share one of; pairs of different components that share
-one are verified too. No link between components is missed, and no group is
-expanded into all its pairs.
+pairs with the first, the last and the next member. Parity sketches, which bound
+the difference of two sets from below, rule out most others; the rest are
+verified exactly, first one pair for each class, then those that are not yet
+connected. Classes with more segments in large groups than the spare covers are
+finished there: by the pairs of different components, if these are few, else by
+a prefix join, which takes of each class the rarest shingles, as many as any
+similar set must share one of. No link between components is missed, and no
+large group is expanded into all its pairs.
 
 Defined results: null and empty texts have no shingles and no links; a text of
 fewer words than a shingle has one, its whole sequence; rows that repeat are
@@ -45,8 +52,10 @@ PERCENT = 85
 MIN_SEGMENT = 5
 SMALL_GROUP = 8
 FEW_PAIRS = 64
-SKETCH_BITS = 1024
+SKETCH_BITS = 256
 SHARD_BYTES = 16 << 20
+#: One shingle in so many is counted to find classes with enough of their own.
+COUNTED = 4
 
 
 class Bands:
@@ -118,12 +127,26 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """The parity of the number of shingles in each of SKETCH_BITS buckets.
+    """The parity of the number of shingles in each bucket: SKETCH_BITS buckets, doubled up to twice the set's size.
 
-    Sets differ in at least as many shingles as their sketches in bits.
+    Sets differ in at least as many shingles as their sketches in bits. Half as
+    many buckets result from an exclusive or of both halves.
     """
-    at = (mix(shingles, 5) >> np.uint64(32)) * np.uint64(SKETCH_BITS) >> np.uint64(32)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    bits = SKETCH_BITS
+    while bits < 2 * len(shingles):
+        bits *= 2
+    at = (mix(shingles, 5) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, folded to the size of the smaller."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def _bytes(column: pa.Array) -> list[bytes | None]:
@@ -152,50 +175,115 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _signed(docs: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
-    """Signatures dealt to shards, packed: one row for each batch and shard."""
+def _packed(shard: int, *parts: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array([p.tobytes()], pa.binary()) for p in parts]
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *arrays], names=["shard", *[f"p{i}" for i in range(len(parts))]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+
+def _unpacked(table: pa.Table, *kinds: type) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(table.column(f"p{i}").to_pylist()), dtype=k) for i, k in enumerate(kinds)]
+
+
+_PACKED_COUNTS = pa.schema([("shard", pa.int32()), ("p0", pa.binary()), ("p1", pa.binary()), ("p2", pa.binary())])
+
+
+def _packed_schema(parts: int) -> str:
+    return "shard int, " + ", ".join(f"p{i} binary" for i in range(parts))
+
+
+def _dealt(hashes: np.ndarray, owner: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By shard of the hash: shard, hashes, and which owners have how many of them; owners ascend."""
+    shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    at = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for a, b in zip(at, [*at[1:], len(order)], strict=True):
+        own = order[a:b]
+        who, times = np.unique(owner[own], return_counts=True)
+        yield int(shard[own[0]]), hashes[own], who, times.astype(np.int32)
+
+
+def _own_counts(docs: DataFrame, k: int, least: int, shards: int) -> DataFrame:
+    """``s1, s2, own``: how many of the counted shingles of each class no other class has.
+
+    A shard's counts go on in packed form to the shards of their classes, which add them up.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple[int, int], int] = {}
-            sizes, found, counts = [], [], []
+            found: list[np.ndarray] = []
             for s in shingle_sets(_bytes(batch.column(0)), k):
-                if len(s) >= bands.first and (h := set_hash(s)) not in seen:
+                if len(s) >= least and (h := set_hash(s)) not in seen:
                     seen[h] = len(seen)
-                    own = signatures(s, bands)
-                    sizes.append(len(s))
-                    found.append(own)
-                    counts.append(len(own))
+                    found.append(s[s % np.uint64(COUNTED) == 0])
             if not found:
                 continue
-            sig = np.concatenate(found)
-            owner = np.repeat(np.arange(len(found), dtype=np.int32), counts)
             ids = np.array(list(seen), dtype=np.int64)
-            n = np.array(sizes, dtype=np.int32)
-            shard = ((sig >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            at = np.flatnonzero(np.diff(shard[order], prepend=-1))
-            for a, b in zip(at, [*at[1:], len(order)], strict=True):
-                own = order[a:b]
-                who, times = np.unique(owner[own], return_counts=True)  # owners are in order within a shard
-                parts = [sig[own], times.astype(np.int32), ids[who, 0], ids[who, 1], n[who]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(shard[own[0]])], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]],
-                    names=["shard", "sig", "times", "s1", "s2", "n"],
-                )
-
-    return docs.select("text").mapInArrow(run, "shard int, sig binary, times binary, s1 binary, s2 binary, n binary")
+            owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            for shard, hashes, who, times in _dealt(np.concatenate(found), owner, shards):
+                # The shard stands for the upper bits, so 32 more tell shingles apart well enough for a filter.
+                yield _packed(shard, mix(hashes, 6).astype(np.uint32), times, ids[who, 0], ids[who, 1])
+
+    def count(table: pa.Table) -> pa.Table:
+        hashes, times, s1, s2 = _unpacked(table, np.uint32, np.int32, np.int64, np.int64)
+        classes, which = np.unique(np.rec.fromarrays([s1, s2], names="a,b"), return_inverse=True)
+        pairs = np.unique(hashes.astype(np.uint64) << np.uint64(32) | np.repeat(which, times).astype(np.uint64))
+        hashes, owner = pairs >> np.uint64(32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.append(True, hashes[1:] != hashes[:-1]) if len(hashes) else np.zeros(0, dtype=bool)
+        own = np.bincount(owner[new & np.append(new[1:], True)] if len(hashes) else owner, minlength=len(classes))
+        some = np.flatnonzero(own)
+        classes, own = classes[some], own[some].astype(np.int32)
+        shard = (np.ascontiguousarray(classes.a).view(np.uint64) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        parts = [(int(x), shard == x) for x in np.unique(shard)]
+        packed = [_packed(x, np.ascontiguousarray(classes.a[at]), np.ascontiguousarray(classes.b[at]), own[at]) for x, at in parts]
+        return pa.Table.from_batches(packed, schema=_PACKED_COUNTS)
+
+    def add(table: pa.Table) -> pa.Table:
+        s1, s2, own = _unpacked(table, np.int64, np.int64, np.int32)
+        classes, which = np.unique(np.rec.fromarrays([s1, s2], names="a,b"), return_inverse=True)
+        total = np.bincount(which, weights=own, minlength=len(classes)).astype(np.int64)
+        return pa.table([pa.array(np.ascontiguousarray(classes.a)), pa.array(np.ascontiguousarray(classes.b)), pa.array(total)], names=["s1", "s2", "own"])
+
+    dealt = docs.select("text").mapInArrow(deal, _packed_schema(4))
+    counted = dealt.groupBy("shard").applyInArrow(count, _packed_schema(3))
+    return counted.groupBy("shard").applyInArrow(add, "s1 long, s2 long, own long")
+
+
+def _rivals(docs: DataFrame, classes: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
+    """Classes that may have a similar one: ``class, s1, s2``."""
+    least = Bands(percent).first
+    own = _own_counts(docs, k, least, shards)
+    may_differ = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    joined = classes.where(F.col("n") >= least).join(own, ["s1", "s2"], "left")
+    return joined.where(F.coalesce("own", F.lit(0)) <= may_differ).select("class", "s1", "s2")
+
+
+def _signed(texts: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
+    """Signatures of the classes in ``class, text``, dealt to shards, packed: one row for each batch and shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            sets = list(shingle_sets(_bytes(batch.column(1)), k))
+            found = [signatures(s, bands) for s in sets]
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            if not found:
+                continue
+            owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            for shard, sig, who, times in _dealt(np.concatenate(found), owner, shards):
+                yield _packed(shard, sig, times, ids[who], sizes[who])
+
+    return texts.select("class", "text").mapInArrow(run, _packed_schema(4))
 
 
 def _meet(percent: int, small_group: int):
     """Of one shard's signatures: candidate pairs (kind 0) and members of large groups (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
-        sig, times = join("sig", np.uint64), join("times", np.int32)
-        sets = np.rec.fromarrays([join("s1", np.int64), join("s2", np.int64), join("n", np.int32)], names="a,b,n")
-        sets, which = np.unique(sets, return_inverse=True)
+        sig, times, ids, n = _unpacked(table, np.uint64, np.int32, np.int64, np.int64)
+        sets, first_at, which = np.unique(ids, return_index=True, return_inverse=True)
+        n = n[first_at]
         owner = np.repeat(which.astype(np.int32), times)
         order = np.lexsort((owner, sig))
         sig, owner = sig[order], owner[order]
@@ -218,25 +306,23 @@ def _meet(percent: int, small_group: int):
         lefts += [first, me, me[same]]
         rights += [me, last, np.roll(me, -1)[same]]
         left, right = np.concatenate(lefts), np.concatenate(rights)
-        small, large = np.minimum(sets.n[left], sets.n[right]), np.maximum(sets.n[left], sets.n[right])
-        ok = (left != right) & (small.astype(np.int64) * 100 >= large.astype(np.int64) * percent)
-        pairs = np.unique(left[ok].astype(np.int64) << 32 | right[ok])
+        small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+        ok = (left != right) & (small * 100 >= large * percent)
+        left, right = np.minimum(left[ok], right[ok]), np.maximum(left[ok], right[ok])
+        pairs = np.unique(left.astype(np.int64) << 32 | right)
         left, right = pairs >> 32, pairs & 0xFFFFFFFF
-        none = np.zeros(len(me), dtype=np.int64)
         columns = [
             np.concatenate([np.zeros(len(left), dtype=np.int64), np.ones(len(me), dtype=np.int64)]),
             np.concatenate([np.zeros(len(left), dtype=np.int64), sig[big].view(np.int64)]),
-            np.concatenate([sets.a[left], sets.a[me]]),
-            np.concatenate([sets.b[left], sets.b[me]]),
-            np.concatenate([sets.a[right], none]),
-            np.concatenate([sets.b[right], none]),
+            np.concatenate([sets[left], sets[me]]),
+            np.concatenate([sets[right], sets[me]]),
         ]
-        return pa.table([pa.array(c) for c in columns], names=["kind", "sig", "a1", "a2", "b1", "b2"])
+        return pa.table([pa.array(c) for c in columns], names=["kind", "sig", "a", "b"])
 
     return run
 
 
-MEET_SCHEMA = "kind long, sig long, a1 long, a2 long, b1 long, b2 long"
+MEET_SCHEMA = "kind long, sig long, a long, b long"
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -260,11 +346,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _as_class(rows: DataFrame, classes: DataFrame, one: str, two: str, name: str) -> DataFrame:
-    ids = classes.select(F.col("s1").alias(one), F.col("s2").alias(two), F.col("class").alias(name))
-    return rows.join(ids, [one, two]).drop(one, two)
-
-
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that their sizes and sketches do not rule out."""
     one = classes.select(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
@@ -272,8 +353,8 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for i in (3, 5)]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+            both = zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            apart = np.array([sketches_apart(x, y) for x, y in both], dtype=np.int64)
             a_n, b_n = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             ok = (apart * (100 + percent) <= (a_n + b_n) * (100 - percent)) & (np.minimum(a_n, b_n) * 100 >= np.maximum(a_n, b_n) * percent)
             yield batch.filter(pa.array(ok)).select(["a", "b"])
@@ -282,10 +363,11 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``class, text`` of the classes in ``wanted.id``: a text of the class's smallest doc_id with the class's set."""
-    need = classes.join(wanted.select(F.col("id").alias("class")).distinct(), "class", "left_semi").select("class", "s1", "s2")
-    found = need.join(docs.where("text is not null").select("doc_id", "text"), F.col("class") == F.col("doc_id")).select("class", "text", "s1", "s2")
+def _class_texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``class, text`` of the classes in ``wanted``: a text of the class's smallest doc_id with the class's set."""
+    # How many classes are wanted is not bounded, so they are not broadcast at any size.
+    texts = docs.where("text is not null").select("doc_id", "text")
+    found = texts.join(wanted.hint("merge"), F.col("class") == F.col("doc_id")).select("class", "text", "s1", "s2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,40 +378,6 @@ def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int)
     return found.mapInArrow(run, found.select("class", "text").schema)
 
 
-def _with_rivals(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The classes of ``texts`` with too few shingles of their own to rule out a similar one."""
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // (2 * SHARD_BYTES)))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(_bytes(batch.column(1)), k))
-            # Sets are sorted, so a shard's shingles are a range of each.
-            bounds = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
-            cuts = [np.concatenate([[0], np.searchsorted(x, bounds), [len(x)]]) for x in sets]
-            ids, n = np.array(batch.column(0).to_pylist(), dtype=np.int64), np.array([len(x) for x in sets], dtype=np.int64)
-            for shard in range(shards):
-                own = [x[c[shard] : c[shard + 1]] for x, c in zip(sets, cuts, strict=True)]
-                parts = [np.concatenate(own) if own else np.zeros(0, dtype=np.uint64), np.array([len(x) for x in own], dtype=np.int32), ids, n]
-                columns = [pa.array([shard], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "shingles", "times", "ids", "n"])
-
-    def count(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
-        shingles, ids, n = join("shingles", np.uint64), join("ids", np.int64), join("n", np.int64)
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), join("times", np.int32))
-        order = np.argsort(shingles)
-        shingles, owner = shingles[order], owner[order]
-        new = np.append(True, shingles[1:] != shingles[:-1]) if len(shingles) else np.zeros(0, dtype=bool)
-        alone = new & np.append(new[1:], True) if len(shingles) else new
-        return pa.table([pa.array(ids), pa.array(n), pa.array(np.bincount(owner[alone], minlength=len(ids)).astype(np.int64))], names=["class", "n", "own"])
-
-    dealt = texts.select("class", "text").mapInArrow(deal, "shard int, shingles binary, times binary, ids binary, n binary")
-    counted = dealt.groupBy("shard").applyInArrow(count, "class long, n long, own long").groupBy("class").agg(F.first("n").alias("n"), F.sum("own").alias("own"))
-    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return counted.where(F.col("own") < size).select("class")
-
-
 def _prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The rarest shingles of each class, one of which any similar class must have too."""
     schema = texts.select("class").schema.add("shingle", "long").add("n", "long")
@@ -346,7 +394,7 @@ def _prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
     rarest = Window.partitionBy("class").orderBy("c", "shingle")
     needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ranked = rows.join(often, "shingle", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("place", F.row_number().over(rarest))
-    return ranked.where((F.col("place") <= needed) & (F.col("c") > 1)).select("class", "shingle")
+    return ranked.where((F.col("place") <= needed) & (F.col("c") > 1)).select("class", "shingle", "n", "place")
 
 
 def _across(members: DataFrame, key: str) -> DataFrame:
@@ -356,6 +404,16 @@ def _across(members: DataFrame, key: str) -> DataFrame:
     return pairs.where((F.col("a") < F.col("b")) & (F.col("part") != F.col("b_part"))).select("a", "b").distinct()
 
 
+def _across_prefixes(members: DataFrame, percent: int) -> DataFrame:
+    """Such pairs with a common rare shingle, if their sizes and its place in both still allow enough common shingles."""
+    other = members.select("shingle", F.col("id").alias("b"), F.col("part").alias("b_part"), F.col("n").alias("m"), F.col("place").alias("at"))
+    pairs = members.select("shingle", F.col("id").alias("a"), "part", "n", "place").join(other, "shingle")
+    common = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    possible = F.lit(1) + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= common
+    sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("part") != F.col("b_part")) & sizes & possible).select("a", "b").distinct()
+
+
 def _in_parts(rows: DataFrame, found: DataFrame, *ids: str) -> DataFrame:
     """Add to each id column its component so far, as ``<id>_part``."""
     grown = components(found)
@@ -372,19 +430,17 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, small_group
         sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), *[F.first(c).alias(c) for c in ("n", "sketch", "spare")]), "classes"
     )
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    met = staged(_signed(docs, k, percent, shards).groupBy("shard").applyInArrow(_meet(percent, small_group), MEET_SCHEMA), "met")
-
-    pairs = _as_class(_as_class(met.where("kind = 0").drop("kind", "sig").distinct(), classes, "a1", "a2", "x"), classes, "b1", "b2", "y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    pairs = staged(_possible(pairs, classes, percent), "pairs")
-    members = met.where("kind = 1").select("sig", F.col("a1").alias("s1"), F.col("a2").alias("s2")).join(classes.select("s1", "s2", "class", "spare"), ["s1", "s2"])
-    members = members.select("sig", F.col("class").alias("id"), "spare")
-    busy = members.groupBy("id").agg(F.count("*").alias("c"), F.first("spare").alias("spare")).where("c > spare").select("id")
-    members = staged(members.select("sig", "id").join(busy, "id"), "members")
-
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id"))
-    texts = staged(_class_texts(docs, classes, wanted, k), "texts")
+    rivals = staged(_rivals(docs, classes, k, percent, max(1, -(-total // (4 * SHARD_BYTES)))), "rivals")
+    texts = staged(_class_texts(docs, rivals, k), "texts")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    met = staged(_signed(texts, k, percent, max(1, -(-total // SHARD_BYTES))).groupBy("shard").applyInArrow(_meet(percent, small_group), MEET_SCHEMA), "met")
+
+    pairs = staged(_possible(met.where("kind = 0").select("a", "b").distinct(), classes, percent), "pairs")
+    members = met.where("kind = 1").select("sig", F.col("a").alias("id"))
+    spare = classes.select(F.col("class").alias("id"), "spare")
+    busy = members.groupBy("id").agg(F.count("*").alias("c")).join(spare, "id").where("c > spare").select("id")
+    members = staged(members.join(busy, "id"), "members")
+
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = staged(_verified(first, texts, k, percent), "links")
     rest = _in_parts(pairs.join(first, ["a", "b"], "left_anti"), found, "a", "b").where("a_part <> b_part").select("a", "b")
@@ -397,9 +453,8 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, small_group
     more = _across(open_.where("few"), "sig")
     many = open_.where("not few").select(F.col("id").alias("class"), "part").distinct()
     if not many.isEmpty():
-        rivals = staged(_with_rivals(texts.join(many.select("class"), "class"), k, percent), "rivals")
-        prefix = _prefixes(texts.join(rivals, "class"), k, percent)
-        more = more.union(_across(staged(prefix.join(many, "class").withColumnRenamed("class", "id"), "prefixes"), "shingle")).distinct()
+        prefix = _prefixes(texts.join(many.select("class").distinct(), "class"), k, percent)
+        more = more.union(_across_prefixes(staged(prefix.join(many, "class").withColumnRenamed("class", "id"), "prefixes"), percent)).distinct()
     more = staged(_possible(more.join(pairs, ["a", "b"], "left_anti"), classes, percent), "more")
     found = staged(found.union(_verified(more, texts, k, percent)), "links")
     return sets.join(classes.select("s1", "s2", "class"), ["s1", "s2"], "left").select("doc_id", "n", "class"), found
