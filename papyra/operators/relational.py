@@ -12,14 +12,16 @@ def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def union_first(parts: list[DataFrame], key: str, order: str, most: int | None = None) -> DataFrame:
-    """Union in order of part and ``order``; of rows with one key the first stays, with its ``place``."""
+    """Union in order of part and ``order``; of rows with one key the first stays. With ``most``, the first so many and their ``place``."""
     union = None
     for i, part in enumerate(parts):
         rows = part.withColumn("part", F.lit(i))
         union = rows if union is None else union.unionByName(rows)
     kept = first_of(union, [key], ["part", order])
-    kept = kept.withColumn("place", F.row_number().over(Window.orderBy("part", order, key)))
-    return kept if most is None else kept.where(F.col("place") <= most)
+    if most is None:
+        return kept
+    # A top-k first, so that only ``most`` rows are numbered in one task.
+    return kept.orderBy("part", order, key).limit(most).withColumn("place", F.row_number().over(Window.orderBy("part", order, key)))
 
 
 def all_found(wanted: DataFrame, rows: DataFrame, qkey: str, key: str, order: str) -> DataFrame:

@@ -110,9 +110,7 @@ def link_closure(edges: DataFrame, seeds: DataFrame, depth: int = 3, most: int |
         reached = frontier.join(edges, frontier["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
         frontier = reached.join(seen, "url", "left_anti").withColumn("depth", F.lit(level))
         seen = seen.unionByName(frontier)
-    if most is None:
-        return seen
-    return seen.withColumn("__n", F.row_number().over(Window.orderBy("depth", "url"))).where(F.col("__n") <= most).drop("__n")
+    return seen if most is None else seen.orderBy("depth", "url").limit(most)
 
 
 def clause_union(full: DataFrame, parts: DataFrame, key: str, most: int = 8) -> DataFrame:
