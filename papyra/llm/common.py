@@ -14,8 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Shared folder used where the session names none (local tests).
 LOCAL_SHARED = "/tmp/checkpoints/papyra"
 
-#: Spark's switch for deleting the shuffle files of an execution when it ends.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a table is staged: shuffle files of the execution are deleted when it ends, and Python gets few texts at once.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 #: Rows below which a dimension table may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -34,15 +37,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/papyra/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, staged
-from .shingles import mix, shingle_sets
+from .shingles import distinct, mix, shingle_sets
 
 SHINGLE = 4
 PERCENT = 85
@@ -227,7 +227,7 @@ def _own_counts(docs: DataFrame, k: int, least: int, shards: int) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         hashes, times, s1, s2 = _unpacked(table, np.uint32, np.int32, np.int64, np.int64)
         classes, which = np.unique(np.rec.fromarrays([s1, s2], names="a,b"), return_inverse=True)
-        pairs = np.unique(hashes.astype(np.uint64) << np.uint64(32) | np.repeat(which, times).astype(np.uint64))
+        pairs = distinct(hashes.astype(np.uint64) << np.uint64(32) | np.repeat(which, times).astype(np.uint64))
         hashes, owner = pairs >> np.uint64(32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.append(True, hashes[1:] != hashes[:-1]) if len(hashes) else np.zeros(0, dtype=bool)
         own = np.bincount(owner[new & np.append(new[1:], True)] if len(hashes) else owner, minlength=len(classes))
@@ -309,7 +309,7 @@ def _meet(percent: int, small_group: int):
         small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
         ok = (left != right) & (small * 100 >= large * percent)
         left, right = np.minimum(left[ok], right[ok]), np.maximum(left[ok], right[ok])
-        pairs = np.unique(left.astype(np.int64) << 32 | right)
+        pairs = distinct(left.astype(np.int64) << 32 | right)
         left, right = pairs >> 32, pairs & 0xFFFFFFFF
         columns = [
             np.concatenate([np.zeros(len(left), dtype=np.int64), np.ones(len(me), dtype=np.int64)]),

@@ -14,7 +14,7 @@ import numpy as np
 
 from .common import runs
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -36,6 +36,12 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order; sorting beats the hash table that numpy would build."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class _Powers:
     power = inverse = np.zeros(0, dtype=np.uint64)
 
