@@ -33,11 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import runs, staged
-from .shingles import _BYTE, CHUNK, _Powers, mix
+from .shingles import _BYTE, CHUNK, _Powers, distinct, mix
 
 LENGTH = 50
 GRAM = 24
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
+#: Bytes of texts that are worked on at once, if none is longer.
+DEALT_BYTES = 2 << 20
+#: Bytes of contexts that one suffix array holds, and contexts that a batch gathers, at most.
+SORTED_BYTES = 1 << 20
+HELD_CONTEXTS = 1 << 16
 
 _PLACE_BITS = 30
 
@@ -178,17 +183,18 @@ def suffix_array(text: np.ndarray, seps: np.ndarray) -> np.ndarray:
 
 def _sorted_names(name: np.ndarray) -> np.ndarray:
     """Suffixes of the sequence of names in order: ranks over 1, 2, 4 ... names until all differ."""
-    order = np.argsort(name, kind="stable")
-    rank, span = name, 1
+    n, rank, span = len(name), name.astype(np.int64), 1
     while True:
-        after = np.append(rank[span:] + 1, np.zeros(min(span, len(rank)), dtype=np.int64))
-        new = np.append(True, (rank[order][1:] != rank[order][:-1]))
-        if new.all():
+        # One number a suffix: its rank, then that of what follows (0 past the end).
+        key = rank * (n + 1)
+        key[: n - span] += rank[span:] + 1
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        if new.all() or span >= n:
             return order
-        order = np.lexsort((after, rank))
-        r, s = rank[order], after[order]
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(np.append(False, (r[1:] != r[:-1]) | (s[1:] != s[:-1])))
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(new) - 1
         span *= 2
 
 
@@ -233,6 +239,13 @@ def equal_windows(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
     return owner, label
 
 
+def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of x are among sorted values."""
+    at = np.searchsorted(values, x)
+    at[at == len(values)] = 0
+    return values[at] == x if len(values) else np.zeros(len(x), dtype=bool)
+
+
 def _binary(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
@@ -263,19 +276,21 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            found = list(anchors(_binary(batch.column(1))))
-            if not found:
-                continue
-            who, h = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            for shard, own in _by_shard(_shard(h, shards)):
-                docs_here, times = np.unique(who[own], return_counts=True)
-                yield _pack(shard, h[own].astype(np.uint32), times.astype(np.int32), ids[docs_here])
+            texts = _binary(batch.column(1))
+            for a, b in runs([len(t) for t in texts], DEALT_BYTES):
+                found = [f[:2] for f in anchors(texts[a:b])]
+                if not found:
+                    continue
+                who, h = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                for shard, own in _by_shard(_shard(h, shards)):
+                    docs_here, times = np.unique(who[own], return_counts=True)
+                    yield _pack(shard, h[own].astype(np.uint32), times.astype(np.int32), ids[a + docs_here])
 
     def meet(table: pa.Table) -> pa.Table:
         h, times, ids = _joined(table, 0, np.uint32), _joined(table, 1, np.int32), _joined(table, 2, np.int64)
-        values, row = np.unique(ids, return_inverse=True)
-        doc = np.repeat(row.astype(np.int64), times)
-        pairs = np.unique(h.astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
+        values = distinct(ids)
+        doc = np.repeat(np.searchsorted(values, ids), times)
+        pairs = distinct(h.astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
         h, doc = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         same = np.append(False, h[1:] == h[:-1]) if len(h) else np.zeros(0, dtype=bool)
         same |= np.append(same[1:], False) if len(h) else same
@@ -298,40 +313,48 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, shards: int, length: int
     lists = shared.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("shared").alias("shared"))
     joined = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "shared")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            texts = _binary(batch.column(1))
-            wanted = [np.frombuffer(b"".join(x), dtype=np.uint32) for x in batch.column(2).to_pylist()]
-            seen: dict[bytes, int] = {}
-            who_all, ctx_all, start_all, h_all, ctx_h = [], [], [], [], []
-            for who, h, lo, hi in anchors(texts):
-                edges = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-                for a, b in zip(edges, [*edges[1:], len(who)], strict=True):
-                    i = int(who[a])
-                    keep = a + np.flatnonzero(np.isin(h[a:b].astype(np.uint32), wanted[i]))
-                    text = texts[i]
-                    for p, q, x in zip(lo[keep].tolist(), hi[keep].tolist(), h[keep].tolist(), strict=True):
-                        context = text[p : q + length]
-                        c = seen.setdefault(context, len(seen))
-                        if c == len(ctx_h):
-                            ctx_h.append(x)
-                        ctx_all.append(c)
-                        start_all.append(p)
-                    who_all.append(np.full(len(keep), i, dtype=np.int64))
-            if not ctx_all:
-                continue
+    def deal_some(ids: np.ndarray, texts: list[bytes], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        who_all, ctx_all, start_all, ctx_h = [], [], [], []
+
+        def packed() -> Iterator[pa.RecordBatch]:
             contexts = list(seen)
             who, ctx, start = np.concatenate(who_all), np.array(ctx_all), np.array(start_all)
-            h_all = np.array(ctx_h, dtype=np.uint64)
-            for shard, own in _by_shard(_shard(h_all, shards)[ctx]):
+            hashes = np.array(ctx_h, dtype=np.uint64)
+            for shard, own in _by_shard(_shard(hashes, shards)[ctx]):
                 used, row = np.unique(ctx[own], return_inverse=True)
                 parts = [contexts[c] for c in used.tolist()]
                 docs_here, times = np.unique(who[own], return_counts=True)
                 yield _pack(
-                    shard, b"".join(parts), np.array([len(c) for c in parts], dtype=np.uint8), h_all[used],
+                    shard, b"".join(parts), np.array([len(c) for c in parts], dtype=np.uint8), hashes[used],
                     np.array([len(used)], dtype=np.int64), row.astype(np.int32), start[own].astype(np.int64), times.astype(np.int32), ids[docs_here],
                 )
+            for held in (seen, who_all, ctx_all, start_all, ctx_h):
+                held.clear()
+
+        for who, h, lo, hi in anchors(texts):
+            edges = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+            for a, b in zip(edges, [*edges[1:], len(who)], strict=True):
+                i = int(who[a])
+                keep = a + np.flatnonzero(_among(h[a:b].astype(np.uint32), wanted[i]))
+                text = texts[i]
+                for p, q, x in zip(lo[keep].tolist(), hi[keep].tolist(), h[keep].tolist(), strict=True):
+                    c = seen.setdefault(text[p : q + length], len(seen))
+                    if c == len(ctx_h):
+                        ctx_h.append(x)
+                    ctx_all.append(c)
+                    start_all.append(p)
+                who_all.append(np.full(len(keep), i, dtype=np.int64))
+                if len(ctx_all) > HELD_CONTEXTS:
+                    yield from packed()
+        if ctx_all:
+            yield from packed()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            wanted = [np.sort(np.frombuffer(b"".join(x), dtype=np.uint32)) for x in batch.column(2).to_pylist()]
+            yield from deal_some(ids, _binary(batch.column(1)), wanted)
 
     def meet(table: pa.Table) -> pa.Table:
         raw, sizes, h = b"".join(table.column("p0").to_pylist()), _joined(table, 1, np.uint8).astype(np.int64), _joined(table, 2, np.uint64)
@@ -354,8 +377,13 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, shards: int, length: int
         by_window = np.repeat(earliest, n_windows)
         _, row, counts = np.unique(anchor, return_inverse=True, return_counts=True)
         several = np.flatnonzero(counts[row] > 1)
-        for a, b in runs([len(contexts[c]) + 1 for c in several.tolist()], 1 << 40):
-            chosen = several[a:b]
+        several = several[np.argsort(row[several], kind="stable")]
+        group = np.flatnonzero(np.append(True, row[several][1:] != row[several][:-1])) if len(several) else several
+        edges = np.append(group, len(several))
+        bulk = np.add.reduceat(n_windows[several] + length, group).tolist() if len(several) else []
+        # All contexts of an anchor are sorted together.
+        for a, b in runs(bulk, SORTED_BYTES):
+            chosen = several[edges[a] : edges[b]]
             owner, label = equal_windows([contexts[c] for c in chosen.tolist()], length)
             least = np.full(int(label.max(initial=0)) + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, label, earliest[chosen][owner])
