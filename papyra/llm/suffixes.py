@@ -24,6 +24,8 @@ Groups of copies of any size collapse to one context before they meet.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +39,7 @@ from .shingles import _BYTE, CHUNK, _Powers, distinct, mix
 
 LENGTH = 50
 GRAM = 24
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 #: Bytes of texts that are worked on at once, if none is longer.
 DEALT_BYTES = 2 << 20
 #: Bytes of contexts that one suffix array holds, and contexts that a batch gathers, at most.
@@ -250,6 +252,14 @@ def _binary(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _released(x):
+    """``x``, after freed memory went back to the system: workers live on, and many small contexts leave gaps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    return x
+
+
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
@@ -299,7 +309,7 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
         h, doc = h[order], doc[order]
         at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
         blobs = [x.tobytes() for x in np.split(h, at[1:])] if len(at) else []
-        return pa.table([pa.array(values[doc[at]], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "shared"])
+        return _released(pa.table([pa.array(values[doc[at]], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "shared"]))
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "shard int, p0 binary, p1 binary, p2 binary")
     return dealt.groupBy("shard").applyInArrow(meet, "doc_id long, shared binary")
@@ -331,6 +341,8 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, shards: int, length: int
                 )
             for held in (seen, who_all, ctx_all, start_all, ctx_h):
                 held.clear()
+            del contexts, who, ctx, start, hashes
+            _released(None)
 
         for who, h, lo, hi in anchors(texts):
             edges = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
@@ -364,8 +376,12 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, shards: int, length: int
         doc = np.repeat(ids, times)
         offsets = np.cumsum(sizes) - sizes
         number: dict[bytes, int] = {}
-        same = np.array([number.setdefault(raw[o : o + s], len(number)) for o, s in zip(offsets.tolist(), sizes.tolist(), strict=True)], dtype=np.int64)
+        same = np.empty(len(sizes), dtype=np.int64)
+        for i, (o, s) in enumerate(zip(offsets, sizes, strict=True)):
+            same[i] = number.setdefault(raw[o : o + s], len(number))
+        del raw
         contexts = list(number)
+        del number
         anchor = np.zeros(len(contexts), dtype=np.uint64)
         anchor[same] = h
         ctx = same[ctx]
@@ -400,7 +416,8 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, shards: int, length: int
         at = np.flatnonzero(np.append(True, doc[hit][1:] != doc[hit][:-1])) if len(hit) else np.zeros(0, dtype=np.int64)
         starts = [x.tobytes() for x in np.split(start[hit], at[1:])] if len(at) else []
         masks = [x.tobytes() for x in np.split(mask[hit], at[1:])] if len(at) else []
-        return pa.table([pa.array(doc[hit][at], pa.int64()), pa.array(starts, pa.binary()), pa.array(masks, pa.binary())], names=["doc_id", "starts", "masks"])
+        del contexts
+        return _released(pa.table([pa.array(doc[hit][at], pa.int64()), pa.array(starts, pa.binary()), pa.array(masks, pa.binary())], names=["doc_id", "starts", "masks"]))
 
     schema = "shard int, " + ", ".join(f"p{i} binary" for i in range(8))
     return joined.mapInArrow(deal, schema).groupBy("shard").applyInArrow(meet, "doc_id long, starts binary, masks binary")
@@ -445,4 +462,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> Data
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return staged(joined.mapInArrow(cut, schema), "kept")
