@@ -6,13 +6,16 @@ to output shards by one pseudorandom permutation of all slots, so the source
 counts of a shard are a multinomial draw conditioned on every source meeting its
 total. Within a source, slot numbers go through a pseudorandom permutation of
 its block numbers, a new one each epoch, and blocks are joined by that number.
+The output is written as packed blocks, one row a slot with its words, and what
+was taken of each document is counted from that output.
 
 Defined results: a null text counts as empty and a document without words gets
 0; null sources form one source of their own, last in order; repeated rows and
 repeated doc_ids are separate documents; an empty table gives an empty result;
 columns other than doc_id, text and source are ignored, whatever their names.
 Texts of any length are cut into blocks; sources share no window or task, for
-documents are numbered in buckets of bounded expected size.
+documents are numbered in buckets of bounded expected size. The documents are
+read twice, for sizes and for texts, and must give the same rows both times.
 """
 
 from __future__ import annotations
@@ -22,19 +25,26 @@ from pyspark.sql import functions as F
 
 from .common import WORD, small, staged
 
+#: What stands between words.
+SPACE = r"[\x20\x09-\x0D]+"
+
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 2048
 SHARD_SLOTS = 1024
 BUCKET_ROWS = 4096
 SLOT_CHUNK = 4096
+WRITTEN_SLOTS = 64
 WALK = 64
 
 
+def _size() -> Column:
+    return F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, source, size)``, staged, so texts are read once."""
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    return staged(docs.select("doc_id", "source", words.alias("size")), "sizes")
+    """Rows ``(doc_id, source, size)``, staged."""
+    return staged(docs.select("doc_id", "source", _size().alias("size")), "sizes")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -155,71 +165,105 @@ def shard_counts(slot_rows: DataFrame) -> DataFrame:
     return slot_rows.groupBy("shard", "source_ix").agg(F.count("*").alias("n_slots"))
 
 
-def packed(sizes: DataFrame, targets: DataFrame, n_sources: int, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+def packed(docs: DataFrame, targets: DataFrame, n_docs: int, n_sources: int, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
     """Documents laid into their source's blocks: a row per document and block.
 
-    ``first`` and ``n_words`` say where in the block the document's words lie.
-    Offsets are running sums in two steps, over buckets and within one, so a
-    source of any size is spread over tasks.
+    ``first`` and ``n_words`` say where in the block the document's words lie,
+    ``words`` are these words. Offsets are running sums in two steps, over
+    buckets and within one, so a source of any size is spread over tasks.
     """
-    rows = sizes.count()
-    n_buckets = max(1, -(-rows // BUCKET_ROWS))
-    keyed = sizes.where("size > 0").join(small(targets, n_sources), sizes["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", "size", "source_ix", "source_size", "target", F.xxhash64(F.lit(seed), "doc_id", "size").alias("key")
+    n_buckets = max(1, -(-n_docs // BUCKET_ROWS))
+    rows = docs.select("doc_id", "source", "text", _size().alias("size")).where("size > 0")
+    keyed = rows.join(small(targets, n_sources), rows["source"].eqNullSafe(targets["source"])).select(
+        "doc_id", "text", "size", "source_ix", "source_size", "target", F.xxhash64(F.lit(seed), "doc_id", "size").alias("key")
     )
     keyed = keyed.withColumn("bucket", F.pmod(F.col("key"), F.lit(n_buckets)))
     before = Window.partitionBy("source_ix").orderBy("bucket")
     starts = keyed.groupBy("source_ix", "bucket").agg(F.sum("size").alias("n")).withColumn("bucket_start", F.sum("n").over(before) - F.col("n")).drop("n")
     # The bucket's own order; equal rows are interchangeable.
-    within = Window.partitionBy("source_ix", "bucket").orderBy("key", "doc_id", "size")
+    within = Window.partitionBy("source_ix", "bucket").orderBy("key", "doc_id", "size", F.xxhash64("text"), "text")
     placed = (
         keyed.withColumn("in_bucket", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .join(starts, ["source_ix", "bucket"])
         .withColumn("start", F.col("bucket_start") + F.col("in_bucket"))
     )
     b = F.lit(block_words).cast("long")
-    last = F.floor((F.col("start") + F.col("size") - 1) / b).cast("long")
+    start, stop = F.col("start"), F.col("start") + F.col("size")
     n_full = F.floor(F.col("source_size") / b).cast("long")
-    pieces = placed.withColumn("at", F.explode(F.sequence(F.floor(F.col("start") / b).cast("long"), last)))
-    from_ = F.greatest(F.col("start"), F.col("at") * b)
-    to = F.least(F.col("start") + F.col("size"), (F.col("at") + 1) * b)
-    return pieces.select(
-        "doc_id", "size", "source_ix", "source_size", "target", "start",
-        F.when(F.col("at") < n_full, F.col("at")).otherwise(F.lit(-1)).alias("block"),
-        (from_ - F.col("at") * b).alias("first"),
-        (to - from_).alias("n_words"),
-    )
+
+    def piece(words: Column, at: Column) -> Column:
+        from_, to = F.greatest(start, at * b), F.least(stop, (at + 1) * b)
+        own = F.slice(words, (from_ - start + 1).cast("int"), (to - from_).cast("int"))
+        return F.struct(
+            F.when(at < n_full, at).otherwise(F.lit(-1)).alias("block"),
+            (from_ - at * b).alias("first"),
+            (to - from_).alias("n_words"),
+            F.array_join(own, " ").alias("words"),
+        )
+
+    # A lambda over an array of one binds the document's words, so that they are split once for all its pieces.
+    blocks = F.sequence(F.floor(start / b).cast("long"), F.floor((stop - 1) / b).cast("long"))
+    split = F.filter(F.split("text", SPACE, -1), lambda word: word != "")
+    pieces = F.flatten(F.transform(F.array(split), lambda words: F.transform(blocks, lambda at: piece(words, at))))
+    return placed.select("doc_id", "size", "source_ix", "source_size", "target", "start", F.inline(pieces))
+
+
+def filled(pieces: DataFrame) -> DataFrame:
+    """One row per block of a source, with its words and the documents they are of, staged."""
+    part = F.struct("first", "start", "n_words", "doc_id", "size", "words")
+    whole = pieces.groupBy("source_ix", "block").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return staged(
+        whole.select(
+            "source_ix",
+            "block",
+            F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["size"].alias("size"), p["start"].alias("start"), p["first"].alias("first"), p["n_words"].alias("n_words"))).alias("docs"),
+            F.array_join(F.transform("parts", lambda p: p["words"]), " ").alias("text"),
+        ),
+        "blocks",
+    )
+
+
+def output(slot_rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The packed blocks: ``shard, place, source_ix, epoch, block, words, docs, text``, staged.
+
+    ``text`` holds the slot's words with one space between them, ``docs`` how
+    many of them are of which document, in order. A shard is written in runs of
+    WRITTEN_SLOTS places.
+    """
+    cut = F.array_join(F.slice(F.split("text", " ", -1), 1, F.col("words").cast("int")), " ")
+    docs = F.transform(
+        F.filter("docs", lambda d: d["first"] < F.col("words")),
+        lambda d: F.struct(d["doc_id"].alias("doc_id"), d["start"].alias("start"), F.least(d["n_words"], F.col("words") - d["first"]).alias("n_words")),
+    )
+    held = F.aggregate("docs", F.lit(0).cast("long"), lambda n, d: n + d["n_words"])
+    per = slot_rows.groupBy("source_ix", "block").agg(F.collect_list(F.struct("shard", "place", "epoch", "words")).alias("slots"))
+    dealt = blocks.join(per, ["source_ix", "block"]).select("source_ix", "block", "docs", "text", F.inline("slots"))
+    dealt = dealt.select("shard", "place", "source_ix", "epoch", "block", "words", docs.alias("docs"), F.when(F.col("words") < held, cut).otherwise(F.col("text")).alias("text"))
+    run = F.floor(F.col("place") / WRITTEN_SLOTS)
+    return staged(dealt.repartition("shard", run).sortWithinPartitions("shard", "place"), "packed")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 0) -> dict[str, DataFrame]:
-    """The mix of ``docs``: tables ``sizes, targets, slots, pieces`` and ``taken``.
+    """The mix of ``docs``: tables ``sizes, targets, slots, blocks, output`` and ``taken``.
 
-    ``slots`` joined to ``pieces`` by source and block is the packed output;
-    ``taken`` has one row per document with the words the output holds of it.
+    ``output`` is ``slots`` joined to ``blocks`` by source and block, written
+    with its words; ``taken`` has one row per document with the words the output
+    holds of it.
     """
     sizes = sized(docs)
     targets = staged(source_targets(sizes, weights, most), "targets")
     n_sources = targets.count()
     slot_rows = slots(targets, block_words, seed=seed)
-    pieces = packed(sizes, targets, n_sources, block_words, seed)
-    drawn = slot_rows.groupBy("source_ix", "block", "words").agg(F.count("*").alias("times"))
-    # A block is taken with at most two lengths: whole, and cut short once.
-    drawn = drawn.groupBy("source_ix", "block").agg(F.collect_list(F.struct("words", "times")).alias("draws"))
-    got = F.aggregate(
-        F.coalesce(F.col("draws"), F.array().cast("array<struct<words:bigint,times:bigint>>")),
-        F.lit(0).cast("long"),
-        lambda acc, d: acc + d["times"] * F.greatest(F.lit(0).cast("long"), F.least(F.col("n_words"), d["words"] - F.col("first"))),
-    )
-    taken = (
-        pieces.join(drawn, ["source_ix", "block"], "left")
-        .withColumn("got", got)
-        .groupBy("source_ix", "start", "doc_id", "size", "source_size", "target")
-        .agg(F.sum("got").alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
-    )
+    blocks = filled(packed(docs, targets, sizes.count(), n_sources, block_words, seed))
+    written = output(slot_rows, blocks)
+    # All documents with words, at 0, and what the output holds of them.
+    every = blocks.select("source_ix", F.explode("docs").alias("d")).select("source_ix", "d.start", F.struct("d.doc_id", "d.size").alias("doc"), F.lit(0).cast("long").alias("n"))
+    held = written.select("source_ix", F.explode("docs").alias("d")).select("source_ix", "d.start", F.lit(None).cast(every.schema["doc"].dataType).alias("doc"), F.col("d.n_words").alias("n"))
+    counted = every.unionByName(held).groupBy("source_ix", "start").agg(F.first("doc", ignorenulls=True).alias("doc"), F.sum("n").alias("taken"))
+    taken = counted.join(small(targets, n_sources), "source_ix").select("doc.doc_id", "doc.size", "source_size", "target", "taken")
     none = (
         sizes.where("size = 0")
         .join(small(targets, n_sources), sizes["source"].eqNullSafe(targets["source"]))
         .select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     )
-    return {"sizes": sizes, "targets": targets, "slots": slot_rows, "pieces": pieces, "taken": taken.unionByName(none)}
+    return {"sizes": sizes, "targets": targets, "slots": slot_rows, "blocks": blocks, "output": written, "taken": taken.unionByName(none)}

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on hard tables."""
 
 import base64
+import collections
 import hashlib
 import random
 import re
@@ -374,6 +375,33 @@ def test_mixing(spark):
     assert mixing.shard_counts(out["slots"]).agg(F.sum("n_slots")).first()[0] == len(slots)
 
 
+def test_mix_is_written(spark):
+    """Every slot's words are the words of its block, and taken counts them."""
+    rng = random.Random(11)
+    rows = [(i, " \n".join(f"{i}.{j}" for j in range(rng.randint(0, 300))), None, rng.choice("aab"), 0) for i in range(40)]
+    rows += [rows[3], rows[3], (rows[5][0], "other " * len(rows[5][1].split()), None, rows[5][3], 0)]
+    out = mixing.mix(table(spark, rows), block_words=64)
+    written = {(r["shard"], r["place"]): r for r in out["output"].collect()}
+    slots = {(r["shard"], r["place"]): r for r in out["slots"].collect()}
+    assert written.keys() == slots.keys()
+    known = {w for _, t, *_ in rows for w in t.split()}
+    streams = {}
+    for at, r in written.items():
+        words = r["text"].split(" ")
+        assert len(words) == r["words"] == slots[at]["words"] == sum(d["n_words"] for d in r["docs"])
+        assert set(words) <= known
+        assert [d["doc_id"] for d in r["docs"] for _ in range(d["n_words"])] == [int(w.split(".")[0]) if w != "other" else rows[5][0] for w in words]
+        streams.setdefault((r["source_ix"], r["block"]), []).append(words)
+    for copies in streams.values():
+        longest = max(copies, key=len)
+        assert all(c == longest[: len(c)] for c in copies)
+    n_words = collections.Counter(d["doc_id"] for r in written.values() for d in r["docs"] for _ in range(d["n_words"]))
+    taken = collections.Counter()
+    for r in out["taken"].collect():
+        taken[r["doc_id"]] += r["taken"]
+    assert {k: n for k, n in taken.items() if n} == n_words
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 3, 17, 64, 1000):
         df = spark.range(n).withColumn("n", F.lit(n).cast("long"))
