@@ -4,8 +4,8 @@ Markup is stripped into lines, one for each block element. What a page holds
 beside its article (menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) is known by element, role, or word in a
 class or id, and leaves an empty line. If a page marks its article or main part and
-that has text, lines outside it are empty too. Text lengths, links not counted,
-are then summed over windows of WINDOW lines. Where the sum surges to the
+that has text, all its lines stay and no others. On other pages text lengths, links
+not counted, are summed over windows of WINDOW lines. Where the sum surges to the
 threshold, the text stays from where the sum last rose above zero to where it
 next dives to zero.
 
@@ -169,8 +169,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's lines, joined by line feeds."""
     lines = lines_of(page or "")
-    if any(line and main for line, _, main in lines):
-        lines = [x if x[2] else ("", 0, False) for x in lines]
+    marked = [line for line, _, main in lines if line and main]
+    if marked:
+        return "\n".join(marked)
     sizes = [max(0, len(line) - line.count(" ") - linked) for line, linked, _ in lines]
     sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
     limit = min(surge, max(sums, default=0))

@@ -228,6 +228,17 @@ def test_main_text(spark):
     assert html_text.main_text(body) == ("word " * 200_000).strip()
 
 
+def test_marked_article_is_whole():
+    apart = "<div class=share>Share</div><div class=advert>Buy</div><form>Find</form>"
+    links = "".join(f"<li><a href=/{i}>Reference {i}</a></li>" for i in range(5))
+    body = "A paragraph that is long enough to surge over the threshold of the window, and then some more words."
+    for tag in ("article", "main"):
+        page = f"<p>{body}</p><{tag}><h1>Title</h1>{apart}<p>{body}</p><ul>{links}</ul><p>Short end.</p></{tag}><p>{body}</p>"
+        assert html_text.main_text(page) == "\n".join(["Title", body, *[f"Reference {i}" for i in range(5)], "Short end."])
+    # Without a mark, surge and dive decide.
+    assert html_text.main_text(f"<h1>Title</h1>{apart}<p>{body}</p>") == body
+
+
 # -- 6: language
 
 
