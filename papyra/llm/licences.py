@@ -3,17 +3,21 @@
 A text's canonical form has lower case, no copyright lines, one spelling of
 words that licence texts vary, and single spaces in place of punctuation and
 white space. Its SHA-256 is joined to the digests of known licence texts and
-notices. Looked up are the whole text, each paragraph and each line.
+notices. Looked up are the whole text, each paragraph, each line, and each run of
+as many consecutive paragraphs as a known text has, where the run's first word is
+the first word of such a text.
 
 Defined results: null and empty texts, and texts of punctuation or copyright
 lines only, match nothing; a licence found several times in a document is listed
 once; repeated rows give equal results; an empty table gives an empty result;
-extra columns are ignored. The known texts are a fixed list in this module, so
-broadcasting their digests is bounded.
+extra columns are ignored. The known texts are a table of licence and text, by
+default KNOWN and the files in ``licence_texts``; their digests are broadcast.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,26 +92,69 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """``digest, licence`` of the fixed list."""
-    texts = spark.createDataFrame(KNOWN, "licence string, text string")
-    return texts.select(digest(F.col("text")).alias("digest"), "licence").distinct()
+def full_texts() -> list[tuple[str, str]]:
+    """SPDX id and text of the licences in ``licence_texts``; also their terms alone, where what follows is how to apply them."""
+    found = []
+    for file in sorted((Path(__file__).resolve().parent / "licence_texts").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        found.append((file.stem, text))
+        terms, end, after = text.partition("END OF TERMS AND CONDITIONS")
+        if after.strip():
+            found.append((file.stem, terms + end))
+    return found
+
+
+def known_texts(spark: SparkSession) -> DataFrame:
+    """``licence, text`` of all licences and notices that are known by default."""
+    return spark.createDataFrame(KNOWN + full_texts(), "licence string, text string")
+
+
+def known_digests(known: DataFrame) -> DataFrame:
+    """``digest, licence`` of known texts."""
+    return known.select(digest(F.col("text")).alias("digest"), "licence").distinct()
+
+
+def _paragraphs(cleaned: Column) -> Column:
+    """Canonical paragraphs but for empty ones."""
+    return F.filter(F.transform(F.split(cleaned, r"\n *\n", -1), _joined), lambda p: p != "")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def _first_word(paragraph: Column) -> Column:
+    return F.substring_index(paragraph, " ", 1)
+
+
+def run_lengths(known: DataFrame) -> Column:
+    """A map from a first word to the numbers of paragraphs, from 2 on, of the known texts that begin with it."""
+    rows = known.select(_paragraphs(_cleaned(F.col("text"))).alias("ps")).where("size(ps) > 1")
+    rows = rows.groupBy(_first_word(F.element_at("ps", 1)).alias("word")).agg(F.sort_array(F.collect_set(F.size("ps"))).alias("sizes")).collect()
+    pairs = [x for r in rows for x in (F.lit(r["word"]), F.array(*[F.lit(n) for n in r["sizes"]]))]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<int>>")
+
+
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``doc_id, digest, licence, licences, n_found`` of every document.
 
     ``licence`` is what the whole text is, ``licences`` all that it, its
-    paragraphs and its lines are, sorted and joined by a comma.
+    paragraphs, runs of them and its lines are, sorted and joined by a comma.
     """
-    known = F.broadcast(known_digests(docs.sparkSession))
+    texts = known_texts(docs.sparkSession) if known is None else known
+    lengths = run_lengths(texts)
+    digests_of = F.broadcast(known_digests(texts))
     cleaned = docs.select("doc_id", _cleaned(F.coalesce("text", F.lit(""))).alias("cleaned"))
-    units = F.concat(F.array("cleaned"), F.split("cleaned", "\n", -1), F.split("cleaned", r"\n *\n", -1))
+    units = F.concat(F.array("cleaned"), F.split("cleaned", "\n", -1))
     digests = F.transform(units, lambda u: F.sha2(_joined(u), 256))
+
+    def runs(ps: Column) -> Column:
+        fitting = lambda p, i: F.filter(F.coalesce(F.try_element_at(lengths, _first_word(p)), F.array().cast("array<int>")), lambda n: i + n <= F.size(ps))
+        run = lambda i, n: F.sha2(F.array_join(F.slice(ps, i + 1, n), " "), 256)
+        return F.concat(F.transform(ps, lambda p: F.sha2(p, 256)), F.flatten(F.transform(ps, lambda p, i: F.transform(fitting(p, i), lambda n: run(i, n)))))
+
+    # A lambda over an array of one binds the paragraphs, so that they are made once.
+    digests = F.concat(digests, F.flatten(F.transform(F.array(_paragraphs(F.col("cleaned"))), runs)))
     each = cleaned.select(F.monotonically_increasing_id().alias("row"), "doc_id", digests.alias("digests"))
     each = each.select("row", "doc_id", F.element_at("digests", 1).alias("whole"), F.explode(F.array_distinct("digests")).alias("digest"))
     # Rows of a document stand in one task, so partial aggregation leaves one before the shuffle.
-    found = each.join(known, "digest", "left").groupBy("row", "doc_id", "whole").agg(
+    found = each.join(digests_of, "digest", "left").groupBy("row", "doc_id", "whole").agg(
         F.max(F.when(F.col("digest") == F.col("whole"), F.col("licence"))).alias("licence"),
         F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("licences"),
         F.count("licence").alias("n_found"),

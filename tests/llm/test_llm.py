@@ -437,3 +437,16 @@ def test_licences(spark):
     assert [got[i]["licence"] for i in range(6)] == ["MIT", "MIT", None, None, None, None]
     assert [got[i]["licences"] for i in range(6)] == ["MIT", "MIT", "MIT", "", "", ""]
     assert got[2]["n_found"] == 1
+
+
+def test_full_licences_and_runs(spark):
+    full = dict(reversed(licences.full_texts()))
+    mit = licences.KNOWN[0][1]
+    texts = [full[k] for k in sorted(full)]
+    texts += [f"{mit}\n\ndef f():\n\n    return 1", f"Prose.\n\nPermission denied.\n\nCopyright 2024 X\n\n{mit}\n\n{full['Unlicense']}\n\nEnd.", mit.split("\n\n")[0] + "\n\nEnd."]
+    got = {r["doc_id"]: r for r in licences.scan(docs_of(spark, texts)).collect()}
+    assert [got[i]["licence"] for i in range(len(full))] == sorted(full)
+    assert [got[len(full) + i]["licences"] for i in range(3)] == ["MIT", "MIT,Unlicense", ""]
+    own = spark.createDataFrame([("Own", "May be used.\n\nNot sold.")], "licence string, text string")
+    one = licences.scan(docs_of(spark, ["a\n\nmay be used\n\nnot sold\n\nb", mit]), own)
+    assert sorted((r["doc_id"], r["licences"]) for r in one.collect()) == [(0, "Own"), (1, "")]
