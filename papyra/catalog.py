@@ -673,6 +673,14 @@ def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return understanding.entities_sql(table(spark, sf_dir, "documents"), aliases, "doc_id", "text").distinct()
 
 
+@query()
+def entity_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of the items whose whole text a document holds, at any place."""
+    ship(spark)
+    aliases = table(spark, sf_dir, "benchmark").select(F.col("text").alias("alias"), F.concat(F.lit("B"), "item_id").alias("code"))
+    return understanding.entities(table(spark, sf_dir, "documents"), aliases, "doc_id", "text")
+
+
 CATEGORIES = [("notice", ["notice", "the"]), ("report", ["report", "fr/", "de/"]), ("form", ["form", "page"]), ("library", ["library", "book"])]
 
 

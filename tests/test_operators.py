@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from papyra import catalog
 from papyra.functions import html, numbers, text, urls
 from papyra.operators import chunking, extract, ranking, relational, structure, understanding
 from papyra.plans.corpus import Corpus
@@ -195,3 +196,12 @@ def test_streams(spark, tmp_path):
     assert [r["hit"] for r in spark.sql("select * from hits order by ts").collect()] == [False, True, False]
     late = serving.windowed(spark.readStream.schema("ts timestamp, value double").parquet(requests), "ts", "1 hour", None, "10 minutes")
     assert late.isStreaming
+
+
+def test_entity_codes_look_at_every_place(spark, tmp_path):
+    items = [(1, "merge joins"), (2, "sort merge joins")]
+    texts = [(1, "word " * 300 + "sort merge joins. " + "word " * 300 + "Merge joins."), (2, "Sort merge joins."), (3, "merge joined")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["codes"] for r in catalog.QUERIES["entity_codes"](spark, str(tmp_path)).collect()}
+    assert {k: sorted(v or []) for k, v in got.items()} == {1: ["B1", "B2"], 2: ["B2"], 3: []}
