@@ -41,7 +41,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    path = f"{shared_dir(spark)}/papyra/warc-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(pages, path)
     found = warc.resolved(warc.read(spark, path, payloads=False))
     kind = dict(pages.dtypes)["page_id"]

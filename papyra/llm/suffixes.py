@@ -10,16 +10,24 @@ A shard keeps distinct contexts with the smallest doc_id of each. An anchor with
 one context needs no more. The others are joined into one text, whose suffix array
 is built by induced sorting: suffixes are classified as smaller or larger than
 the next, leftmost-smaller substrings are sorted and named, the sequence of names
-is sorted in turn, and the rest of the array is induced from it in linear time,
-one bucket after another. Permuted common prefixes with the suffix before in the
-array are computed in text order; windows in a run with prefixes of LENGTH or more
-are equal, and the smallest doc_id of the run decides for all of them.
+is sorted by the same procedure, and the rest of the array is induced from it in
+linear time, one bucket after another. Permuted common prefixes with the suffix
+before in the array are computed in text order; windows in a run with prefixes of
+LENGTH or more are equal, and the smallest doc_id of the run decides for all of them.
+
+Passages that very many documents share do not meet in one task. Anchors found in
+several documents of one batch are known to be shared there, and only two of these
+documents go on to the anchor's shard. Anchors of HOT documents or more are left
+out of the shards: their contexts are aggregated by value, map side first, and
+so are the windows of what is left. At most MOST_HOT anchors, the most frequent, take
+this way, as their list is held by every task; that leaves any other anchor a
+bounded share of the input.
 
 Defined results: null texts count as empty; texts shorter than a window lose
 nothing; matches never cross documents; a document's own repeats do not count,
-nor do rows with the same doc_id; an empty table gives an empty result; extra
-columns are ignored. Texts are read whole; memory grows with the longest one.
-Groups of copies of any size collapse to one context before they meet.
+nor do rows with the same doc_id; rows without a doc_id are before or after no
+other and lose nothing; an empty table gives an empty result; extra columns are
+ignored. Texts are read whole; memory grows with the longest one.
 """
 
 from __future__ import annotations
@@ -34,17 +42,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, staged
+from .common import free, runs, staged
 from .shingles import _BYTE, CHUNK, _Powers, distinct, mix
 
 LENGTH = 50
 GRAM = 24
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of texts that are worked on at once, if none is longer.
 DEALT_BYTES = 2 << 20
 #: Bytes of contexts that one suffix array holds, and contexts that a batch gathers, at most.
-SORTED_BYTES = 1 << 20
+SORTED_BYTES = 3 << 19
 HELD_CONTEXTS = 1 << 16
+#: Anchors in so many documents are hot; so many of them at most; documents of one batch from which a task remembers an anchor as shared.
+HOT = 4096
+MOST_HOT = 100_000
+TOLD = 4
+MOST_TOLD = 1 << 17
 
 _PLACE_BITS = 30
 
@@ -90,53 +103,66 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Itera
         yield who + a, grams[anchor[first]], at[first] - starts[who], at[last] - starts[who]
 
 
+#: Symbols of 16 bits are sorted by numpy in linear time.
+_SYMBOL = np.int16
+
+
 def suffix_array(text: np.ndarray, seps: np.ndarray) -> np.ndarray:
     """Suffix array by induced sorting of ``text``, whose zeros (at ``seps``) count as distinct, ascending symbols.
 
     The text ends with a zero. Each bucket is induced at once: its entries, in
     order, send the suffixes before them to the next free places of their buckets.
+    Sequences of names that repeat are sorted by this function in turn.
     """
     n = len(text)
+    top = int(text.max(initial=0)) + 1
     # S: smaller than the next suffix. Equal neighbours follow the next change; zeros are S.
     change = np.flatnonzero(text[1:] != text[:-1])
     rising = text[1:][change] > text[change]
     smaller = np.zeros(n, dtype=bool)
-    smaller[: change[-1] + 1 if len(change) else 0] = rising[np.searchsorted(change, np.arange(change[-1] + 1))] if len(change) else False
+    if len(change):
+        smaller[: change[-1] + 1] = np.repeat(rising, np.diff(change, prepend=-1))
     smaller[seps] = True
-    leftmost = np.flatnonzero(smaller & np.append(False, ~smaller[:-1]) | (text == 0))
-    counts = np.bincount(text, minlength=257)
+    leftmost = np.flatnonzero(smaller & np.append(False, ~smaller[:-1]) | (text == 0)).astype(np.int32)
+    counts = np.bincount(text, minlength=top)
     ends = np.cumsum(counts)
     heads = ends - counts
     chars = np.flatnonzero(counts)
 
     def induce(ordered: np.ndarray) -> np.ndarray:
         """The array from its leftmost-smaller suffixes in order."""
-        sa = np.full(n, -1, dtype=np.int64)
+        sa = np.full(n, -1, dtype=np.int32)
         ordered = ordered[np.argsort(text[ordered], kind="stable")]
         by = text[ordered]
-        tail = np.bincount(by, minlength=257)
+        tail = np.bincount(by, minlength=top)
         first = ends - tail
         sa[first[by] + np.arange(len(by)) - (np.cumsum(tail) - tail)[by]] = ordered
         larger_end = heads.copy()
 
-        def send(entries: np.ndarray, want_smaller: bool, top: np.ndarray) -> None:
+        def send(entries: np.ndarray, want_smaller: bool, top_of: np.ndarray) -> None:
+            if not len(entries):
+                return
             before = entries[entries > 0] - 1
             before = before[smaller[before] == want_smaller]
-            if want_smaller:
-                before = before[text[before] != 0]
             if not len(before):
                 return
             c = text[before]
+            if want_smaller:
+                some = c != 0
+                before, c = before[some], c[some]
+            if not len(before):
+                return
             order = np.argsort(c, kind="stable")
             before, c = before[order], c[order]
-            times = np.bincount(c, minlength=257)
-            rank = np.arange(len(c)) - (np.cumsum(times) - times)[c]
+            start = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            symbol, times = c[start], np.diff(np.append(start, len(c)))
+            rank = np.arange(len(c)) - np.repeat(start, times)
             if want_smaller:
-                sa[top[c] - 1 - rank] = before
-                top -= times
+                sa[np.repeat(top_of[symbol], times) - 1 - rank] = before
+                top_of[symbol] -= times
             else:
-                sa[top[c] + rank] = before
-                top += times
+                sa[np.repeat(top_of[symbol], times) + rank] = before
+                top_of[symbol] += times
 
         for c in chars.tolist():
             done = heads[c]
@@ -163,7 +189,7 @@ def suffix_array(text: np.ndarray, seps: np.ndarray) -> np.ndarray:
     ordered = first_pass[is_leftmost[first_pass]]
     # Names: two leftmost-smaller substrings are one if all characters up to the next such place agree.
     following = np.append(leftmost[1:], n - 1)
-    index = np.zeros(n, dtype=np.int64)
+    index = np.zeros(n, dtype=np.int32)
     index[leftmost] = np.arange(len(leftmost))
     size = following[index[ordered]] - ordered + 1
     differs = np.append(True, size[1:] != size[:-1])
@@ -178,26 +204,31 @@ def suffix_array(text: np.ndarray, seps: np.ndarray) -> np.ndarray:
         step += 1
         live = live[~unequal]
         live = live[step < size[live]]
-    name = np.empty(len(leftmost), dtype=np.int64)
+    name = np.empty(len(leftmost), dtype=np.int32)
     name[index[ordered]] = np.cumsum(differs) - 1
-    return induce(leftmost[_sorted_names(name)])
-
-
-def _sorted_names(name: np.ndarray) -> np.ndarray:
-    """Suffixes of the sequence of names in order: ranks over 1, 2, 4 ... names until all differ."""
-    n, rank, span = len(name), name.astype(np.int64), 1
-    while True:
-        # One number a suffix: its rank, then that of what follows (0 past the end).
-        key = rank * (n + 1)
-        key[: n - span] += rank[span:] + 1
-        order = np.argsort(key)
-        key = key[order]
-        new = np.append(True, key[1:] != key[:-1])
-        if new.all() or span >= n:
-            return order
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new) - 1
-        span *= 2
+    if differs.all():
+        return induce(ordered)
+    return induce(leftmost[_sorted_names(name, len(seps))])
+
+
+def _sorted_names(name: np.ndarray, zeros: int) -> np.ndarray:
+    """Suffixes of a sequence of names in order. The lowest ``zeros`` names are unique and stand for zeros.
+
+    Other names are written as two symbols each, so that the sequence is a text over few
+    symbols, whose suffixes that start with a name are in the order of the names.
+    """
+    is_zero = name < zeros
+    width = np.where(is_zero, 1, 2)
+    start = np.cumsum(width) - width
+    others = name.astype(np.int64) - zeros
+    base = int(np.sqrt(others.max(initial=0))) + 1
+    text = np.zeros(int(width.sum()), dtype=_SYMBOL)
+    text[start[~is_zero]] = others[~is_zero] // base + 1
+    text[start[~is_zero] + 1] = others[~is_zero] % base + 1
+    number = np.full(len(text), -1, dtype=np.int32)
+    number[start] = np.arange(len(name))
+    in_order = number[suffix_array(text, start[is_zero])]
+    return in_order[in_order >= 0]
 
 
 def equal_windows(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +236,7 @@ def equal_windows(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
     raw = b"\0".join(contexts) + b"\0"
     sizes = np.array([len(c) for c in contexts], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    text = np.frombuffer(raw, dtype=np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(raw, dtype=np.uint8).astype(_SYMBOL) + 1
     seps = starts + sizes
     text[seps] = 0
     sa = suffix_array(text, seps)
@@ -274,16 +305,49 @@ def _joined(table: pa.Table, i: int, kind) -> np.ndarray:
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
-    at = np.flatnonzero(np.append(True, shard[order][1:] != shard[order][:-1])) if len(order) else []
+    at = np.flatnonzero(np.append(True, shard[order][1:] != shard[order][:-1]))
     for a, b in zip(at, [*at[1:], len(order)], strict=True):
         yield int(shard[order[a]]), order[a:b]
 
 
+class _Told:
+    """Anchors that a task knows to be shared, and in how many documents it has seen them since."""
+
+    def __init__(self) -> None:
+        self.h, self.docs = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    def seen(self, h: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        known = _among(h, self.h)
+        self.docs[np.searchsorted(self.h, h[known])] += docs[known]
+        return known
+
+    def add(self, h: np.ndarray) -> None:
+        h = h[: max(0, MOST_TOLD - len(self.h))]
+        h = np.concatenate([self.h, h])
+        order = np.argsort(h)
+        self.h, self.docs = h[order], np.concatenate([self.docs, np.zeros(len(h) - len(self.docs), dtype=np.int64)])[order]
+
+
+def _by_doc(doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Distinct documents, and for each array its values by document as bytes."""
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
+    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
+    return doc[at], [[x.tobytes() for x in np.split(v[order], at[1:])] if len(at) else [] for v in values]
+
+
 def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
-    """``doc_id, shared``: per document and shard the low halves of anchor hashes that other documents have too."""
+    """``doc_id, shared, often``: per document and shard the low halves of anchor hashes that other documents have too.
+
+    Rows with ``often`` hold one hot anchor and in about how many documents it is.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = _Told()
+        none = np.zeros(0, dtype=np.uint32)
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
             texts = _binary(batch.column(1))
@@ -292,36 +356,85 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
                 if not found:
                     continue
                 who, h = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                known_ids, number = np.unique(ids[a:b], return_inverse=True)
+                doc = number[who]
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+                h, doc = h[new], doc[new]
+                at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                times = np.diff(np.append(at, len(h)))
+                known = told.seen(h[at], times)
+                here = np.repeat((times > 1) | known, times)
+                goes = (np.arange(len(h)) - np.repeat(at, times) < 2) & ~np.repeat(known, times)
+                told.add(h[at][(times >= TOLD) & ~known])
+                # Shared within the batch, or known before: what these documents have is settled.
+                if here.any():
+                    own, (blobs,) = _by_doc(doc[here], h[here].astype(np.uint32))
+                    sizes = np.array([len(x) // 4 for x in blobs], dtype=np.int32)
+                    yield _pack(-1 - int(known_ids[0]) % shards, b"".join(blobs), sizes, known_ids[own], none, none)
+                more = (times > 2) & ~known
+                extra_h, extra = h[at][more], (times[more] - 2).astype(np.int32)
+                h, doc = h[goes], doc[goes]
+                also = dict(_by_shard(_shard(extra_h, shards)))
                 for shard, own in _by_shard(_shard(h, shards)):
-                    docs_here, times = np.unique(who[own], return_counts=True)
-                    yield _pack(shard, h[own].astype(np.uint32), times.astype(np.int32), ids[a + docs_here])
+                    own = own[np.argsort(doc[own], kind="stable")]
+                    docs_here, times = np.unique(doc[own], return_counts=True)
+                    extras = also.get(shard, none)
+                    yield _pack(shard, h[own].astype(np.uint32), times.astype(np.int32), known_ids[docs_here], extra_h[extras].astype(np.uint32), extra[extras])
+        for shard, own in _by_shard(_shard(told.h, shards)):
+            yield _pack(shard, none, none, none, told.h[own].astype(np.uint32), told.docs[own].astype(np.int32))
 
     def meet(table: pa.Table) -> pa.Table:
         h, times, ids = _joined(table, 0, np.uint32), _joined(table, 1, np.int32), _joined(table, 2, np.int64)
-        values = distinct(ids)
-        doc = np.repeat(np.searchsorted(values, ids), times)
-        pairs = distinct(h.astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
-        h, doc = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        same = np.append(False, h[1:] == h[:-1]) if len(h) else np.zeros(0, dtype=bool)
-        same |= np.append(same[1:], False) if len(h) else same
-        h, doc = h[same], doc[same]
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
-        blobs = [x.tobytes() for x in np.split(h, at[1:])] if len(at) else []
-        return _released(pa.table([pa.array(values[doc[at]], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "shared"]))
-
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "shard int, p0 binary, p1 binary, p2 binary")
-    return dealt.groupBy("shard").applyInArrow(meet, "doc_id long, shared binary")
-
-
-def earlier_windows(docs: DataFrame, shared: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
-    """``doc_id, starts, masks``: windows that start in an earlier document too.
+        hot = hot_docs = np.zeros(0, dtype=np.int64)
+        if table.column("shard")[0].as_py() < 0:
+            edges = np.cumsum(times)[:-1]
+            values, blobs = ids, [x.tobytes() for x in np.split(h, edges)] if len(times) else []
+        else:
+            values = distinct(ids)
+            doc = np.repeat(np.searchsorted(values, ids), times)
+            pairs = distinct(h.astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
+            h, doc = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            same = np.append(False, h[1:] == h[:-1]) if len(h) else np.zeros(0, dtype=bool)
+            same |= np.append(same[1:], False) if len(h) else same
+            counted, which = np.unique(np.concatenate([h, _joined(table, 3, np.uint32)]), return_inverse=True)
+            total = np.bincount(which, weights=np.concatenate([np.ones(len(h)), _joined(table, 4, np.int32)]), minlength=len(counted))
+            hot, hot_docs = counted[total >= HOT], total[total >= HOT].astype(np.int64)
+            own, (blobs,) = _by_doc(doc[same], h[same])
+            values = values[own]
+        columns = [
+            pa.array([*values.tolist(), *[None] * len(hot)], pa.int64()),
+            pa.array(blobs + [x.tobytes() for x in hot], pa.binary()),
+            pa.array([*[None] * len(values), *hot_docs.tolist()], pa.int64()),
+        ]
+        return _released(pa.table(columns, names=["doc_id", "shared", "often"]))
+
+    dealt = docs.select("doc_id", "text").mapInArrow(deal, "shard int, " + ", ".join(f"p{i} binary" for i in range(5)))
+    return dealt.groupBy("shard").applyInArrow(meet, "doc_id long, shared binary, often long")
+
+
+def hot_anchors(shared: DataFrame) -> np.ndarray:
+    """The low halves of the hottest anchors' hashes, sorted: MOST_HOT rows at most reach the driver."""
+    rows = shared.where("often is not null").orderBy(F.col("often").desc(), "shared").limit(MOST_HOT).select("shared").collect()
+    return np.sort(np.frombuffer(b"".join(r["shared"] for r in rows), dtype=np.uint32))
+
+
+def _with_anchors(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Documents with their lists of shared anchors."""
+    lists = shared.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("shared").alias("shared"))
+    return docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "shared")
+
+
+def _wanted(column: pa.Array) -> list[np.ndarray]:
+    return [np.sort(np.frombuffer(b"".join(x), dtype=np.uint32)) for x in column.to_pylist()]
+
+
+def earlier_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, shards: int, length: int = LENGTH) -> DataFrame:
+    """``doc_id, starts, masks``: windows that start in an earlier document too, but those of hot anchors.
 
     Bit i of a mask is the window i bytes after the start.
     """
-    lists = shared.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("shared").alias("shared"))
-    joined = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "shared")
 
     def deal_some(ids: np.ndarray, texts: list[bytes], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -331,6 +444,8 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, shards: int, length: int
             contexts = list(seen)
             who, ctx, start = np.concatenate(who_all), np.array(ctx_all), np.array(start_all)
             hashes = np.array(ctx_h, dtype=np.uint64)
+            for held in (seen, who_all, ctx_all, start_all, ctx_h):
+                held.clear()
             for shard, own in _by_shard(_shard(hashes, shards)[ctx]):
                 used, row = np.unique(ctx[own], return_inverse=True)
                 parts = [contexts[c] for c in used.tolist()]
@@ -339,8 +454,6 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, shards: int, length: int
                     shard, b"".join(parts), np.array([len(c) for c in parts], dtype=np.uint8), hashes[used],
                     np.array([len(used)], dtype=np.int64), row.astype(np.int32), start[own].astype(np.int64), times.astype(np.int32), ids[docs_here],
                 )
-            for held in (seen, who_all, ctx_all, start_all, ctx_h):
-                held.clear()
             del contexts, who, ctx, start, hashes
             _released(None)
 
@@ -348,7 +461,8 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, shards: int, length: int
             edges = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
             for a, b in zip(edges, [*edges[1:], len(who)], strict=True):
                 i = int(who[a])
-                keep = a + np.flatnonzero(_among(h[a:b].astype(np.uint32), wanted[i]))
+                short = h[a:b].astype(np.uint32)
+                keep = a + np.flatnonzero(_among(short, wanted[i]) & ~_among(short, hot))
                 text = texts[i]
                 for p, q, x in zip(lo[keep].tolist(), hi[keep].tolist(), h[keep].tolist(), strict=True):
                     c = seen.setdefault(text[p : q + length], len(seen))
@@ -365,21 +479,21 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, shards: int, length: int
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            wanted = [np.sort(np.frombuffer(b"".join(x), dtype=np.uint32)) for x in batch.column(2).to_pylist()]
-            yield from deal_some(ids, _binary(batch.column(1)), wanted)
+            yield from deal_some(ids, _binary(batch.column(1)), _wanted(batch.column(2)))
 
     def meet(table: pa.Table) -> pa.Table:
         raw, sizes, h = b"".join(table.column("p0").to_pylist()), _joined(table, 1, np.uint8).astype(np.int64), _joined(table, 2, np.uint64)
-        per_row, ctx = _joined(table, 3, np.int64), _joined(table, 4, np.int32).astype(np.int64)
+        per_row, ctx = _joined(table, 3, np.int64), _joined(table, 4, np.int32).copy()
         start, times, ids = _joined(table, 5, np.int64), _joined(table, 6, np.int32), _joined(table, 7, np.int64)
-        ctx += np.repeat(np.cumsum(per_row) - per_row, [len(x) // 4 for x in table.column("p4").to_pylist()])
+        ctx += np.repeat(np.cumsum(per_row) - per_row, [len(x) // 4 for x in table.column("p4").to_pylist()]).astype(np.int32)
+        del table
         doc = np.repeat(ids, times)
         offsets = np.cumsum(sizes) - sizes
         number: dict[bytes, int] = {}
-        same = np.empty(len(sizes), dtype=np.int64)
+        same = np.empty(len(sizes), dtype=np.int32)
         for i, (o, s) in enumerate(zip(offsets, sizes, strict=True)):
             same[i] = number.setdefault(raw[o : o + s], len(number))
-        del raw
+        del raw, offsets
         contexts = list(number)
         del number
         anchor = np.zeros(len(contexts), dtype=np.uint64)
@@ -412,15 +526,52 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, shards: int, length: int
             earlier = by_window[first[ctx[has]] + i] < doc[has]
             mask[has] |= earlier.astype(np.uint32) << np.uint32(i)
         hit = np.flatnonzero(mask)
-        hit = hit[np.argsort(doc[hit], kind="stable")]
-        at = np.flatnonzero(np.append(True, doc[hit][1:] != doc[hit][:-1])) if len(hit) else np.zeros(0, dtype=np.int64)
-        starts = [x.tobytes() for x in np.split(start[hit], at[1:])] if len(at) else []
-        masks = [x.tobytes() for x in np.split(mask[hit], at[1:])] if len(at) else []
+        own, (starts, masks) = _by_doc(doc[hit], start[hit], mask[hit])
         del contexts
-        return _released(pa.table([pa.array(doc[hit][at], pa.int64()), pa.array(starts, pa.binary()), pa.array(masks, pa.binary())], names=["doc_id", "starts", "masks"]))
+        return _released(pa.table([pa.array(own, pa.int64()), pa.array(starts, pa.binary()), pa.array(masks, pa.binary())], names=["doc_id", "starts", "masks"]))
 
     schema = "shard int, " + ", ".join(f"p{i} binary" for i in range(8))
-    return joined.mapInArrow(deal, schema).groupBy("shard").applyInArrow(meet, "doc_id long, starts binary, masks binary")
+    return _with_anchors(docs, shared).mapInArrow(deal, schema).groupBy("shard").applyInArrow(meet, WINDOWS)
+
+
+WINDOWS = "doc_id long, starts binary, masks binary"
+
+
+def hot_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, length: int = LENGTH) -> DataFrame:
+    """Like ``earlier_windows``, for hot anchors: contexts and then windows are aggregated by value."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = [w[_among(w, hot)] for w in _wanted(batch.column(2))]
+            some = [i for i, w in enumerate(wanted) if len(w)]
+            ids, texts = batch.column(0).to_pylist(), _binary(batch.column(1))
+            for who, h, lo, hi in anchors([texts[i] for i in some]):
+                short = h.astype(np.uint32)
+                keep = np.concatenate([np.zeros(0, dtype=np.int64), *[at[_among(short[at], wanted[some[w]])] for w in np.unique(who).tolist() for at in [np.flatnonzero(who == w)]]])
+                own = [some[w] for w in who[keep].tolist()]
+                places = list(zip(own, lo[keep].tolist(), hi[keep].tolist(), strict=True))
+                for a in range(0, len(places), 4096):
+                    rows = places[a : a + 4096]
+                    columns = [pa.array([texts[i][p : q + length] for i, p, q in rows], pa.binary()), pa.array([ids[i] for i, _, _ in rows], pa.int64()), pa.array([p for _, p, _ in rows], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["context", "doc_id", "start"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, start, mask = (batch.column(i).to_numpy() for i in range(3))
+            own, (starts, masks) = _by_doc(doc, start, mask.astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(starts, pa.binary()), pa.array(masks, pa.binary())], names=["doc_id", "starts", "masks"])
+
+    places = staged(_with_anchors(docs, shared).mapInArrow(cut, "context binary, doc_id long, start long"), "hot")
+    contexts = places.groupBy("context").agg(F.min("doc_id").alias("first"))
+    offsets = F.sequence(F.lit(0), F.octet_length("context") - length)
+    windows = contexts.select("context", "first", F.explode(offsets).alias("i"))
+    windows = windows.withColumn("window", F.substring("context", F.col("i") + 1, F.lit(length)))
+    earliest = windows.groupBy("window").agg(F.min("first").alias("earliest"))
+    # A window is in few contexts or, at the edge of a passage, a context has few windows of others; both joins may be split.
+    each = windows.join(earliest, "window").groupBy("context").agg(F.collect_list(F.struct("i", "earliest")).alias("windows"))
+    bits = F.aggregate("windows", F.lit(0).cast("long"), lambda m, w: m + F.when(w["earliest"] < F.col("doc_id"), F.pow(F.lit(2.0), w["i"]).cast("long")).otherwise(F.lit(0).cast("long")))
+    found = places.join(each, "context").select("doc_id", "start", bits.alias("mask")).where("mask <> 0")
+    return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(pack, WINDOWS)
 
 
 def covered(n: int, starts: np.ndarray, masks: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -439,7 +590,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> Data
     shards = max(1, -(-total // SHARD_BYTES))
     texts = docs.where("text is not null")
     shared = staged(shared_anchors(texts.where("doc_id is not null"), shards), "shared")
-    found = staged(earlier_windows(texts, shared, shards, length), "windows")
+    hot = hot_anchors(shared)
+    found = staged(earlier_windows(texts, shared, hot, shards, length), "windows")
+    if len(hot):
+        found = found.unionByName(staged(hot_windows(texts, shared, hot, length), "windows"))
+    free(shared)
     lists = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("starts").alias("starts"), F.collect_list("masks").alias("masks"))
     joined = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "text", "starts", "masks")
     schema = docs.select("doc_id").schema

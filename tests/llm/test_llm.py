@@ -111,7 +111,7 @@ def test_suffix_array_and_windows():
         contexts = [bytes(rng.choice(b"ab\xff") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 8))]
         sizes = np.array([len(c) for c in contexts])
         seps = np.cumsum(sizes + 1) - 1
-        text = np.frombuffer(b"\0".join(contexts) + b"\0", dtype=np.uint8).astype(np.int64) + 1
+        text = np.frombuffer(b"\0".join(contexts) + b"\0", dtype=np.uint8).astype(np.int16) + 1
         text[seps] = 0
         symbols = [(int(x), 0) for x in text]
         for i, s in enumerate(seps):
@@ -139,15 +139,23 @@ def brute_bytes(docs):
     return out
 
 
-def test_suffixes_match_brute_force(spark):
+@pytest.mark.parametrize("hot", [suffixes.HOT, 3])
+def test_suffixes_match_brute_force(spark, monkeypatch, hot):
+    for name, value in (("HOT", hot), ("DEALT_BYTES", 4000 if hot == 3 else suffixes.DEALT_BYTES)):
+        monkeypatch.setattr(suffixes, name, value)
+    by_value, split = suffixes.hot_windows, []
+    monkeypatch.setattr(suffixes, "hot_windows", lambda *a: split.append(len(a[2])) or by_value(*a))
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdé ") for _ in range(300)) for _ in range(6)]
     piece = lambda: (lambda b, x: b[x : x + rng.randint(10, 120)])(rng.choice(base), rng.randint(0, 200))
     docs = [(i * 3, "".join(piece() for _ in range(rng.randint(0, 6)))) for i in range(120)]
     docs += [(5000, None), (5001, ""), (5002, "a" * 400), (5003, "a" * 300), (5004, "x" * 49), (5006, "x" * 50), (5007, "x" * 50)]
+    # One passage in every second document.
+    docs += [(6000 + i, f"{i} " * rng.randint(0, 9) + base[0][:150] + f" {i}" * rng.randint(0, 9)) for i in range(60)]
     got = suffixes.dedup(table(spark, docs, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_bytes(docs)
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
+    assert bool(split) == (hot == 3) and all(split)
 
 
 # -- 3: fingerprints
