@@ -47,7 +47,7 @@ from .shingles import _BYTE, CHUNK, _Powers, distinct, mix
 
 LENGTH = 50
 GRAM = 24
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 6 << 20
 #: Bytes of texts that are worked on at once, if none is longer.
 DEALT_BYTES = 2 << 20
 #: Bytes of contexts that one suffix array holds, and contexts that a batch gathers, at most.
@@ -128,6 +128,11 @@ def suffix_array(text: np.ndarray, seps: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
     heads = ends - counts
     chars = np.flatnonzero(counts)
+    # Of each suffix the symbol before it, if the suffix from there is larger or smaller than it, else -1.
+    to_larger, to_smaller = np.full((2, n), -1, dtype=_SYMBOL)
+    to_larger[1:][~smaller[:-1]] = text[:-1][~smaller[:-1]]
+    induces = smaller[:-1] & (text[:-1] != 0)
+    to_smaller[1:][induces] = text[:-1][induces]
 
     def induce(ordered: np.ndarray) -> np.ndarray:
         """The array from its leftmost-smaller suffixes in order."""
@@ -139,48 +144,40 @@ def suffix_array(text: np.ndarray, seps: np.ndarray) -> np.ndarray:
         sa[first[by] + np.arange(len(by)) - (np.cumsum(tail) - tail)[by]] = ordered
         larger_end = heads.copy()
 
-        def send(entries: np.ndarray, want_smaller: bool, top_of: np.ndarray) -> None:
-            if not len(entries):
+        def send(entries: np.ndarray, to: np.ndarray, top_of: np.ndarray, up: bool) -> None:
+            c = to[entries]
+            here = c >= 0
+            c = c[here]
+            if not len(c):
                 return
-            before = entries[entries > 0] - 1
-            before = before[smaller[before] == want_smaller]
-            if not len(before):
-                return
-            c = text[before]
-            if want_smaller:
-                some = c != 0
-                before, c = before[some], c[some]
-            if not len(before):
-                return
-            order = np.argsort(c, kind="stable")
-            before, c = before[order], c[order]
-            start = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            symbol, times = c[start], np.diff(np.append(start, len(c)))
-            rank = np.arange(len(c)) - np.repeat(start, times)
-            if want_smaller:
-                sa[np.repeat(top_of[symbol], times) - 1 - rank] = before
-                top_of[symbol] -= times
+            order = c.argsort(kind="stable")
+            before = entries[here][order] - 1
+            c = c[order]
+            rank = np.arange(len(c)) - c.searchsorted(c)
+            if up:
+                sa[top_of[c] + rank] = before
+                top_of += np.bincount(c, minlength=top)
             else:
-                sa[np.repeat(top_of[symbol], times) + rank] = before
-                top_of[symbol] += times
+                sa[top_of[c] - 1 - rank] = before
+                top_of -= np.bincount(c, minlength=top)
 
         for c in chars.tolist():
             done = heads[c]
             while done < larger_end[c]:
                 upto = larger_end[c]
-                send(sa[done:upto], False, larger_end)
+                send(sa[done:upto], to_larger, larger_end, True)
                 done = upto
-            send(sa[first[c] : ends[c]], False, larger_end)
+            send(sa[first[c] : ends[c]], to_larger, larger_end, True)
         smaller_top = ends.copy()
         smaller_top[0] = heads[0]  # zeros stay as they are
         for c in chars[::-1].tolist():
             done = ends[c]
             while c and done > smaller_top[c]:
                 upto = smaller_top[c]
-                send(sa[upto:done][::-1], True, smaller_top)
+                send(sa[upto:done][::-1], to_smaller, smaller_top, False)
                 done = upto
             # What is left in the bucket is larger, or zeros.
-            send(sa[heads[c] : larger_end[c] if c else ends[c]][::-1], True, smaller_top)
+            send(sa[heads[c] : larger_end[c] if c else ends[c]][::-1], to_smaller, smaller_top, False)
         return sa
 
     first_pass = induce(leftmost)
@@ -214,21 +211,28 @@ def suffix_array(text: np.ndarray, seps: np.ndarray) -> np.ndarray:
 def _sorted_names(name: np.ndarray, zeros: int) -> np.ndarray:
     """Suffixes of a sequence of names in order. The lowest ``zeros`` names are unique and stand for zeros.
 
-    Other names are written as two symbols each, so that the sequence is a text over few
-    symbols, whose suffixes that start with a name are in the order of the names.
+    A unique name settles its suffix, so only names that repeat go on, each run of them
+    with the name behind it. They are written as two symbols each, which makes a text
+    over few symbols, whose suffixes that start with a name are in the order of the names.
     """
-    is_zero = name < zeros
+    repeats = np.bincount(name)[name] > 1
+    kept = np.flatnonzero(repeats | np.append(False, repeats[:-1]))
+    values, short = np.unique(name[kept], return_inverse=True)
+    is_zero = name[kept] < zeros
     width = np.where(is_zero, 1, 2)
     start = np.cumsum(width) - width
-    others = name.astype(np.int64) - zeros
+    others = short - np.count_nonzero(values < zeros)
     base = int(np.sqrt(others.max(initial=0))) + 1
-    text = np.zeros(int(width.sum()), dtype=_SYMBOL)
+    text = np.zeros(int(width.sum()) + 1, dtype=_SYMBOL)
     text[start[~is_zero]] = others[~is_zero] // base + 1
     text[start[~is_zero] + 1] = others[~is_zero] % base + 1
+    seps = np.append(start[is_zero], len(text) - 1)
     number = np.full(len(text), -1, dtype=np.int32)
-    number[start] = np.arange(len(name))
-    in_order = number[suffix_array(text, start[is_zero])]
-    return in_order[in_order >= 0]
+    number[start] = kept
+    in_order = number[suffix_array(text, seps)]
+    rank = np.zeros(len(name), dtype=np.int32)
+    rank[in_order[in_order >= 0]] = np.arange(len(kept))
+    return np.lexsort((rank, name))
 
 
 def equal_windows(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -292,6 +296,7 @@ def _released(x):
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    h = mix(h, 11)  # anchors are least hashes, so their upper bits are not spread evenly
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
