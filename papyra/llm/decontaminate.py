@@ -8,13 +8,17 @@ hits in a document; each gives a window in which Myers' bit-parallel algorithm
 
 Text is compared as lower-case words of letters and digits, joined and bounded
 by one space. The items are a stated query set: they pass in blocks of at most
-``block_chars`` characters, each block against all documents.
+``block_chars`` characters, each block against all documents; what a block finds
+is written before the next but one is read, so the driver holds two blocks.
 
 Defined results: null and empty documents match nothing, nor do items without a
 word; an item shorter than CHARS_PER_ERROR characters has to occur unchanged,
-as whole words; repeated documents each give their rows; items repeated with
-the same id and text count once; empty tables give an empty result; extra
-columns are ignored. Documents are searched whole, whatever their length.
+as whole words; repeated documents each give their rows; a document without a
+doc_id is searched like others and its rows have a null doc_id; items repeated
+with the same id and text count once, those with one id and different texts, or
+without an id, each count; of equally good occurrences of an item the first is
+given; empty tables give an empty result; extra columns are ignored. Documents
+are searched whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import staged
 
 CHARS_PER_ERROR = 20
 BLOCK_CHARS = 4_000_000
@@ -90,13 +96,24 @@ class Matcher:
         good occurrences the first counts.
         """
         doc = normalised(text)
+        out = []
+        for at, (edits, a, end) in self._hits(doc):
+            length = myers(self.items[at][1][::-1], doc[a:end][::-1])[1]
+            out.append((self.items[at][0], edits, self.budget[at], *_original(text, end - length, end)))
+        return out
+
+    def holds_one(self, text: str) -> bool:
+        """Whether any item occurs within its budget."""
+        return next(self._hits(normalised(text)), None) is not None
+
+    def _hits(self, doc: str) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """Each item that occurs, with the edits of its best window, where that starts and where the occurrence ends."""
         if not doc or not self.items:
-            return []
+            return
         starts: dict[int, set[int]] = defaultdict(set)
         for end, (length, found) in self.automaton.iter(doc):
             for at, offset in found:
                 starts[at].add(end - length + 1 - offset)
-        out = []
         for at, ests in starts.items():
             item, k, best = self.items[at][1], self.budget[at], None
             for a, b in _windows(sorted(ests), k, len(item)):
@@ -105,10 +122,7 @@ class Matcher:
                 if edits <= k and (best is None or edits < best[0]):
                     best = (edits, a, a + end)
             if best:
-                edits, a, end = best
-                length = myers(item[::-1], doc[a:end][::-1])[1]
-                out.append((self.items[at][0], edits, k, end - length, end))
-        return [(i, e, k, *span) for (i, e, k, a, b) in out for span in [_original(text, a, b)]]
+                yield at, best
 
 
 def _windows(starts: list[int], k: int, m: int) -> Iterator[tuple[int, int]]:
@@ -159,8 +173,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHARS_
         schema.add(field)
     for name in ("n_errors", "budget", "start", "end"):
         schema.add(name, "long")
+    texts = docs.where("text is not null").select("doc_id", "text")
 
-    def search(items: list[tuple[int, str]]):
+    def search(items: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, chars_per_error)
             for batch in batches:
@@ -170,19 +185,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHARS_
                         ids.append(i)
                         rows.append(found)
                 if rows:
-                    columns = [pa.array(x) for x in zip(*rows, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), *columns], names=schema.names)
+                    columns = [pa.array(x, pa.int64()) for x in zip(*[r[1:] for r in rows], strict=True)]
+                    found_ids = pa.array([r[0] for r in rows], to_arrow_type(schema["item_id"].dataType))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), found_ids, *columns], names=schema.names)
 
-        return run
+        return texts.mapInArrow(run, schema)
 
-    texts = docs.where("text is not null").select("doc_id", "text")
-    out = docs.sparkSession.createDataFrame([], schema)
+    out, held = docs.sparkSession.createDataFrame([], schema), None
     for items in blocks(benchmark, block_chars):
-        out = out.unionByName(texts.mapInArrow(search(items), schema))
-    return out
+        if held is not None:
+            out = out.unionByName(staged(search(held), "matches"))
+        held = items
+    return out if held is None else out.unionByName(search(held))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = matches(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__hit"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHARS_PER_ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; each row is judged by its own text, whatever its doc_id."""
+    schema, at = docs.schema, docs.columns.index("text")
+
+    def left(items: list[tuple[int, str]], rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(items, chars_per_error)
+            for batch in batches:
+                keep = [text is None or not matcher.holds_one(text) for text in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return rows.mapInArrow(run, schema)
+
+    rows, held = docs, None
+    for items in blocks(benchmark, block_chars):
+        if held is not None:
+            rows = staged(left(held, rows), "clean")
+        held = items
+    return rows if held is None else left(held, rows)

@@ -30,8 +30,12 @@ large group is expanded into all its pairs.
 
 Defined results: null and empty texts have no shingles and no links; a text of
 fewer words than a shingle has one, its whole sequence; rows that repeat are
-separate members of one class; an empty table gives an empty result; extra
-columns are ignored. Texts are read whole; memory grows with the longest one.
+separate members of one class; different texts under one doc_id, or without one,
+are documents of their own, but component_id is the smallest doc_id of the
+component, or null if all its documents lack one; an empty table gives an empty
+result; extra columns are ignored. Texts are read whole; memory grows with the
+longest one. Words are compared by hashes of 64 bits: two that meet by chance
+within one pair of documents would change a result about once in 2**40 pairs.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import WORD, components, free, staged
 from .shingles import distinct, mix, shingle_sets
 
 SHINGLE = 4
@@ -153,26 +157,34 @@ def _bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def text_hash() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Each document's number of shingles, set hashes, sketch, and large groups that its spare segments cover."""
+    """Each document's number of shingles, set hashes, sketch, and large groups that its spare segments cover.
+
+    ``t`` is a hash of the text, as a doc_id may repeat or be missing.
+    """
     schema = docs.select("doc_id").schema
-    for name, kind in (("n", "long"), ("s1", "long"), ("s2", "long"), ("sketch", "binary"), ("spare", "long")):
+    for name, kind in (("t", "long"), ("n", "long"), ("s1", "long"), ("s2", "long"), ("sketch", "binary"), ("spare", "long")):
         schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
             n, hashes, sketches, spare = [], [], [], []
-            for s in shingle_sets(_bytes(batch.column(1)), k):
+            for s in shingle_sets(_bytes(batch.column(2)), k):
                 n.append(len(s))
                 hashes.append(set_hash(s))
                 sketches.append(sketch(s) if len(s) >= bands.first else b"")
                 spare.append(min([bands.segments[g][3] for g in bands.of(len(s))], default=0))
             a, b = zip(*hashes, strict=True) if hashes else ([], [])
             columns = [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketches, pa.binary()), pa.array(spare, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", text_hash().alias("t"), "text").mapInArrow(run, schema)
 
 
 def _packed(shard: int, *parts: np.ndarray) -> pa.RecordBatch:
@@ -193,6 +205,8 @@ def _packed_schema(parts: int) -> str:
 
 def _dealt(hashes: np.ndarray, owner: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """By shard of the hash: shard, hashes, and which owners have how many of them; owners ascend."""
+    if not len(hashes):
+        return
     shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(shard, kind="stable")
     at = np.flatnonzero(np.diff(shard[order], prepend=-1))
@@ -250,12 +264,12 @@ def _own_counts(docs: DataFrame, k: int, least: int, shards: int) -> DataFrame:
 
 
 def _rivals(docs: DataFrame, classes: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
-    """Classes that may have a similar one: ``class, s1, s2``."""
+    """Classes that may have a similar one: ``class, of, s1, s2``."""
     least = Bands(percent).first
     own = _own_counts(docs, k, least, shards)
     may_differ = F.col("n") - F.ceil(F.col("n") * percent / 100)
     joined = classes.where(F.col("n") >= least).join(own, ["s1", "s2"], "left")
-    return joined.where(F.coalesce("own", F.lit(0)) <= may_differ).select("class", "s1", "s2")
+    return joined.where(F.coalesce("own", F.lit(0)) <= may_differ).select("class", "of", "s1", "s2")
 
 
 def _signed(texts: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
@@ -364,10 +378,11 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _class_texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``class, text`` of the classes in ``wanted``: a text of the class's smallest doc_id with the class's set."""
+    """``class, text`` of the classes in ``wanted``: the text of the class's first document."""
     # How many classes are wanted is not bounded, so they are not broadcast at any size.
-    texts = docs.where("text is not null").select("doc_id", "text")
-    found = texts.join(wanted.hint("merge"), F.col("class") == F.col("doc_id")).select("class", "text", "s1", "s2")
+    texts = docs.where("text is not null").select("doc_id", text_hash().alias("t"), "text")
+    same = F.col("of.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("of.t") == F.col("t"))
+    found = texts.join(wanted.hint("merge"), same).select("class", "text", "s1", "s2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,11 +439,15 @@ def _in_parts(rows: DataFrame, found: DataFrame, *ids: str) -> DataFrame:
 
 
 def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, small_group: int = SMALL_GROUP, few_pairs: int = FEW_PAIRS) -> tuple[DataFrame, DataFrame]:
-    """Documents with their class (``doc_id, n, class``), and verified links that connect similar classes."""
+    """Documents with their class (``doc_id, t, n, class, of``), and verified links that connect similar classes.
+
+    Classes are numbered as they are written; ``of`` is a class's first document.
+    """
     sets = staged(_sets(docs, k, percent), "sets")
-    classes = staged(
-        sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), *[F.first(c).alias(c) for c in ("n", "sketch", "spare")]), "classes"
-    )
+    # A document without doc_id comes after all others.
+    first_doc = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("of")
+    each = sets.where("n > 0").groupBy("s1", "s2").agg(first_doc, *[F.first(c).alias(c) for c in ("n", "sketch", "spare")])
+    classes = staged(each.withColumn("class", F.monotonically_increasing_id()), "classes")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rivals = staged(_rivals(docs, classes, k, percent, max(1, -(-total // (4 * SHARD_BYTES)))), "rivals")
     texts = staged(_class_texts(docs, rivals, k), "texts")
@@ -457,13 +476,35 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, small_group
         more = more.union(_across_prefixes(staged(prefix.join(many, "class").withColumnRenamed("class", "id"), "prefixes"), percent)).distinct()
     more = staged(_possible(more.join(pairs, ["a", "b"], "left_anti"), classes, percent), "more")
     found = staged(found.union(_verified(more, texts, k, percent)), "links")
-    return sets.join(classes.select("s1", "s2", "class"), ["s1", "s2"], "left").select("doc_id", "n", "class"), found
+    free(rivals, texts, met, pairs, members, open_, more)
+    return sets.join(classes.select("s1", "s2", "class", "of"), ["s1", "s2"], "left").select("doc_id", "t", "n", "class", "of"), found
+
+
+def grouped(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, **groups: int) -> DataFrame:
+    """Every document with its number of shingles and the first document, by doc_id, of its component: ``doc_id, t, n, of``."""
+    rows, found = links(docs, k, percent, **groups)
+    grown = staged(components(found), "components")
+    linked = rows.join(grown.withColumnRenamed("id", "class"), "class", "left")
+    firsts = linked.where("component_id is not null").groupBy("component_id").agg(F.min("of").alias("first"))
+    return linked.join(firsts, "component_id", "left").select("doc_id", "t", "n", F.coalesce("first", "of").alias("of"))
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, **groups: int) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    rows, found = links(docs, k, percent, **groups)
-    grown = components(found).withColumnRenamed("id", "class")
-    return rows.join(grown, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "class", "doc_id").alias("component_id")
-    )
+    rows = grouped(docs, k, percent, **groups)
+    # A document without shingles, which has no first one, is its own component.
+    component = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("of.doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def without_copies(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, **groups: int) -> DataFrame:
+    """``docs`` with one row of each component, the first by doc_id, text hash and the other columns; rows without words stay."""
+    kept = grouped(docs, k, percent, **groups).where("of is not null").select("of").distinct()
+    kept = kept.select(F.col("of.doc_id").alias("__id"), F.col("of.t").alias("__t"))
+    # Columns may have any names, so a row travels as one struct.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__doc"), text_hash().alias("__hash"))
+    worded = F.coalesce(F.col("__row.text").rlike(WORD), F.lit(False))
+    same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__t"))
+    order = Window.partitionBy("__doc", "__hash").orderBy(*[F.col(f"__row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
+    firsts = rows.where(worded).join(kept, same, "left_semi").withColumn("__place", F.row_number().over(order)).where("__place = 1")
+    return rows.where(~worded).select("__row").unionByName(firsts.select("__row")).select("__row.*")

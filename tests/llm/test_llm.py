@@ -458,3 +458,39 @@ def test_full_licences_and_runs(spark):
     own = spark.createDataFrame([("Own", "May be used.\n\nNot sold.")], "licence string, text string")
     one = licences.scan(docs_of(spark, ["a\n\nmay be used\n\nnot sold\n\nb", mit]), own)
     assert sorted((r["doc_id"], r["licences"]) for r in one.collect()) == [(0, "Own"), (1, "")]
+
+
+def test_jaccard_ids_and_small_partitions(spark):
+    """Null and repeated ids, and partitions of one short document, of which no shingle may be counted."""
+    text = "d137 d971 a977 b422 d558 b507 c739 d794 h135 b548"
+    assert rows_of(jaccard.join(table(spark, [(7, text)], "doc_id long, text string"))) == [(7, 7, 7)]
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    a, b = words(60), words(60)
+    rows = [(None, words(10)), (None, words(10)), (1, a), (1, b), (2, a + " x"), (None, b + " y"), (3, words(10)), (3, None), (None, ""), (None, "")]
+    docs = table(spark, rows, "doc_id long, text string").withColumn("class", F.lit(1)).withColumn("of", F.lit(2)).withColumn("t", F.lit(3))
+    got = sorted(map(repr, rows_of(jaccard.join(docs.repartition(10)))))
+    shingles = lambda t: max(0, len((t or "").split()) - 3)
+    component = [None, None, 1, 1, 1, 1, 3, 3, None, None]
+    assert got == sorted(repr((d, shingles(t), c)) for (d, t), c in zip(rows, component))
+    kept = sorted(map(repr, rows_of(jaccard.without_copies(docs.repartition(3)).select("doc_id", "text"))))
+    assert kept == sorted(map(repr, [rows[i] for i in (0, 1, 2, 3, 6, 7, 8, 9)]))
+    again = docs.unionByName(docs).where("text is not null and text <> ''")
+    assert jaccard.without_copies(again).count() == 5
+    assert rows_of(jaccard.without_copies(docs.limit(0))) == []
+
+
+def test_clean_judges_each_row(spark):
+    item = "The quick brown fox jumps over the lazy dog while seven wizards brew a potent and bubbling elixir"
+    rows = [(None, item), (None, "clean text"), (1, item), (1, "another clean text"), (2, None), (2, ""), (3, "z" * 300_000 + " " + item), (4, "z " * 100_000)]
+    other = "Nine monks in violet robes walked past the frozen mill before the morning bell had rung its third time"
+    docs = table(spark, rows, "doc_id long, text string").withColumn("item_id", F.lit("own")).withColumn("start", F.lit(0))
+    bench = table(spark, [(1, other), (None, item), (2, None), (2, "")], "item_id long, text string")
+    for size in (10, 4_000_000):
+        left = decontaminate.clean(docs.repartition(4), bench, block_chars=size)
+        assert left.columns == docs.columns
+        assert sorted(map(repr, rows_of(left.select("doc_id", "text")))) == sorted(map(repr, [rows[i] for i in (1, 3, 4, 5, 7)]))
+        found = rows_of(decontaminate.matches(docs, bench, block_chars=size).select("doc_id", "item_id", "n_errors"))
+        assert sorted(map(repr, found)) == sorted(map(repr, [(None, None, 0), (1, None, 0), (3, None, 0)]))
+    assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
+    assert decontaminate.clean(docs.limit(0), bench).count() == 0
