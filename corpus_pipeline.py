@@ -37,10 +37,14 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
+    """One document of each group of near copies: that with the smallest doc_id.
+
+    Documents are told apart by doc_id and text, so different texts under one
+    doc_id, or without one, stay; of equal rows one does. Documents without
+    words are copies of none.
+    """
     ship(spark)
-    kept = jaccard.join(docs, SHINGLE, PERCENT).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return jaccard.without_copies(docs, SHINGLE, PERCENT)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
