@@ -60,6 +60,7 @@ TOLD = 4
 MOST_TOLD = 1 << 17
 
 _PLACE_BITS = 30
+MASK_BITS = LENGTH - GRAM + 1
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -436,9 +437,9 @@ def _wanted(column: pa.Array) -> list[np.ndarray]:
 
 
 def earlier_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, shards: int, length: int = LENGTH) -> DataFrame:
-    """``doc_id, starts, masks``: windows that start in an earlier document too, but those of hot anchors.
+    """``doc_id, hit``: windows that start in an earlier document too, but those of hot anchors.
 
-    Bit i of a mask is the window i bytes after the start.
+    A hit is a place in the text, and below it MASK_BITS bits; bit i is the window i bytes after the place.
     """
 
     def deal_some(ids: np.ndarray, texts: list[bytes], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -531,15 +532,15 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, shards:
             earlier = by_window[first[ctx[has]] + i] < doc[has]
             mask[has] |= earlier.astype(np.uint32) << np.uint32(i)
         hit = np.flatnonzero(mask)
-        own, (starts, masks) = _by_doc(doc[hit], start[hit], mask[hit])
         del contexts
-        return _released(pa.table([pa.array(own, pa.int64()), pa.array(starts, pa.binary()), pa.array(masks, pa.binary())], names=["doc_id", "starts", "masks"]))
+        hits = start[hit] << MASK_BITS | mask[hit].astype(np.int64)
+        return _released(pa.table([pa.array(doc[hit], pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "hit"]))
 
     schema = "shard int, " + ", ".join(f"p{i} binary" for i in range(8))
     return _with_anchors(docs, shared).mapInArrow(deal, schema).groupBy("shard").applyInArrow(meet, WINDOWS)
 
 
-WINDOWS = "doc_id long, starts binary, masks binary"
+WINDOWS = "doc_id long, hit long"
 
 
 def hot_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, length: int = LENGTH) -> DataFrame:
@@ -560,12 +561,6 @@ def hot_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, length: int
                     columns = [pa.array([texts[i][p : q + length] for i, p, q in rows], pa.binary()), pa.array([ids[i] for i, _, _ in rows], pa.int64()), pa.array([p for _, p, _ in rows], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=["context", "doc_id", "start"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, start, mask = (batch.column(i).to_numpy() for i in range(3))
-            own, (starts, masks) = _by_doc(doc, start, mask.astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(starts, pa.binary()), pa.array(masks, pa.binary())], names=["doc_id", "starts", "masks"])
-
     places = staged(_with_anchors(docs, shared).mapInArrow(cut, "context binary, doc_id long, start long"), "hot")
     contexts = places.groupBy("context").agg(F.min("doc_id").alias("first"))
     offsets = F.sequence(F.lit(0), F.octet_length("context") - length)
@@ -576,32 +571,34 @@ def hot_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, length: int
     each = windows.join(earliest, "window").groupBy("context").agg(F.collect_list(F.struct("i", "earliest")).alias("windows"))
     bits = F.aggregate("windows", F.lit(0).cast("long"), lambda m, w: m + F.when(w["earliest"] < F.col("doc_id"), F.pow(F.lit(2.0), w["i"]).cast("long")).otherwise(F.lit(0).cast("long")))
     found = places.join(each, "context").select("doc_id", "start", bits.alias("mask")).where("mask <> 0")
-    return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(pack, WINDOWS)
+    return found.select("doc_id", (F.col("start") * (1 << MASK_BITS) + F.col("mask")).alias("hit"))
 
 
-def covered(n: int, starts: np.ndarray, masks: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which of n bytes lie in a window."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    for i in range(length - GRAM + 1):
-        at = starts[(masks >> np.uint32(i) & np.uint32(1)) == 1] + i
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
+def covered(n: int, hits: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which of n bytes lie in a window that is hit."""
+    bits = np.arange(MASK_BITS)
+    row, offset = np.nonzero(hits[:, None] >> bits & 1)
+    at = (hits >> MASK_BITS)[row] + offset
+    edge = np.bincount(at, minlength=n + 1) - np.bincount(at + length, minlength=n + 1)
     return np.cumsum(edge)[:n] > 0
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every document; ``kept`` holds the bytes left, if wanted."""
+    if not GRAM <= length <= LENGTH:
+        raise ValueError(f"windows have {GRAM} to {LENGTH} bytes")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     texts = docs.where("text is not null")
-    shared = staged(shared_anchors(texts.where("doc_id is not null"), shards), "shared")
+    # Anchors are short, so four times as many share a shard as contexts do.
+    shared = staged(shared_anchors(texts.where("doc_id is not null"), -(-shards // 4)), "shared")
     hot = hot_anchors(shared)
     found = staged(earlier_windows(texts, shared, hot, shards, length), "windows")
     if len(hot):
         found = found.unionByName(staged(hot_windows(texts, shared, hot, length), "windows"))
     free(shared)
-    lists = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("starts").alias("starts"), F.collect_list("masks").alias("masks"))
-    joined = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "text", "starts", "masks")
+    lists = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("hit").alias("hits"))
+    joined = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "text", "hits")
     schema = docs.select("doc_id").schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary")):
         schema.add(name, kind)
@@ -609,11 +606,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> Data
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, starts, masks in zip(_binary(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, hits in zip(_binary(batch.column(1)), batch.column(2), strict=True):
                 removed = spans = 0
                 kept = text
-                if starts:
-                    gone = covered(len(text), np.frombuffer(b"".join(starts), dtype=np.int64), np.frombuffer(b"".join(masks), dtype=np.uint32), length)
+                if hits.is_valid:
+                    gone = covered(len(text), hits.values.to_numpy(), length)
                     removed = int(np.count_nonzero(gone))
                     spans = int(np.count_nonzero(gone & ~np.append(False, gone[:-1])))
                     kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
