@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,14 +18,23 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr b bdi bdo cite code em font i kbd label mark q s samp small span strong sub sup time u var".split())
 
 
-def table_lines(rows: list[list[str]], most: int = 300) -> list[str]:
-    """``header: value; ...`` for each row of a regular table, else its cells line by line."""
-    rows = [r for r in rows if r]
-    regular = len(rows) >= 2 and len(rows[0]) >= 2 and all(len(r) == len(rows[0]) for r in rows)
-    if regular and all(len(c) <= most and "## " not in c for r in rows for c in r):
-        lines = ["; ".join(f"{h}: {c}" if h else c for h, c in zip(rows[0], r, strict=True) if c) for r in rows[1:]]
-        return [line for line in lines if line]
-    return [c for r in rows for c in r if c]
+#: The longest cell of a table of data, and what no such cell contains.
+LONGEST_CELL, HEADING_MARK = 300, "## "
+
+
+def table_lines(rows: list[list[str]], most: int = LONGEST_CELL) -> list[str]:
+    """A line ``header: value; ...`` for each record of a table of data, else the cells line by line.
+
+    Data has records of one width, two columns or more, and cells that are short and hold no heading.
+    """
+    cells = [cell for row in rows for cell in row]
+    widths = Counter(len(row) for row in rows if row)
+    of_data = len(widths) == 1 and min(widths) > 1 and widths.total() > 1
+    if not of_data or any(len(cell) > most or HEADING_MARK in cell for cell in cells):
+        return [cell for cell in cells if cell]
+    names, *records = filter(None, rows)
+    named = ([": ".join(filter(None, pair)) for pair in zip(names, record, strict=True) if pair[1]] for record in records)
+    return ["; ".join(fields) for fields in named if fields]
 
 
 class _Reader(HTMLParser):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,25 +24,35 @@ def chunk_fixed(docs: DataFrame, size: int = 1200) -> DataFrame:
     return docs.select("doc_id", F.posexplode(split_fixed(F.coalesce("text", F.lit("")), size)).alias("chunk_index", "chunk"))
 
 
+#: What a chunk may end before, the end of a paragraph, of a sentence, of a word.
+BREAKS = ("\n\n", ". ", " ")
+
+
 def overlapping(text: str, size: int, overlap: int) -> Iterator[str]:
     """Chunks of at most ``size`` characters that end at a paragraph, sentence or word and overlap.
 
     A break counts only in the second half of a chunk; the next chunk starts
-    ``overlap`` characters before the end of the last.
+    ``overlap`` characters before the end of the last. Where breaks are is found
+    once for the text, and the last one that fits a chunk by bisection.
     """
     text = text.strip()
-    begin, total = 0, len(text)
-    while begin < total:
-        stop = begin + size
-        if stop < total:
-            cut = max(text.rfind(mark, begin, stop) for mark in ("\n\n", ". ", " "))
-            if cut > begin + size // 2:
-                stop = cut
-        if piece := text[begin:stop].strip():
-            yield piece
-        if stop >= total:
-            return
-        begin = max(begin + 1, stop - overlap)
+    places = [(len(mark), [m.start() for m in re.finditer(f"(?={re.escape(mark)})", text)]) for mark in BREAKS]
+
+    def end_of(first: int) -> int:
+        limit = first + size
+        if limit >= len(text):
+            return len(text)
+        fitting = (at[n - 1] for width, at in places if (n := bisect_right(at, limit - width)))
+        last = max(fitting, default=0)
+        return last if last - first > size // 2 else limit
+
+    first, end = 0, end_of(0)
+    spans = [(first, end)]
+    while end < len(text):
+        first = max(end - overlap, first + 1)
+        end = end_of(first)
+        spans.append((first, end))
+    yield from filter(None, (text[a:b].strip() for a, b in spans))
 
 
 def split_overlapping(size: int = 1500, overlap: int = 250):
@@ -58,25 +72,19 @@ def chunk_overlapping(docs: DataFrame, size: int = 1500, overlap: int = 250) ->
 def budgeted(lines: list[str], budget: int, least: int) -> Iterator[tuple[str, str]]:
     """Sections and texts of consecutive lines within a budget; ``## `` lines start sections.
 
-    A line longer than the budget stays whole; chunks under ``least`` characters go.
+    A line longer than the budget stays whole; chunks under ``least`` characters
+    go. Chunk ends are looked up in the running sum of line lengths.
     """
-    section, held, size = "", [], 0
-
-    def full() -> list[tuple[str, str]]:
-        text = "\n".join(held)
-        return [(section, text)] if len(text) >= least else []
-
-    for line in lines:
-        heading = line.startswith("## ")
-        if heading or (held and size + len(line) > budget):
-            yield from full()
-            held, size = [], 0
-        if heading:
-            section = line[3:]
-        else:
-            held.append(line)
-            size += len(line) + 1
-    yield from full()
+    ends = np.cumsum([0, *(len(line) + 1 for line in lines)])
+    heads = [i for i, line in enumerate(lines) if line.startswith("## ")]
+    for head, stop in pairwise([-1, *heads, len(lines)]):
+        at = head + 1
+        while at < stop:
+            fits = int(np.searchsorted(ends, ends[at] + budget + 1, side="right")) - 1
+            upto = min(stop, max(at + 1, fits))
+            if ends[upto] - ends[at] > least:
+                yield lines[head][3:] if head >= 0 else "", "\n".join(lines[at:upto])
+            at = upto
 
 
 def split_by_budget(budget: int = 1500, least: int = 40):

@@ -37,6 +37,8 @@ def test_overlap_breaks_only_in_the_second_half():
 def test_budget_keeps_a_long_line_whole_and_drops_short_chunks():
     lines = ["## A", "x" * 50, "y" * 200, "## B", "short"]
     assert list(chunking.budgeted(lines, 100, 40)) == [("A", "x" * 50), ("A", "y" * 200)]
+    assert list(chunking.budgeted(["aaa", "bbb", "c", "## H", "## I", "dddd"], 7, 1)) == [("", "aaa\nbbb"), ("", "c"), ("I", "dddd")]
+    assert list(chunking.budgeted([], 7, 1)) == []
 
 
 def test_tokenisers(spark):
@@ -63,6 +65,10 @@ def test_html(spark):
     assert lines == [["## T", "k: a", "x y", "z", "L"], []]
     assert rows.select(html.html_links("p").alias("l")).first()["l"][0]["href"] == "/l"
     assert html.table_lines([["a", "b"], ["1"]]) == ["a", "b", "1"]
+    assert html.table_lines([["a", "", "c"], [], ["1", "2", ""], ["", "", ""]]) == ["a: 1; 2"]
+    assert html.table_lines([["a", "b"], ["1", "x" * 301]])[:3] == ["a", "b", "1"]
+    assert html.table_lines([["a", "b"], ["## h", ""]]) == ["a", "b", "## h"]
+    assert html.table_lines([["a"], ["1"]]) == ["a", "1"] and html.table_lines([["a", "b"]]) == ["a", "b"] and html.table_lines([]) == []
 
 
 def test_boilerplate_needs_five_documents(spark):
