@@ -27,7 +27,7 @@ WRITING = {
 BROADCAST_ROWS = 100_000
 
 
-def _folder(spark: SparkSession, path: str):
+def folder(spark: SparkSession, path: str):
     """A path for Spark's own file system calls, and its file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     path = f"{top.rstrip('/')}/papyra/{app}"
     if app not in _ENDING:
-        at, fs = _folder(spark, path)
+        at, fs = folder(spark, path)
         fs.mkdirs(at)
         fs.deleteOnExit(at)
         _ENDING.add(app)
@@ -78,7 +78,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def free(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:
-        at, fs = _folder(df.sparkSession, df.staged_path)
+        at, fs = folder(df.sparkSession, df.staged_path)
         fs.delete(at, True)
 
 
