@@ -1,19 +1,23 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. What a page holds
-beside its article (menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) is known by element, role, or word in a
-class or id, and leaves an empty line. If a page marks its article or main part and
-that has text, all its lines stay and no others. On other pages text lengths, links
-not counted, are summed over windows of WINDOW lines. Where the sum surges to the
-threshold, the text stays from where the sum last rose above zero to where it
-next dives to zero.
+Markup is stripped into lines, one for each block element, and each line gets a
+weight. Text lengths of the lines are summed over windows of WINDOW lines. Where the
+sum surges to the threshold, the text stays from where the sum last rose above
+zero to where it next dives to zero.
+
+Elements are evidence for the weights. What a page holds beside its article
+(menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+reader comments), known by element, role, or the main word of a class or id,
+weighs nothing. A page without a mark of its article has its links at no weight
+either. On a page that marks its article or main part, links within that are text
+like other text, any sum there is a surge, and lines elsewhere weigh nothing.
 
 Defined results: a null or empty page, or one without text, gives an empty text;
-a page without a surge keeps its densest stretch, so that a short article is
+a page without a surge keeps its densest stretches, so that a short article is
 found; unclosed elements end where a browser ends them, at the latest with the
-element around them; repeated rows give equal results; an empty table gives an
-empty result; extra columns are ignored. Pages are read whole.
+element around them; repeated rows give equal results, as do rows without a
+page_id or url; an empty table gives an empty result; extra columns are ignored.
+Pages of any length are read whole.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: Elements, roles and words of classes and ids that mark what is not the article.
+#: Elements, roles and main words of classes and ids that mark what is not the article.
 APART = frozenset("nav footer aside form button select fieldset dialog menu object canvas audio video datalist input".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 APART_WORDS = frozenset(
@@ -51,6 +55,13 @@ APART_WORDS = frozenset(
     " newsletter subscribe subscription signup login social share sharing related recommended"
     " comment comments disqus respond replies reply search form skip hidden copyright disclaimer".split()
 )
+#: Words that say where or in what shape a part is, and those that speak of another part.
+SHAPE_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons center col column container content default desktop entry first global grid group"
+    " heading icon icons image img inner item items label large last left line link links list main meta mobile outer page panel part post posts primary"
+    " right row secondary section single site slot small stories story text thread title top unit wrap wrapper".split()
+)
+ABOUT_WORDS = frozenset("no not has have with without show hide js after before".split())
 _KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 _ENDS_P = frozenset("p div ul ol dl table section article main header footer aside nav form h1 h2 h3 h4 h5 h6 pre blockquote hr figure address".split())
 
@@ -65,10 +76,18 @@ def _apart(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
-    words = {w.lower() for k in ("class", "id") for w in _NAME.findall(found.get(k, ""))}
+    heads = {_head(name) for k in ("class", "id") for name in found.get(k, "").split()}
     if tag in _KEPT:
-        return tag == "article" and not words.isdisjoint(("comment", "reply"))
-    return not words.isdisjoint(APART_WORDS)
+        return tag == "article" and not heads.isdisjoint(("comment", "reply"))
+    return not heads.isdisjoint(APART_WORDS)
+
+
+def _head(name: str) -> str:
+    """The main word of a class or id: its last that says more than a shape. ``cookie-notice-box`` is a notice, ``social-history`` a history."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    if words and words[0] in ABOUT_WORDS:
+        return ""
+    return next((w for w in reversed(words) if len(w) > 1 and not w.isdigit() and w not in SHAPE_WORDS), "")
 
 
 class _Lines:
@@ -166,24 +185,32 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out.lines
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The article's lines, joined by line feeds."""
-    lines = lines_of(page or "")
-    marked = [line for line, _, main in lines if line and main]
-    if marked:
-        return "\n".join(marked)
-    sizes = [max(0, len(line) - line.count(" ") - linked) for line, linked, _ in lines]
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+def stretches(weights: list[int], window: int, surge: int) -> Iterator[tuple[int, int]]:
+    """Ranges of lines between a rise and a dive of the window sums, with a surge between.
+
+    A range starts and ends with a line of some weight.
+    """
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     limit = min(surge, max(sums, default=0))
-    kept: list[str] = []
     rise = None
     for i, total in enumerate([*sums, 0]):
         if total > 0 and rise is None:
             rise = i
         elif total == 0 and rise is not None:
             if max(sums[rise:i]) >= limit:
-                kept += [line for line, _, _ in lines[rise:i] if line]
+                yield next(j for j in range(rise, i) if weights[j]), i
             rise = None
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The article's lines, joined by line feeds."""
+    lines = lines_of(page or "")
+    marked = any(line and main for line, _, main in lines)
+    if marked:
+        weights = [len(line) if main else 0 for line, _, main in lines]
+    else:
+        weights = [max(0, len(line) - line.count(" ") - linked) for line, linked, _ in lines]
+    kept = [line for a, b in stretches(weights, window, 1 if marked else surge) for line, _, main in lines[a:b] if line and main == marked]
     return "\n".join(kept)
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -247,6 +248,46 @@ def test_marked_article_is_whole():
     assert html_text.main_text(f"<h1>Title</h1>{apart}<p>{body}</p>") == body
 
 
+def brute_walk(weights, window, surge):
+    """A line stays if the zeros around its stretch, runs of at least ``window`` of them, enclose a window that surges."""
+    n, pad = len(weights), [0] * window
+    w = pad + weights + pad
+    keep = set()
+    for a in range(window, n + window):
+        if not w[a] or any(w[a - window : a]):
+            continue
+        b = a
+        while any(w[b : b + window]):
+            b += 1
+        sums = [sum(w[i : i + window]) for i in range(a - window, b)]
+        everywhere = max(sum(w[i : i + window]) for i in range(len(w)))
+        if max(sums) >= min(surge, everywhere):
+            keep |= set(range(a - window, b - window))
+    return keep
+
+
+def test_block_walk_matches_brute_force():
+    rng = random.Random(14)
+    for _ in range(500):
+        weights = [rng.choice([0, 0, 0, 5, 40, 90]) for _ in range(rng.randint(0, 30))]
+        got = {i for a, b in html_text.stretches(weights, 3, 86) for i in range(a, b)}
+        assert got == brute_walk(weights, 3, 86), weights
+    body = "A paragraph that is long enough to surge over the threshold of the window, and then some more words."
+    menu = "".join(f"<p><a href=/{i}>Item {i}</a></p>" for i in range(6))
+    page = f"{menu}<p>{body}</p><p>Short.</p>{menu}<p>Low</p>{menu}"
+    assert html_text.main_text(page) == f"{body}\nShort."
+    assert html_text.main_text(page, surge=1) == f"{body}\nShort.\nLow"  # without the threshold all stretches stay
+
+
+def test_unlucky_names_stay():
+    body = "A paragraph that is long enough to surge over the threshold of the window, and then some more words."
+    for name in ("social-history", "related-work", "search-results", "has-sidebar content", "no-footer", "noticeable", "adsorption"):
+        for part in ("section", "div", "p"):
+            assert html_text.main_text(f"<article><p>{body}</p><{part} class='{name}'>In {name}.</{part}><p>End.</p></article>") == f"{body}\nIn {name}.\nEnd."
+    for name in ("cookie-notice", "ad", "ad-slot-3", "comment-list", "related-posts", "shareButtons", "site-footer", "widget_box", "newsletter-signup"):
+        assert html_text.main_text(f"<article><p>{body}</p><div id='{name}'>Gone.</div><p>End.</p></article>") == f"{body}\nEnd."
+
+
 # -- 6: language
 
 
@@ -292,9 +333,28 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r["record_type"], r["refers_to"]) == (("response", None) if i == largest else ("revisit", str(largest)))
         assert r["payload"] == ((h or "") if i == largest else None)
         assert r["url"] == (None if i == 4 else f"http://h/{i}")
+    files = sorted((tmp_path / "w").glob("*.warc.gz"))
+    raw = [f.read_bytes() for f in files]
+    assert files and all(r.endswith(warc.END) and gzip.decompress(r) for r in raw)
+    assert sum(1 for r in raw for m in warc._unpacked(r) if m) == len(rows)
     kept = warc.decide(pages, min_bytes=5).where("page_id in (2, 3)").collect()
     assert {r["record_type"] for r in kept} == {"response"}
     warc.write(pages.limit(0), str(tmp_path / "e"))
+    assert warc.read(spark, str(tmp_path / "e")).count() == 0
+    odd = spark.createDataFrame([(None, None, "a"), (None, "u v", "a"), (1, None, "a"), (1, None, "b"), (2, None, "b"), (3, None, "é" * 300_000)], "page_id long, url string, html string")
+    warc.write(odd.withColumn("original", F.lit(9)).withColumn("value", F.lit(9)), str(tmp_path / "o"))
+    found = warc.resolved(warc.read(spark, str(tmp_path / "o")))
+    assert sorted(map(repr, rows_of(found.select("page_id", "record_type", "refers_to", "payload_bytes")))) == sorted(
+        map(repr, [(None, "response", None, 1), (None, "response", None, 1), ("1", "response", None, 1), ("1", "revisit", "2", 1), ("2", "response", None, 1), ("3", "response", None, 600_000)])
+    )
+
+
+def test_warc_files_are_bounded(spark, tmp_path):
+    rng = random.Random(13)
+    pages = spark.createDataFrame([(i, "u", "".join(rng.choice("abcdefgh") for _ in range(300))) for i in range(200)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"), file_bytes=2000)
+    assert all(f.stat().st_size < 2600 for f in (tmp_path / "w").glob("*.warc.gz"))
+    assert warc.read(spark, str(tmp_path / "w")).count() == 200
 
 
 # -- 8: n-gram Jaccard
