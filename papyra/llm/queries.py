@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import decontaminate, fingerprints, html_text, jaccard, language, licences, lines, mixing, suffixes, warc
-from .common import shared_dir, table
+from .common import shared_dir, staged, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(pages, path)
-    found = warc.resolved(warc.read(spark, path, payloads=False))
+    found = warc.resolved(staged(warc.read(spark, path, payloads=False).drop("payload"), "records"))
     kind = dict(pages.dtypes)["page_id"]
     return found.select(
         F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")

@@ -136,11 +136,17 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, fil
 
 def _unpacked(archive: bytes) -> Iterator[bytes]:
     """The members of an archive, one at a time."""
-    rest = memoryview(archive)
-    while len(rest):
-        member = zlib.decompressobj(wbits=31)
-        yield member.decompress(rest)
-        rest = rest[len(rest) - len(member.unused_data) :]
+    at = 0
+    while at < len(archive):
+        member, parts = zlib.decompressobj(wbits=31), []
+        # In small pieces, as what lies behind the member is copied.
+        while not member.eof:
+            piece = archive[at : at + (1 << 14)]
+            if not piece:
+                raise ValueError("the archive ends within a record")
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        yield b"".join(parts)
 
 
 def parse(archive: bytes) -> Iterator[dict]:
@@ -197,7 +203,7 @@ def read(spark, path: str, payloads: bool = True) -> DataFrame:
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """Records with ``refers_to``: the page of the response that a revisit names."""
+    """Records with ``refers_to``: the page of the response that a revisit names. ``found`` is read three times."""
     responses = found.where("record_type = 'response'")
     originals = responses.groupBy(F.col("record_id").alias("refers_to_record")).agg(F.max("page_id").alias("refers_to"))
     # A table, so that Spark may split an original that very many revisits name.
