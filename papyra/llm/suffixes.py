@@ -346,9 +346,9 @@ def _by_doc(doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[list
 
 
 def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
-    """``doc_id, shared, often``: per document and shard the low halves of anchor hashes that other documents have too.
+    """``doc_id, shared, anchor, often``: the low halves of anchor hashes that other documents have too, several packed or one.
 
-    Rows with ``often`` hold one hot anchor and in about how many documents it is.
+    Rows with ``often`` are of a hot anchor, and of about how many documents it is in.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,33 +407,37 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
             counted, which = np.unique(np.concatenate([h, _joined(table, 3, np.uint32)]), return_inverse=True)
             total = np.bincount(which, weights=np.concatenate([np.ones(len(h)), _joined(table, 4, np.int32)]), minlength=len(counted))
             hot, hot_docs = counted[total >= HOT], total[total >= HOT].astype(np.int64)
-            own, (blobs,) = _by_doc(doc[same], h[same])
-            values = values[own]
+            values, h, blobs = values[doc[same]], h[same], None
+        n = len(values)
+        none = pa.nulls(len(hot), pa.int64())
         columns = [
-            pa.array([*values.tolist(), *[None] * len(hot)], pa.int64()),
-            pa.array(blobs + [x.tobytes() for x in hot], pa.binary()),
-            pa.array([*[None] * len(values), *hot_docs.tolist()], pa.int64()),
+            pa.concat_arrays([pa.array(values, pa.int64()), none]),
+            pa.concat_arrays([pa.array(blobs, pa.binary()) if blobs is not None else pa.nulls(n, pa.binary()), pa.nulls(len(hot), pa.binary())]),
+            pa.concat_arrays([pa.nulls(n, pa.int32()) if blobs is not None else pa.array(h.view(np.int32)), pa.array(hot.astype(np.uint32).view(np.int32))]),
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(hot_docs, pa.int64())]),
         ]
-        return _released(pa.table(columns, names=["doc_id", "shared", "often"]))
+        return _released(pa.table(columns, names=["doc_id", "shared", "anchor", "often"]))
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "shard int, " + ", ".join(f"p{i} binary" for i in range(5)))
-    return dealt.groupBy("shard").applyInArrow(meet, "doc_id long, shared binary, often long")
+    return dealt.groupBy("shard").applyInArrow(meet, "doc_id long, shared binary, anchor int, often long")
 
 
 def hot_anchors(shared: DataFrame) -> np.ndarray:
     """The low halves of the hottest anchors' hashes, sorted: MOST_HOT rows at most reach the driver."""
-    rows = shared.where("often is not null").orderBy(F.col("often").desc(), "shared").limit(MOST_HOT).select("shared").collect()
-    return np.sort(np.frombuffer(b"".join(r["shared"] for r in rows), dtype=np.uint32))
+    rows = shared.where("often is not null").orderBy(F.col("often").desc(), "anchor").limit(MOST_HOT).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in rows], dtype=np.int32).view(np.uint32))
 
 
 def _with_anchors(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """Documents with their lists of shared anchors."""
-    lists = shared.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("shared").alias("shared"))
-    return docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "shared")
+    lists = shared.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("shared").alias("shared"), F.collect_list("anchor").alias("anchors"))
+    return docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "shared", "anchors")
 
 
-def _wanted(column: pa.Array) -> list[np.ndarray]:
-    return [np.sort(np.frombuffer(b"".join(x), dtype=np.uint32)) for x in column.to_pylist()]
+def _wanted(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Each document's shared anchors, sorted."""
+    both = zip(batch.column(2).to_pylist(), batch.column(3), strict=True)
+    return [np.sort(np.concatenate([np.frombuffer(b"".join(packed), dtype=np.uint32), single.values.to_numpy().view(np.uint32)])) for packed, single in both]
 
 
 def earlier_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, shards: int, length: int = LENGTH) -> DataFrame:
@@ -485,7 +489,7 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, shards:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            yield from deal_some(ids, _binary(batch.column(1)), _wanted(batch.column(2)))
+            yield from deal_some(ids, _binary(batch.column(1)), _wanted(batch))
 
     def meet(table: pa.Table) -> pa.Table:
         raw, sizes, h = b"".join(table.column("p0").to_pylist()), _joined(table, 1, np.uint8).astype(np.int64), _joined(table, 2, np.uint64)
@@ -548,7 +552,7 @@ def hot_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, length: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = [w[_among(w, hot)] for w in _wanted(batch.column(2))]
+            wanted = [w[_among(w, hot)] for w in _wanted(batch)]
             some = [i for i, w in enumerate(wanted) if len(w)]
             ids, texts = batch.column(0).to_pylist(), _binary(batch.column(1))
             for who, h, lo, hi in anchors([texts[i] for i in some]):
