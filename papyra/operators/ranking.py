@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..storage import staged
 
 K1, B = 1.2, 0.7
 
@@ -30,19 +39,19 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, qkey: str, tokens, k1: f
     plus the odds, ``okapi`` that of the odds, as published by Robertson and
     Zaragoza. ``repeated`` counts a query's repeated terms as often as they occur.
 
-    Query terms are joined to the documents' tokens before any counting, so only
-    tokens that some query asks for are shuffled; lengths come from the same scan.
+    Documents are cut into tokens once, into a table of tokens and lengths. Query
+    terms are joined to it before any counting, so only tokens that some query
+    asks for are shuffled.
     """
-    each = docs.select(key, tokens(F.col("text")).alias("ts"))
-    dl = each.select(key, F.size("ts").alias("dl"))
-    totals = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    each = staged(docs.select(F.col(key), tokens(F.col("text")).alias("ts")).withColumn("dl", F.size("ts")), "tokens")
+    totals = each.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = F.lit(float(totals["n"])), F.lit(max(totals["avgdl"] or 0.0, 1.0))
     asked = queries.select(qkey, F.explode(tokens(F.col("text"))).alias("term")).groupBy(qkey, "term").agg(F.count("*").alias("qtf"))
     weight = F.col("qtf") if repeated else F.lit(1)
     asked = asked.select(qkey, "term", weight.alias("qtf"))
     terms = asked.select("term").distinct()
     posts = (
-        each.select(key, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+        each.select(key, "dl", F.explode("ts").alias("term"))
         .join(terms, "term")
         .groupBy("term", key, "dl")
         .agg(F.count("*").alias("tf"))
@@ -70,17 +79,52 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, block: int = 1000) -> DataFrame:
-    """Cosine of a stated set of query vectors to all others, in blocks of queries.
+def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, k: int, block: int = 1000) -> DataFrame:
+    """The ``k`` nearest vectors by cosine of each of a stated set of query vectors: ``qkey, key, score, rank``.
 
-    Each block is one row that holds its queries, so the vectors are read once a
-    block and pairs exist only inside a task.
+    Queries pass in blocks of bounded size, each with its norms taken once and
+    held by every task. A batch of vectors meets a block in one matrix product,
+    and only each query's best of the batch leave it. Equally near ones are
+    ranked by key; vectors without a direction have score null and come last.
     """
-    numbered = queries.select(F.col(qkey).alias("q"), F.col("embedding").alias("e")).withColumn("n", F.row_number().over(Window.orderBy("q")) - 1)
-    blocks = numbered.groupBy(F.floor(F.col("n") / block).alias("block")).agg(F.collect_list(F.struct("q", "e")).alias("qs")).drop("block")
-    # ``block`` vectors a row is the bound of what is broadcast for each pass.
-    pairs = vectors.select(key, F.col("embedding").alias("v")).join(F.broadcast(blocks)).select(key, "v", F.explode("qs").alias("x"))
-    return pairs.where(F.col("x.q") != F.col(key)).select(F.col("x.q").alias(qkey), key, cosine(F.col("v"), F.col("x.e")).alias("score"))
+    fields = [*queries.select(F.col(qkey)).schema.fields, *vectors.select(F.col(key)).schema.fields, T.StructField("score", T.DoubleType())]
+    schema = T.StructType(fields)
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def nearest(ids: list, matrix: np.ndarray):
+        norms = np.linalg.norm(matrix, axis=1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = batch.column(0).to_pylist()
+                rows = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    scores = matrix @ rows.T / (norms[:, None] * np.linalg.norm(rows, axis=1))
+                out: tuple[list, list, list] = ([], [], [])
+                for q, found in zip(ids, scores, strict=True):
+                    ordered = np.round(np.where(np.isnan(found), -np.inf, found), 9)
+                    # One more than k, as the query itself may be among them; ties stay together.
+                    least = np.partition(ordered, -k - 1)[-k - 1] if len(ordered) > k + 1 else -np.inf
+                    for i in np.flatnonzero(ordered >= least).tolist():
+                        if keys[i] != q:
+                            for held, x in zip(out, (q, keys[i], None if np.isnan(found[i]) else float(found[i])), strict=True):
+                                held.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=schema.names)
+
+        return run
+
+    found = vectors.sparkSession.createDataFrame([], schema)
+    rows = vectors.select(F.col(key), F.col("embedding"))
+    asked = queries.select(F.col(qkey), F.col("embedding")).toLocalIterator()
+    some = list(islice(asked, block))
+    while some:
+        near = rows.mapInArrow(nearest([r[0] for r in some], np.array([r[1] for r in some], dtype=np.float64)), schema)
+        some = list(islice(asked, block))
+        # The plan keeps the last block only; what earlier ones found is written.
+        found = found.unionByName(staged(near, "near") if some else near)
+    return top_k(found, qkey, key, k)
 
 
 def rrf(a: DataFrame, b: DataFrame, qkey: str, key: str, how: str = "sum", k0: int = 60) -> DataFrame:

@@ -89,15 +89,33 @@ def valid_requests(messages: DataFrame, most: int = 20, most_chars: int = 100_00
 def paired(items: DataFrame, key: str, name: str, flag: str) -> DataFrame:
     """Each item with the first one of the opposite flag whose name is equal or contained, less a plural s.
 
-    Names meet on their first word, so the join is an equality.
+    Distinct names meet on their first word, so the join is an equality and items of one name meet once.
     """
     bare = F.trim(F.regexp_replace(F.lower(name), r"\b(lab|laboratory|practical)s?\b|s\b", ""))
-    one = items.select(key, name, flag, bare.alias("__name")).withColumn("__word", F.substring_index("__name", " ", 1))
-    two = one.select(F.col(key).alias("pair"), F.col(flag).alias("__flag"), F.col("__name").alias("__other"), "__word")
+    one = items.select(key, name, flag, bare.alias("__name"))
+    names = one.groupBy("__name", flag).agg(F.min(key).alias("pair")).withColumn("__word", F.substring_index("__name", " ", 1))
+    other = names.select("pair", F.col(flag).alias("__flag"), F.col("__name").alias("__other"), "__word")
     a, b = F.col("__name"), F.col("__other")
     held = (a == b) | ((F.length(a) > 5) & F.contains(b, a)) | ((F.length(b) > 5) & F.contains(a, b))
-    found = one.join(two, "__word").where((F.col(flag) != F.col("__flag")) & held)
-    return first_of(found.select(key, name, "pair"), [key], ["pair"])
+    met = names.drop("pair").join(other, "__word").where((F.col(flag) != F.col("__flag")) & held)
+    firsts = met.groupBy("__name", flag).agg(F.min("pair").alias("pair"))
+    return one.join(firsts, ["__name", flag]).select(key, name, "pair")
+
+
+def passages(docs: DataFrame, items: DataFrame, key: str, text: str, ikey: str, passage: str) -> DataFrame:
+    """``ikey, key`` of documents that hold an item's passage of three words or more, letter for letter.
+
+    An inner word of a passage is a whole word of what holds it, so documents and
+    items meet on the passage's longest one; only ids and words are joined before
+    the texts are looked at.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    inner = F.slice(words(F.col(passage)), 2, F.greatest(F.size(words(F.col(passage))) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = items.select(ikey, F.col(passage).alias("__passage"), longest.alias("__word")).where("__word is not null")
+    each = docs.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("__word"))
+    met = each.join(asked, "__word").select(ikey, key, "__passage")
+    return met.join(docs.select(key, F.col(text).alias("__text")), key).where(F.contains("__text", F.col("__passage"))).select(ikey, key).distinct()
 
 
 def pivot_totals(rows: DataFrame, by: str, across: str, values: list, amount: Column) -> DataFrame:

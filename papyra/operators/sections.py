@@ -113,9 +113,14 @@ def link_closure(edges: DataFrame, seeds: DataFrame, depth: int = 3, most: int |
     return seen if most is None else seen.orderBy("depth", "url").limit(most)
 
 
-def clause_union(full: DataFrame, parts: DataFrame, key: str, most: int = 8) -> DataFrame:
-    """Hits of a query, then those of its clauses, each id once, the first ``most``."""
-    return union_first([full.select(key, "rank"), parts.select(key, "rank")], key, "rank", most)
+def clause_union(full: DataFrame, parts: DataFrame, key: str, most: int = 8, qkey: str | None = None) -> DataFrame:
+    """Hits of a query, then those of its clauses, each id once, the first ``most``; of each ``qkey``, if given."""
+    if qkey is None:
+        return union_first([full.select(key, "rank"), parts.select(key, "rank")], key, "rank", most)
+    both = full.select(qkey, key, "rank", F.lit(0).alias("part")).unionByName(parts.select(qkey, key, "rank", F.lit(1).alias("part")))
+    once = first_of(both, [qkey, key], ["part", "rank"])
+    place = F.row_number().over(Window.partitionBy(qkey).orderBy("part", "rank", key))
+    return once.withColumn("place", place).where(F.col("place") <= most)
 
 
 def relevant_sources(sources: DataFrame, by: str, title: str, query: Column, answer: Column) -> DataFrame:

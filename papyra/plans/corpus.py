@@ -42,8 +42,7 @@ class Corpus:
         if mode != "bm25":
             if self.vectors is None:
                 raise ValueError(f"{mode} needs vectors")
-            scored = ranking.dense(self.vectors, queries.select("query_id", "embedding"), "id", "query_id")
-            dense = ranking.top_k(scored, "query_id", "id", k if mode == "dense" else 3 * k)
+            dense = ranking.dense(self.vectors, queries.select("query_id", "embedding"), "id", "query_id", k if mode == "dense" else 3 * k)
         if mode in ("bm25", "dense"):
             return lexical if mode == "bm25" else dense
         fused = ranking.rrf(dense, lexical, "query_id", "id", mode.removeprefix("rrf_"))
