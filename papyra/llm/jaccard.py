@@ -216,10 +216,20 @@ def _dealt(hashes: np.ndarray, owner: np.ndarray, shards: int) -> Iterator[tuple
         yield int(shard[own[0]]), hashes[own], who, times.astype(np.int32)
 
 
+def _two_of_each(values: np.ndarray) -> np.ndarray:
+    """Places, ascending, of the first two of equal values: two owners are enough to show that a shingle is shared."""
+    order = np.argsort(values, kind="stable")
+    keep = np.ones(len(values), dtype=bool)
+    keep[2:] = values[order][2:] != values[order][:-2]
+    return np.sort(order[keep])
+
+
 def _own_counts(docs: DataFrame, k: int, least: int, shards: int) -> DataFrame:
     """``s1, s2, own``: how many of the counted shingles of each class no other class has.
 
-    A shard's counts go on in packed form to the shards of their classes, which add them up.
+    A batch sends two classes of each shingle at most, so a shingle that very many
+    documents share does not gather them all in one shard. A shard's counts go on
+    in packed form to the shards of their classes, which add them up.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +244,8 @@ def _own_counts(docs: DataFrame, k: int, least: int, shards: int) -> DataFrame:
                 continue
             ids = np.array(list(seen), dtype=np.int64)
             owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            for shard, hashes, who, times in _dealt(np.concatenate(found), owner, shards):
+            kept = _two_of_each(counted := np.concatenate(found))
+            for shard, hashes, who, times in _dealt(counted[kept], owner[kept], shards):
                 # The shard stands for the upper bits, so 32 more tell shingles apart well enough for a filter.
                 yield _packed(shard, mix(hashes, 6).astype(np.uint32), times, ids[who, 0], ids[who, 1])
 

@@ -44,6 +44,38 @@ def test_stages_act(spark, tmp_path):
     assert set(kept[4]) <= set(kept[3])
 
 
+HARD = [
+    (None, "alpha beta gamma delta epsilon zeta", "xx", None, None), (None, "eta theta iota kappa lambda mu", "xx", "s", 1), (1, "nu xi omicron pi rho sigma", "xx", "s", 1),
+    (1, "tau upsilon phi chi psi omega", "xx", "s", 1), (2, None, None, None, None), (3, "", "xx", "s", 0), (4, "word " * 60_000, "xx", "t", 300_000),
+    (5, "gamma beta alpha zeta delta epsilon", "xx", "t", 9), (5, "gamma beta alpha zeta delta epsilon", "xx", "t", 9),
+]
+
+
+def test_stages_on_hard_tables(spark, tmp_path):
+    """Null and repeated ids, null and empty and long texts, repeated rows, clashing names, empty tables."""
+    spark.createDataFrame([(1, "one passage of a benchmark that no document holds at all"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(HARD, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("row", "rest", "class", "of", "t", "size", "taken", "target", "lang_pred", "score", "kept_text", "bucket", "key"):
+        docs = docs.withColumn(c, F.lit("own"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        left[name] = sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in out.collect())
+        if name != "mixing":
+            assert out.columns == docs.columns
+            assert all(r["class"] == "own" for r in out.select("class").collect())
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    texts = [(0, "alpha"), (0, "eta t"), (1, "nu xi"), (1, "tau u"), (4, "word "), (5, "gamma"), (5, "gamma")]
+    nothing = [(2, ""), (3, "")]
+    assert left["language ID"] == texts
+    assert set(texts + nothing) == set(left["line dedup"])
+    assert left["n-gram Jaccard join"] == sorted(set(texts) | set(nothing))
+    assert left["benchmark decontamination"] == sorted(texts + nothing)
+    assert set(left["mixing"]) <= set(texts)
+
+
 def test_run_and_oracles(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
     con = duckdb.connect()
