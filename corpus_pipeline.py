@@ -3,6 +3,10 @@
 Documents whose language is unknown go; lines that repeat an earlier one go, and
 documents left without a line; of documents that are near copies one stays;
 documents that hold a benchmark item go; the rest is mixed to target weights.
+
+Defined results, for all stages: a row is a document, whatever its doc_id, null and
+repeated ones included; null columns other than text pass through; columns of any
+other names are carried; an empty table gives an empty one; texts are read whole.
 """
 
 from __future__ import annotations
@@ -21,7 +25,11 @@ SHINGLE, PERCENT = 5, 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; the model learns from all that have a lang."""
+    """Documents whose language is found; the model learns from all that have a lang.
+
+    Null texts, those without a letter and, if no document has a lang, all are
+    rejected. Ties go to the language first by code point; equal texts fare alike.
+    """
     ship(spark)
     rows = docs.select("text", F.struct(*docs.columns).alias("row"))
     found = language.predict(rows, language.train(docs), keep=("row",))
@@ -29,7 +37,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that occur earlier; those that lose all their lines go."""
+    """Documents less the lines that occur earlier; those that lose all their lines go.
+
+    Documents without a line of words stay as they are. Earlier means a smaller
+    doc_id, none before any, then the place in the text. Of rows with equal doc_id
+    and equal text each keeps the lines that one of them would.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = lines.dedup(docs.select("doc_id", "text", F.struct(*rest).alias("rest"))).where("n_lines = 0 or n_removed < n_lines")
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
@@ -48,13 +61,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; each row is judged by its text, and null or empty texts stay."""
     ship(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, with size, target and words taken; these replace columns of their names."""
+    """Documents of which the mix takes words, with size, target and words taken; these replace columns of their names.
+
+    Documents under one doc_id share what is taken of them; null and wordless texts have nothing to take and go.
+    """
     taken = mixing.mix(docs)["taken"].where("taken > 0").groupBy(F.col("doc_id").alias("mixed_id"))
     taken = taken.agg(F.sum("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
     own = docs.select(*[c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "mixed_id")])
