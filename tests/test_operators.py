@@ -211,3 +211,26 @@ def test_entity_codes_look_at_every_place(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["codes"] for r in catalog.QUERIES["entity_codes"](spark, str(tmp_path)).collect()}
     assert {k: sorted(v or []) for k, v in got.items()} == {1: ["B1", "B2"], 2: ["B2"], 3: []}
+
+
+def test_dense_in_blocks_with_ties_and_zero_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vectors = np.round(rng.normal(size=(60, 3)), 1)
+    vectors[7] = 0
+    vectors[20:30] = vectors[3]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, vectors[i].tolist()) for i in (3, 7, 20, 41, 59)], "query_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in ranking.dense(rows, queries, "id", "query_id", 6, block=2).collect()}
+    for q in (3, 20, 41, 59):
+        score = {i: round(float(v @ vectors[q] / np.linalg.norm(v) / np.linalg.norm(vectors[q])), 9) for i, v in enumerate(vectors) if i not in (q, 7)}
+        assert [got[q, n] for n in range(1, 7)] == sorted(score, key=lambda i: (-score[i], i))[:6]
+    assert [got[7, n] for n in range(1, 7)] == [0, 1, 2, 3, 4, 5]  # no direction, so by key
+    assert ranking.dense(rows, queries.limit(0), "id", "query_id", 6).count() == 0
+
+
+def test_passages_letter_for_letter(spark):
+    docs = spark.createDataFrame([(1, "xx one two three yy"), (2, "done two threefold"), (3, "one  two three"), (4, None), (5, "One two three")], "id long, text string")
+    items = spark.createDataFrame([(1, "one two three"), (2, "two three"), (3, None), (4, "one two three")], "item long, p string")
+    assert sorted(tuple(r) for r in relational.passages(docs, items, "id", "text", "item", "p").collect()) == [(1, 1), (1, 2), (4, 1), (4, 2)]
