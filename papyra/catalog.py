@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html, numbers, text, urls
-from .operators import chunking, extract, ranking, relational, sections, structure, understanding
+from .operators import chunking, dispatch, extract, ranking, relational, sections, structure, understanding
 from .session import ship
 from .sources import sinks, tables
 from .sources.tables import table
@@ -661,14 +661,24 @@ def semester_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("phrase", F.array_join(F.transform(found, lambda x: x.cast("string")), ",").alias("semesters"))
 
 
-@query("""WITH a AS (SELECT DISTINCT trim(regexp_replace(lower(left(text, 14)), '[^a-z0-9]+', ' ', 'g')) AS alias, 'B' || item_id AS code FROM benchmark),
-q AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS q FROM documents),
-h AS (SELECT doc_id, alias, code, position(' ' || alias || ' ' IN q) AS place, position(' ' || alias || ' ' IN q) + length(alias) AS stop FROM q JOIN a ON contains(q, ' ' || alias || ' '))
-SELECT doc_id, alias, code, place FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.doc_id = x.doc_id AND y.place < x.stop AND x.place < y.stop AND length(y.alias) > length(x.alias))""")
+_PLAIN = "list_filter(string_split(regexp_replace(lower(%s), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+@query(f"""WITH g AS (SELECT 'B' || item_id AS code, {_PLAIN % "text"} AS ws FROM benchmark UNION ALL SELECT 'L' || item_id, {_PLAIN % "split_part(text, chr(10), 1)"} FROM benchmark
+  UNION ALL SELECT 'N' || n_nationkey, {_PLAIN % "n_name"} FROM nation),
+a AS (SELECT DISTINCT code, ws, len(ws) AS n FROM g WHERE len(ws) > 0),
+d AS (SELECT doc_id, {_PLAIN % "text"} AS ws FROM documents),
+t AS (SELECT doc_id, ws, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+h AS (SELECT doc_id, code, a.ws AS aws, n, i FROM t JOIN a ON w = a.ws[1] WHERE t.ws[i:i + n - 1] = a.ws)
+SELECT doc_id, array_to_string(aws, ' ') AS alias, code, i - 1 AS place FROM h x
+WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.doc_id = x.doc_id AND y.n > x.n AND y.i < x.i + x.n AND x.i < y.i + y.n)""")
 def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases that texts hold, unless a longer one covers them."""
-    aliases = table(spark, sf_dir, "benchmark").select(F.left("text", F.lit(14)).alias("alias"), F.concat(F.lit("B"), "item_id").alias("code"))
-    return understanding.entities_sql(table(spark, sf_dir, "documents"), aliases, "doc_id", "text").distinct()
+    """Items, their first lines and nations that texts hold, at every place, unless a longer alias covers it."""
+    items = table(spark, sf_dir, "benchmark")
+    named = lambda prefix, key, alias: (alias.alias("alias"), F.concat(F.lit(prefix), key).alias("code"))
+    aliases = items.select(*named("B", "item_id", F.col("text"))).unionByName(items.select(*named("L", "item_id", F.split_part("text", F.lit("\n"), F.lit(1)))))
+    aliases = aliases.unionByName(table(spark, sf_dir, "nation").select(*named("N", "n_nationkey", F.col("n_name"))))
+    return understanding.entities_sql(table(spark, sf_dir, "documents"), aliases.distinct(), "doc_id", "text")
 
 
 @query()
@@ -966,3 +976,205 @@ def lab_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lab's pages up to its assessment."""
     rows = spark.createDataFrame([("f", 1, "one"), ("f", 2, "three\nAssessment: x"), ("f", 3, "gone")], "filename string, page int, text string")
     return sections.lab_text(rows, "filename", "page").select("page", F.trim(F.regexp_replace("text", r"\s+$", "")).alias("text"))
+
+
+# -- queries that several tables answer ---------------------------------------------------------------------------
+
+_CODE_SQL = "'CSA' || (10000000 * (1 + (%s) %% 2) + (%s))::BIGINT"
+_COURSES_SQL = """courses AS (SELECT 'CSA' || (10000000 * (1 + p_partkey % 2) + p_partkey) AS code, 'Topic-' || (p_partkey // 2) || ' II (core)' AS name,
+  (p_partkey // 2) % 3 = 0 AS is_lab, CASE WHEN (p_partkey // 2) % 3 = 2 THEN 'CSA' || (10000000 * (1 + p_partkey % 2) + p_partkey + 2) END AS partner FROM part)"""
+
+
+def _code(key: str) -> Column:
+    return F.concat(F.lit("CSA"), (10_000_000 * (1 + F.expr(f"({key}) % 2")) + F.expr(key)).cast("long").cast("string"))
+
+
+def _courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as courses: two have one name; of three pairs one has labs, which the pair before shares."""
+    third = F.expr("p_partkey div 2 % 3")
+    name = F.concat(F.lit("Topic-"), F.expr("p_partkey div 2"), F.lit(" II (core)"))
+    return table(spark, sf_dir, "part").select(_code("p_partkey").alias("code"), name.alias("name"), (third == 0).alias("is_lab"), F.when(third == 2, _code("p_partkey + 2")).alias("partner"), "p_partkey")
+
+
+_MENTION_SQL = f"""q AS (SELECT o_orderkey, CASE o_orderkey % 3
+    WHEN 0 THEN 'Compare ' || {_CODE_SQL % (("o_custkey",) * 2)} || ' with topic ' || (o_orderkey % 5000 // 2) || ' ii'
+    WHEN 1 THEN 'show fast-track ' || (o_custkey * 5) || ' and Topic ' || (o_orderkey % 5000 // 2) || ' 2 in semester 2'
+    ELSE 'topic ' || (o_custkey // 2) || ' II, ' || {_CODE_SQL % (("o_custkey",) * 2)} || ' or track ' || (o_custkey * 10) END AS text FROM orders)"""
+
+
+def _mention_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, other = _code("o_custkey"), F.expr("o_orderkey % 5000 div 2")
+    first = F.concat(F.lit("Compare "), own, F.lit(" with topic "), other, F.lit(" ii"))
+    second = F.concat(F.lit("show fast-track "), F.expr("o_custkey * 5"), F.lit(" and Topic "), other, F.lit(" 2 in semester 2"))
+    third = F.concat(F.lit("topic "), F.expr("o_custkey div 2"), F.lit(" II, "), own, F.lit(" or track "), F.expr("o_custkey * 10"))
+    turn = F.col("o_orderkey") % 3
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(turn == 0, first).when(turn == 1, second).otherwise(third).alias("text"))
+
+
+@query(f"""WITH {_COURSES_SQL}, {_MENTION_SQL},
+titled AS (SELECT code, 'TOPIC ' || regexp_extract(name, '\\d+') || ' 2' AS title FROM courses),
+grouped AS (SELECT title, list_sort(list(code)) AS codes FROM titled GROUP BY title),
+aliases AS (SELECT 'FAST TRACK ' || p_partkey AS phrase, {_CODE_SQL % (("p_partkey",) * 2)} AS code FROM part WHERE p_partkey % 5 = 0
+  UNION ALL SELECT 'TRACK ' || p_partkey, {_CODE_SQL % (("p_partkey + 1",) * 2)} FROM part WHERE p_partkey % 10 = 0),
+w AS (SELECT o_orderkey, regexp_matches(lower(text), 'semester 2|second semester') AS second, regexp_extract_all(upper(text), '[A-Z0-9]+') AS a FROM q),
+t AS (SELECT o_orderkey, second, a, list_transform(a, lambda x: CASE x WHEN 'I' THEN '1' WHEN 'II' THEN '2' WHEN 'III' THEN '3' ELSE x END) AS b, unnest(range(1, len(a) + 1)) AS i FROM w),
+p AS (SELECT o_orderkey, second, i, n, array_to_string(a[i:i + n - 1], ' ') AS x, array_to_string(b[i:i + n - 1], ' ') AS y FROM t, unnest([1, 2, 3]) AS s(n) WHERE i + n - 1 <= len(a)),
+h AS (SELECT o_orderkey, 0 AS kind, i, n, code FROM p JOIN courses c ON n = 1 AND c.code = x
+  UNION ALL SELECT o_orderkey, 1, i, n, s.code FROM p JOIN aliases s ON s.phrase = x JOIN courses USING (code)
+  UNION ALL SELECT o_orderkey, 2, i, n, coalesce(CASE WHEN len(codes) = 1 THEN codes[1] END, list_filter(codes, lambda c: c[4] = CASE WHEN second THEN '2' ELSE '1' END)[1], codes[1]) FROM p JOIN grouped g ON g.title = y),
+k AS (SELECT * FROM h WHERE kind <> 1 OR NOT EXISTS (SELECT 1 FROM h o WHERE o.o_orderkey = h.o_orderkey AND o.kind < 2 AND (o.kind = 0 OR o.n > h.n) AND o.i < h.i + h.n AND h.i < o.i + o.n)),
+once AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, code ORDER BY kind, i) AS r FROM k JOIN titled USING (code)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, title ORDER BY i, kind) AS f FROM once WHERE r = 1)
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY i, kind, code) AS place, code FROM kept WHERE f = 1 OR kind = 0""")
+def course_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses that a query names by code, alias or name."""
+    parts = table(spark, sf_dir, "part")
+    fast = parts.where("p_partkey % 5 = 0").select(F.concat(F.lit("Fast Track "), "p_partkey").alias("alias"), _code("p_partkey").alias("code"))
+    track = parts.where("p_partkey % 10 = 0").select(F.concat(F.lit("track "), "p_partkey").alias("alias"), _code("p_partkey + 1").alias("code"))
+    found = dispatch.mentions(_mention_texts(spark, sf_dir), ["o_orderkey"], "text", _courses(spark, sf_dir), fast.unionByName(track))
+    return found.select("o_orderkey", "place", "code")
+
+
+@query(f"""WITH {_COURSES_SQL} SELECT 'TOPIC ' || regexp_extract(name, '\\d+') || ' 2' AS title, string_agg(code, ',' ORDER BY code) AS codes FROM courses GROUP BY 1""")
+def codes_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dispatch.codes_by_name(_courses(spark, sf_dir)).select("title", F.array_join("codes", ",").alias("codes"))
+
+
+_CLAUSE_TEXT_SQL = f"""CASE o_orderkey % 5
+    WHEN 0 THEN 'Explain ' || a || ' module 3 and ' || b || ' experiments 2 to 4'
+    WHEN 1 THEN 'first two experiments of ' || a || ', as well as last 2 modules of ' || b
+    WHEN 2 THEN a || ' modules 1 ' || b || ' module 5'
+    WHEN 3 THEN 'total credits of ' || a || ' module 2'
+    ELSE 'experiments of ' || a END"""
+
+
+@query(f"""WITH {_COURSES_SQL},
+k AS (SELECT o_orderkey, {_CODE_SQL % (("o_custkey",) * 2)} AS a, {_CODE_SQL % (("o_orderkey % 3000",) * 2)} AS b FROM orders),
+q AS (SELECT o_orderkey, {_CLAUSE_TEXT_SQL} AS text FROM k),
+g AS (SELECT * FROM q WHERE regexp_matches(text, '\\b(experiments?|modules?)\\b') AND NOT regexp_matches(text, 'total credits') AND (regexp_matches(text, 'experiments?') OR regexp_matches(text, '\\d'))),
+m AS (SELECT o_orderkey, text, unnest(l) AS code, generate_subscripts(l, 1) AS ord FROM (SELECT *, regexp_extract_all(text, 'CSA\\d+') AS l FROM g)),
+known AS (SELECT o_orderkey, text, m.code, min(ord) AS ord FROM m JOIN courses USING (code) GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY ord) AS place, count(*) OVER (PARTITION BY o_orderkey) AS n, strpos(text, code) AS p FROM known),
+parts AS (SELECT o_orderkey, list_filter(regexp_split_to_array(text, '\\s*(?:\\bas\\s+well\\s+as\\b|\\band\\b|[,;&])\\s*'), lambda c: c <> '') AS parts FROM g),
+cl AS (SELECT o_orderkey, place, code, lower(coalesce(CASE WHEN n > 1 AND len(parts) < n
+      THEN trim(substr(text, p, coalesce(lead(p) OVER (PARTITION BY o_orderkey ORDER BY p), length(text) + 1) - p))
+      ELSE list_filter(parts, lambda c: contains(c, code))[1] END, text)) AS clause, contains(text, 'experiment') AS whole
+  FROM placed JOIN parts USING (o_orderkey)),
+s AS (SELECT cl.*, c.is_lab OR (whole AND NOT contains(clause, 'module') AND l.code IS NOT NULL) AS lab,
+    CASE WHEN NOT c.is_lab AND whole AND NOT contains(clause, 'module') AND l.code IS NOT NULL THEN l.code ELSE cl.code END AS target
+  FROM cl JOIN courses c ON c.code = cl.code LEFT JOIN courses l ON l.code = c.partner AND l.is_lab),
+one AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, target ORDER BY place) AS r FROM s),
+num AS (SELECT * EXCLUDE (clause), clause || CASE WHEN lab AND NOT contains(clause, 'experiment') THEN ' experiments' WHEN NOT lab AND NOT contains(clause, 'module') THEN ' modules' ELSE '' END AS clause,
+  CASE WHEN lab THEN 'experiments?' ELSE 'modules?' END AS noun FROM one WHERE r = 1),
+ask AS (SELECT *, CASE
+    WHEN regexp_matches(clause, 'last 2 ' || noun) THEN [5, 6]
+    WHEN regexp_matches(clause, 'first two ' || noun) THEN [1, 2]
+    WHEN regexp_matches(clause, noun || ' \\d+ to \\d+') THEN range(regexp_extract(clause, noun || ' (\\d+) to (\\d+)', 1)::INT, regexp_extract(clause, noun || ' (\\d+) to (\\d+)', 2)::INT + 1)
+    WHEN regexp_matches(clause, '\\b\\d+ ' || noun) THEN [regexp_extract(clause, '\\b(\\d+) ' || noun, 1)::INT]
+    WHEN regexp_matches(clause, noun || ' \\d+') THEN [regexp_extract(clause, noun || ' (\\d+)', 1)::INT]
+    ELSE range(1, 7) END AS numbers FROM num),
+x AS (SELECT o_orderkey, place, target AS code, unnest(numbers) AS number FROM ask)
+SELECT o_orderkey, place, code, number::INT AS number, code || ' part ' || number AS title FROM x WHERE number BETWEEN 1 AND 6""")
+def course_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules or experiments of each course that a query names, by the clause that names it."""
+    courses = _courses(spark, sf_dir)
+    items = courses.select("code", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("number")).withColumn("title", F.concat("code", F.lit(" part "), "number"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", _code("o_custkey").alias("a"), _code("o_orderkey % 3000").alias("b"))
+    texts = [
+        F.concat(F.lit("Explain "), "a", F.lit(" module 3 and "), "b", F.lit(" experiments 2 to 4")),
+        F.concat(F.lit("first two experiments of "), "a", F.lit(", as well as last 2 modules of "), "b"),
+        F.concat("a", F.lit(" modules 1 "), "b", F.lit(" module 5")),
+        F.concat(F.lit("total credits of "), "a", F.lit(" module 2")),
+        F.concat(F.lit("experiments of "), "a"),
+    ]
+    queries = rows.select("o_orderkey", F.element_at(F.array(*texts), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("text"))
+    return dispatch.course_answers(queries, "o_orderkey", "text", courses, items)
+
+
+#: Texts of the predicate queries, put together from these by id.
+WANTS = ["list all experiments", "module wise notes", "the teaching scheme", "only theory", "lab subjects", "open electives of term 7", "course structure for sem iv",
+         "total credits for the degree", "text books", "textbooks and useful links", "marks and term work", "group size", "aims of it", "semester 12", "nothing at all"]
+
+
+@query(f"""WITH w AS (SELECT [{listed(WANTS)}] AS a),
+q AS (SELECT event_id, lower(a[event_id % {len(WANTS)} + 1] || ' / ' || a[user_id % {len(WANTS)} + 1]) AS text FROM events, w),
+s AS (SELECT *, regexp_extract(text, '\\b(?:sem(?:ester)?|term)\\s*([1-8]|viii|vii|vi|iv|v|iii|ii|i)\\b', 1) AS t FROM q)
+SELECT event_id, {", ".join(f"regexp_matches(text, {quoted(p)}) AS {name}" for name, p in dispatch.PREDICATES.items())},
+  CASE t WHEN 'iv' THEN 4 WHEN '7' THEN 7 END AS semester FROM s""")
+def query_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in WANTS])
+    pick = lambda key: F.element_at(words, (F.col(key) % len(WANTS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(pick("event_id"), F.lit(" / "), pick("user_id")).alias("text"))
+    return dispatch.predicates(rows).drop("text")
+
+
+_TERM_SQL = "list_extract(['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii'], n_nationkey % 8 + 1)"
+
+
+def _term() -> Column:
+    return F.element_at(F.array(*[F.lit(r) for r in numbers.ROMANS]), (F.col("n_nationkey") % 8 + 1).cast("int"))
+
+
+@query(f"""WITH {_COURSES_SQL},
+q AS (SELECT n_nationkey, n_nationkey % 8 + 1 AS semester, n_nationkey % 4 AS turn FROM nation),
+c AS (SELECT p_partkey % 8 + 1 AS semester, p_partkey AS ord, code, is_lab FROM part JOIN courses ON code = {_CODE_SQL % (("p_partkey",) * 2)})
+SELECT n_nationkey, 0 AS part, ord, 0 AS line_no, code, 'row ' || ord AS line FROM q JOIN c USING (semester) WHERE turn < 3
+UNION ALL SELECT n_nationkey, 1, ord, i::INT, code, code || ' line ' || i FROM q JOIN c USING (semester), unnest([1, 2]) AS l(i)
+WHERE turn = 0 OR (turn = 1 AND NOT is_lab) OR (turn = 2 AND is_lab)""")
+def semester_syllabus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A semester's table and the outlines of its courses; one query a nation, a stated set."""
+    asks = [("detailed syllabus of sem ", ""), ("all courses of semester ", ", only theory"), ("each subject of term ", ": practicals"), ("syllabus of sem ", "")]
+    texts = [F.concat(F.lit(a), _term(), F.lit(b)) for a, b in asks]
+    queries = table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(F.array(*texts), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("text"))
+    courses = _courses(spark, sf_dir)
+    core = courses.select((F.col("p_partkey") % 8 + 1).cast("int").alias("semester"), F.col("p_partkey").alias("ord"), "code", "is_lab")
+    lines = courses.select("code", F.explode(F.array(F.lit(1), F.lit(2))).alias("line_no")).withColumn("line", F.concat("code", F.lit(" line "), "line_no"))
+    structure = core.select("semester", "ord", "code", F.concat(F.lit("row "), "ord").alias("line"))
+    return dispatch.semester_syllabus(queries, "n_nationkey", "text", core, lines, structure)
+
+
+@query(f"""WITH c AS (SELECT p_partkey % 8 + 1 AS semester, p_size % 2 AS elective, {_CODE_SQL % (("p_partkey",) * 2)} AS code FROM part)
+SELECT n_nationkey, elective::INT AS part, code FROM nation JOIN c ON semester = n_nationkey % 8 + 1
+WHERE (elective = 0 AND n_nationkey % 5 IN (0, 1, 4)) OR (elective = 1 AND n_nationkey % 5 IN (1, 2))""")
+def structure_or_electives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A semester's courses, its electives, or both; a named course asks for neither unless all are wanted."""
+    first = _code("n_nationkey")
+    texts = [
+        F.concat(F.lit("structure of sem "), _term()),
+        F.concat(F.lit("subjects and electives in semester "), _term()),
+        F.concat(F.lit("minors of sem "), _term()),
+        F.concat(F.lit("credits of "), first, F.lit(" in semester "), _term()),
+        F.concat(F.lit("all courses beside "), first, F.lit(" in semester "), _term()),
+    ]
+    queries = table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(F.array(*texts), (F.col("n_nationkey") % 5 + 1).cast("int")).alias("text"))
+    kinds = table(spark, sf_dir, "part").select((F.col("p_partkey") % 8 + 1).cast("int").alias("semester"), (F.col("p_size") % 2).alias("elective"), _code("p_partkey").alias("code"))
+    named = dispatch.mentions(queries, ["n_nationkey"], "text", _courses(spark, sf_dir))
+    return dispatch.structure_or_electives(queries, "n_nationkey", "text", kinds.where("elective = 0"), kinds.where("elective = 1"), named)
+
+
+SPECIALS = [
+    ("nomenclature", r"\b(?:nomenclature|curriculum\s+abbreviations?)\b"),
+    ("program_elective", r"\b(?:program\s+elective|pe)\s*[-_ ]?\s*([1-4]|iii|ii|iv|i)\b"),
+    ("open_elective", r"\b(?:open\s+electives?|oe)\b"),
+    ("minors", r"\b(?:minors?|mdms?)\b"),
+]
+
+
+@query("""WITH q AS (SELECT conv_id, turn, conv_id % 5 AS k FROM conversations),
+t AS (SELECT 'nomenclature' AS route, NULL AS number, r_regionkey AS ord, r_name AS cell FROM region
+  UNION ALL SELECT 'program_elective', n_regionkey, n_nationkey, n_name FROM nation
+  UNION ALL SELECT 'minors', NULL, n_nationkey, upper(n_name) FROM nation),
+w AS (SELECT conv_id, turn, route, ord, cell FROM q JOIN t ON (k = 0 AND route = 'nomenclature') OR (k = 1 AND route = 'program_elective' AND number = 2)
+  OR (k = 2 AND route = 'minors') OR (k = 3 AND route = 'program_elective' AND number = 4))
+SELECT conv_id, turn, route, ord, cell FROM w""")
+def special_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the first special table that a query asks for: an empty one passes on to the next."""
+    texts = F.array(*[F.lit(t) for t in ("Nomenclature, and PE 2?", "the Program Elective-II list", "open electives or minors", "PE 4 or MDMs", "hello")])
+    asked = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("q"), F.element_at(texts, (F.col("conv_id") % 5 + 1).cast("int")).alias("text"))
+    nations = table(spark, sf_dir, "nation")
+    row = lambda route, number, key, cell: [F.lit(route).alias("route"), number.cast("int").alias("number"), F.col(key).cast("int").alias("ord"), F.array(cell).alias("cells")]
+    tables_ = table(spark, sf_dir, "region").select(*row("nomenclature", F.lit(None), "r_regionkey", F.col("r_name")))
+    tables_ = tables_.unionByName(nations.select(*row("program_elective", F.col("n_regionkey"), "n_nationkey", F.col("n_name"))))
+    tables_ = tables_.unionByName(nations.select(*row("minors", F.lit(None), "n_nationkey", F.upper("n_name"))))
+    found = dispatch.special_tables(asked, "q", "text", SPECIALS, tables_)
+    return found.select("q.conv_id", "q.turn", "route", "ord", F.get("cells", F.lit(0)).alias("cell"))

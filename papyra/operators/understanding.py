@@ -111,16 +111,30 @@ def entities(queries: DataFrame, aliases: DataFrame, qkey: str, text: str, expli
     return rows.select(qkey, resolve("__q", "hits").alias("codes"))
 
 
-def entities_sql(queries: DataFrame, aliases: DataFrame, qkey: str, text: str) -> DataFrame:
-    """Alias matches not overlapped by a longer one, without Python: ``qkey, alias, code, place``."""
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
-    words = queries.select(qkey, low.alias("__q")).withColumn("w", F.explode(F.array_distinct(F.split(F.trim("__q"), " "))))
-    given = aliases.select(F.trim(F.regexp_replace(F.lower("alias"), "[^a-z0-9]+", " ")).alias("alias"), "code").withColumn("w", F.substring_index("alias", " ", 1))
-    hit = words.join(given, "w").withColumn("place", F.position(F.concat(F.lit(" "), F.col("alias"), F.lit(" ")), F.col("__q")))
-    hit = hit.where("place > 0").select(qkey, "alias", "code", "place", (F.col("place") + F.length("alias")).alias("stop"))
-    longer = hit.select(F.col(qkey).alias("k"), F.col("place").alias("p"), F.col("stop").alias("s"), F.length("alias").alias("n"))
-    overlapped = hit.join(longer, (F.col(qkey) == F.col("k")) & (F.col("p") < F.col("stop")) & (F.col("place") < F.col("s")) & (F.col("n") > F.length("alias")), "left_anti")
-    return overlapped.select(qkey, "alias", "code", "place")
+def _plain_words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def entities_sql(queries: DataFrame, aliases: DataFrame, qkey: str, text: str, head: int = 4) -> DataFrame:
+    """Alias matches at every place, not overlapped by a longer one, without Python: ``qkey, alias, code, place``.
+
+    Places count words. Texts meet aliases by the first ``head`` words; only where
+    they do is the text fetched, once a document, and the rest compared.
+    """
+    given = aliases.select(_plain_words(F.col("alias")).alias("ws"), "code").where(F.size("ws") > 0)
+    given = given.select(F.array_join(F.slice("ws", 1, head), " ").alias("head"), F.array_join("ws", " ").alias("alias"), "ws", "code")
+    # A generator's output is computed once; a plain projection would be folded into the lambdas below.
+    words = queries.select(qkey, F.inline(F.array(F.struct(_plain_words(F.col(text)).alias("ws")))))
+    size = F.size("ws")
+    lengths = lambda i: F.sequence(F.lit(1), F.least(F.lit(head), size - i))
+    heads = F.transform(F.filter(F.sequence(F.lit(0), size), lambda i: i < size), lambda i: F.transform(lengths(i), lambda n: F.struct(i.alias("place"), F.array_join(F.slice("ws", i + 1, n), " ").alias("head"))))
+    met = words.select(qkey, F.explode(F.flatten(heads)).alias("h")).select(qkey, "h.*").join(given, "head")
+    met = met.groupBy(F.col(qkey).alias("__k")).agg(F.collect_list(F.struct("place", "alias", "ws", "code")).alias("hits"))
+    rows = met.join(words, F.col("__k").eqNullSafe(F.col(qkey)))
+    rows = rows.withColumn("hits", F.filter("hits", lambda h: F.slice(F.col("ws"), h["place"] + 1, F.size(h["ws"])) == h["ws"]))
+    over = lambda h, o: (F.size(o["ws"]) > F.size(h["ws"])) & (o["place"] < h["place"] + F.size(h["ws"])) & (h["place"] < o["place"] + F.size(o["ws"]))
+    kept = F.filter("hits", lambda h: ~F.exists("hits", lambda o: over(h, o)))
+    return rows.select(qkey, F.explode(kept).alias("h")).select(qkey, "h.alias", "h.code", "h.place")
 
 
 def catalogue_pattern(names: DataFrame, column: str, least: int = 4) -> DataFrame:
