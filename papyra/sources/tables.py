@@ -75,3 +75,25 @@ def fresh(cache: DataFrame, version: int, as_of: Column, max_age_days: int = 7)
     """Cache rows of the wanted version that are not older than the limit at ``as_of``."""
     age = F.unix_timestamp(as_of) - F.unix_timestamp("saved_at")
     return cache.where((F.col("version") == version) & (age <= max_age_days * 86400))
+
+
+#: What a crawl leaves behind to resume from: visited addresses and the file records found so far, by address.
+CRAWL_STATE = "visited array<string>, pdfs map<string, struct<hash_id:string, title:string, source_page:string, depth:int>>"
+
+
+def resume_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``url`` of the visited pages, and ``url, hash_id, title, source_page, depth`` of the files found.
+
+    A state that is missing or cannot be parsed gives empty tables, so a crawl starts anew.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    reader = spark.read.schema(CRAWL_STATE).option("multiLine", True).option("mode", "DROPMALFORMED")
+    state = reader.json(path) if there else spark.createDataFrame([], CRAWL_STATE)
+    visited = state.select(F.explode("visited").alias("url")).where("url is not null").distinct()
+    return visited, state.select(F.explode("pdfs").alias("url", "r")).where("r is not null").select("url", "r.*")
+
+
+def unvisited(links: DataFrame, visited: DataFrame, url: str = "url") -> DataFrame:
+    """Links that a resumed crawl has still to read, each once."""
+    return links.dropDuplicates([url]).join(visited.select(F.col("url").alias(url)), url, "left_anti")
