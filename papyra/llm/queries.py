@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, fingerprints, html_text, jaccard, language, licences, lines, mixing, suffixes, warc
+from . import conversations, decontaminate, filter_audit, fingerprints, html_text, jaccard, language, licences, lines, mixing, secrets, suffixes, warc
 from .common import shared_dir, staged, table
 
 
@@ -62,6 +62,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))["taken"]
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, with this package sent to the Python workers first."""
 
@@ -84,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": _shipped(op8_jaccard),
     "op9_mixing": op9_mixing,
     "op10_licences": op10_licences,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_secrets": _shipped(op12_secrets),
+    "op13_conversations": _shipped(op13_conversations),
 }
 
 def _licence_sql() -> str:
@@ -143,4 +158,65 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> o THEN o END AS refers_to FROM original""",
     "op10_licences": _licence_sql(),
+    "op13_conversations": r"""
+WITH RECURSIVE codes AS (SELECT list(c ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) AS t(i))),
+keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+harmed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 AS harm
+  FROM keyed, codes),
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+left_over AS (
+  SELECT c, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE WHEN harm = 1 THEN '' WHEN harm = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM harmed h JOIN ids ON ids.conv_id IS NOT DISTINCT FROM h.conv_id, unnest(CASE WHEN harm = 0 THEN [] WHEN harm = 3 THEN [1, 2] ELSE [1] END) AS t(copy)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS pos, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM left_over),
+faulty AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY pos) || left(role, 1) AS pair FROM placed),
+told AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+    count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY c),
+sizes AS (SELECT ids.c, conv_id, coalesce(n, 0) AS n FROM ids LEFT JOIN told USING (c)),
+moves(kind, state, initial, next, edit, cost, named) AS (VALUES
+  ('gap', 0, '', 0, '', 0, ''), ('gap', 1, '', 1, '', 0, ''), ('gap', 2, '', 2, '', 0, ''), ('gap', 3, '', 3, '', 0, ''),
+  ('gap', 0, '', 2, 'I', 3, 'user'), ('gap', 1, '', 2, 'I', 3, 'user'), ('gap', 3, '', 2, 'I', 3, 'user'), ('gap', 2, '', 3, 'I', 3, 'assistant'),
+  ('row', 0, 's', 1, 'K', 0, ''), ('row', 0, 'u', 2, 'K', 0, ''), ('row', 1, 'u', 2, 'K', 0, ''), ('row', 3, 'u', 2, 'K', 0, ''), ('row', 2, 'a', 3, 'K', 0, ''),
+  ('row', 0, '', 2, 'R', 3, 'user'), ('row', 1, '', 2, 'R', 3, 'user'), ('row', 3, '', 2, 'R', 3, 'user'), ('row', 2, '', 3, 'R', 3, 'assistant'),
+  ('row', 0, '', 0, 'D', 4, ''), ('row', 1, '', 1, 'D', 4, ''), ('row', 2, '', 2, 'D', 4, ''), ('row', 3, '', 3, 'D', 4, '')),
+walk AS (
+  SELECT c, n, 0 AS k, 0 AS state, 0 AS cost, '' AS audit, '' AS made FROM sizes
+  UNION ALL
+  SELECT c, n, k + 1, next, best.cost, best.audit, best.made FROM (
+    SELECT w.c, w.n, w.k, m.next, min({'cost': w.cost + m.cost + CASE WHEN m.edit IN ('K', 'R') AND f.cut THEN 3 ELSE 0 END, 'audit': w.audit || m.edit,
+      'made': w.made || CASE m.edit WHEN 'K' THEN chr(10) || f.role || ':' || f.text WHEN 'R' THEN chr(10) || m.named || ':' || f.text WHEN 'I' THEN chr(10) || m.named || ':' ELSE '' END}) AS best
+    FROM walk w JOIN moves m ON m.state = w.state AND (m.kind = 'row') = ((w.k + 1) % 3 = 0) LEFT JOIN faulty f ON m.kind = 'row' AND f.c = w.c AND f.pos = (w.k + 1) // 3
+    WHERE w.k < 3 * w.n + 2 AND (m.edit <> 'K' OR m.initial = left(f.role, 1)) AND (m.kind = 'gap' OR m.edit = 'D' OR NOT (f.blank OR f.again))
+    GROUP BY ALL)),
+best AS (SELECT c, min({'cost': cost, 'audit': audit, 'made': made}) AS b FROM walk WHERE k = 3 * n + 2 AND state IN (0, 3) GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  b.cost::BIGINT AS cost, b.audit AS audit, sha256(substr(b.made, 2)) AS repaired_sha256
+FROM sizes JOIN best USING (c) LEFT JOIN told USING (c)""",
+    "op11_filter_audit": r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failing AS (
+  SELECT x.part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN coalesce(x.doc_id > min(x.doc_id) OVER (PARTITION BY t), false) THEN 'E' ELSE '' END AS fails,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = x.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = x.doc_id AND toxic = 1) AS bad
+  FROM texts x),
+counted AS (SELECT part, fails, good, bad, count(*) AS n FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f)
+  JOIN letters d ON d.f NOT IN (a.f, b.f, c.f) JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+steps AS (SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS f, left(filter_order, step::INT - 1) AS earlier FROM orders, range(1, 6) AS s(step)),
+met AS (SELECT *, contains(fails, f) AS hit, translate(fails, earlier, '') = fails AS here FROM steps, counted),
+judged AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (here AND NOT hit), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND hit), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (hit AND NOT here), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (here AND hit AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (here AND hit AND bad), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM judged""",
 }
