@@ -25,8 +25,8 @@ bounded share of the input.
 
 Defined results: null texts count as empty; texts shorter than a window lose
 nothing; matches never cross documents; a document's own repeats do not count,
-nor do rows with the same doc_id; rows without a doc_id are before or after no
-other and lose nothing; an empty table gives an empty result; extra columns are
+nor do rows with the same doc_id, whose texts may differ and lose their own bytes
+only; rows without a doc_id are before or after no other and lose nothing; an empty table gives an empty result; extra columns are
 ignored. Texts are read whole; memory grows with the longest one.
 """
 
@@ -429,9 +429,9 @@ def hot_anchors(shared: DataFrame) -> np.ndarray:
 
 
 def _with_anchors(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """Documents with their lists of shared anchors."""
+    """``doc_id, text, shared, anchors, tag``: documents with their lists of shared anchors, and a hash that tells texts of one doc_id apart."""
     lists = shared.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("shared").alias("shared"), F.collect_list("anchor").alias("anchors"))
-    return docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "shared", "anchors")
+    return docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "shared", "anchors", F.xxhash64("text").alias("tag"))
 
 
 def _wanted(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -441,12 +441,12 @@ def _wanted(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def earlier_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, shards: int, length: int = LENGTH) -> DataFrame:
-    """``doc_id, hit``: windows that start in an earlier document too, but those of hot anchors.
+    """``doc_id, tag, hit``: windows that start in an earlier document too, but those of hot anchors.
 
     A hit is a place in the text, and below it MASK_BITS bits; bit i is the window i bytes after the place.
     """
 
-    def deal_some(ids: np.ndarray, texts: list[bytes], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def deal_some(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         who_all, ctx_all, start_all, ctx_h = [], [], [], []
 
@@ -462,7 +462,7 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, shards:
                 docs_here, times = np.unique(who[own], return_counts=True)
                 yield _pack(
                     shard, b"".join(parts), np.array([len(c) for c in parts], dtype=np.uint8), hashes[used],
-                    np.array([len(used)], dtype=np.int64), row.astype(np.int32), start[own].astype(np.int64), times.astype(np.int32), ids[docs_here],
+                    np.array([len(used)], dtype=np.int64), row.astype(np.int32), start[own].astype(np.int64), times.astype(np.int32), ids[docs_here], tags[docs_here],
                 )
             del contexts, who, ctx, start, hashes
             _released(None)
@@ -489,15 +489,15 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, shards:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            yield from deal_some(ids, _binary(batch.column(1)), _wanted(batch))
+            yield from deal_some(ids, batch.column(4).to_numpy(), _binary(batch.column(1)), _wanted(batch))
 
     def meet(table: pa.Table) -> pa.Table:
         raw, sizes, h = b"".join(table.column("p0").to_pylist()), _joined(table, 1, np.uint8).astype(np.int64), _joined(table, 2, np.uint64)
         per_row, ctx = _joined(table, 3, np.int64), _joined(table, 4, np.int32).copy()
-        start, times, ids = _joined(table, 5, np.int64), _joined(table, 6, np.int32), _joined(table, 7, np.int64)
+        start, times, ids, tags = _joined(table, 5, np.int64), _joined(table, 6, np.int32), _joined(table, 7, np.int64), _joined(table, 8, np.int64)
         ctx += np.repeat(np.cumsum(per_row) - per_row, [len(x) // 4 for x in table.column("p4").to_pylist()]).astype(np.int32)
         del table
-        doc = np.repeat(ids, times)
+        doc, tag = np.repeat(ids, times), np.repeat(tags, times)
         offsets = np.cumsum(sizes) - sizes
         number: dict[bytes, int] = {}
         same = np.empty(len(sizes), dtype=np.int32)
@@ -538,13 +538,13 @@ def earlier_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, shards:
         hit = np.flatnonzero(mask)
         del contexts
         hits = start[hit] << MASK_BITS | mask[hit].astype(np.int64)
-        return _released(pa.table([pa.array(doc[hit], pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "hit"]))
+        return _released(pa.table([pa.array(doc[hit], pa.int64()), pa.array(tag[hit], pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "tag", "hit"]))
 
-    schema = "shard int, " + ", ".join(f"p{i} binary" for i in range(8))
+    schema = "shard int, " + ", ".join(f"p{i} binary" for i in range(9))
     return _with_anchors(docs, shared).mapInArrow(deal, schema).groupBy("shard").applyInArrow(meet, WINDOWS)
 
 
-WINDOWS = "doc_id long, hit long"
+WINDOWS = "doc_id long, tag long, hit long"
 
 
 def hot_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, length: int = LENGTH) -> DataFrame:
@@ -554,7 +554,7 @@ def hot_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, length: int
         for batch in batches:
             wanted = [w[_among(w, hot)] for w in _wanted(batch)]
             some = [i for i, w in enumerate(wanted) if len(w)]
-            ids, texts = batch.column(0).to_pylist(), _binary(batch.column(1))
+            ids, texts, tags = batch.column(0).to_pylist(), _binary(batch.column(1)), batch.column(4).to_pylist()
             for who, h, lo, hi in anchors([texts[i] for i in some]):
                 short = h.astype(np.uint32)
                 keep = np.concatenate([np.zeros(0, dtype=np.int64), *[at[_among(short[at], wanted[some[w]])] for w in np.unique(who).tolist() for at in [np.flatnonzero(who == w)]]])
@@ -562,10 +562,10 @@ def hot_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, length: int
                 places = list(zip(own, lo[keep].tolist(), hi[keep].tolist(), strict=True))
                 for a in range(0, len(places), 4096):
                     rows = places[a : a + 4096]
-                    columns = [pa.array([texts[i][p : q + length] for i, p, q in rows], pa.binary()), pa.array([ids[i] for i, _, _ in rows], pa.int64()), pa.array([p for _, p, _ in rows], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["context", "doc_id", "start"])
+                    columns = [pa.array([texts[i][p : q + length] for i, p, q in rows], pa.binary()), pa.array([ids[i] for i, _, _ in rows], pa.int64()), pa.array([tags[i] for i, _, _ in rows], pa.int64()), pa.array([p for _, p, _ in rows], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["context", "doc_id", "tag", "start"])
 
-    places = staged(_with_anchors(docs, shared).mapInArrow(cut, "context binary, doc_id long, start long"), "hot")
+    places = staged(_with_anchors(docs, shared).mapInArrow(cut, "context binary, doc_id long, tag long, start long"), "hot")
     contexts = places.groupBy("context").agg(F.min("doc_id").alias("first"))
     offsets = F.sequence(F.lit(0), F.octet_length("context") - length)
     windows = contexts.select("context", "first", F.explode(offsets).alias("i"))
@@ -574,8 +574,8 @@ def hot_windows(docs: DataFrame, shared: DataFrame, hot: np.ndarray, length: int
     # A window is in few contexts or, at the edge of a passage, a context has few windows of others; both joins may be split.
     each = windows.join(earliest, "window").groupBy("context").agg(F.collect_list(F.struct("i", "earliest")).alias("windows"))
     bits = F.aggregate("windows", F.lit(0).cast("long"), lambda m, w: m + F.when(w["earliest"] < F.col("doc_id"), F.pow(F.lit(2.0), w["i"]).cast("long")).otherwise(F.lit(0).cast("long")))
-    found = places.join(each, "context").select("doc_id", "start", bits.alias("mask")).where("mask <> 0")
-    return found.select("doc_id", (F.col("start") * (1 << MASK_BITS) + F.col("mask")).alias("hit"))
+    found = places.join(each, "context").select("doc_id", "tag", "start", bits.alias("mask")).where("mask <> 0")
+    return found.select("doc_id", "tag", (F.col("start") * (1 << MASK_BITS) + F.col("mask")).alias("hit"))
 
 
 def covered(n: int, hits: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -601,8 +601,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> Data
     if len(hot):
         found = found.unionByName(staged(hot_windows(texts, shared, hot, length), "windows"))
     free(shared)
-    lists = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("hit").alias("hits"))
-    joined = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "text", "hits")
+    # Different texts may share a doc_id; each has its own hits.
+    lists = found.groupBy("doc_id", "tag").agg(F.collect_list("hit").alias("hits"))
+    joined = docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).join(lists, ["doc_id", "tag"], "left").select("doc_id", "text", "hits")
     schema = docs.select("doc_id").schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary")):
         schema.add(name, kind)
