@@ -8,10 +8,11 @@ any two such fingerprints agree on ``spare`` whole blocks, so there is one table
 for each choice of these, keyed by their bits.
 
 Defined results: a null text counts as empty; texts without words have the
-fingerprint 0; equal texts have equal fingerprints; documents that repeat a
-doc_id follow each other in order of their text; the next document of the last
-is the first; an empty table gives an empty result; extra columns are ignored.
-Texts are read whole; memory grows with the longest ones.
+fingerprint 0; equal texts have equal fingerprints; documents that share a
+doc_id follow each other in order of a hash of their text, and so do those
+without one, after all others; the next document of the last is the first; an
+empty table gives an empty result; extra columns are ignored. Texts are read
+whole; memory grows with the longest ones.
 """
 
 from __future__ import annotations
@@ -65,42 +66,44 @@ def edited(text: str, following: str) -> str:
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
-    """Documents in buckets of consecutive doc_ids, each followed by its successor's text.
+    """Documents with ``h``, a hash of the text, in buckets that follow each other as doc_id and h do.
 
-    Bucket bounds are quantiles of doc_id. The first document of each bucket is
-    put at the end of the bucket before, marked as a follower; that of the first
-    bucket goes to the last.
+    Bucket bounds are quantiles of doc_id. Documents without a doc_id come after
+    all others, in buckets that are even ranges of h.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).first()
-    n = min(MOST_BUCKETS, max(1, -(-(total["n"] or 0) // BUCKET_BYTES), -(-total["rows"] // ORDER_ROWS)))
-    bounds = texts.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    if not bounds:
-        return texts.withColumn("bucket", F.lit(0.0))
-    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
-    keyed = texts.withColumn("at", F.col("doc_id").cast("double"))
-    # Null ids get a bucket of their own after all others.
-    return Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep").transform(keyed).drop("at")
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
+    known = F.col("doc_id").isNotNull()
+    total = texts.groupBy(known.alias("known")).agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).collect()
+    needed = {r["known"]: min(MOST_BUCKETS, max(1, -(-r["n"] // BUCKET_BYTES), -(-r["rows"] // ORDER_ROWS))) for r in total}
+    n, nulls = needed.get(True, 1), needed.get(False, 1)
+    bounds = texts.where(known).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    placed = texts.withColumn("bucket", F.lit(0.0))
+    if bounds:
+        splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
+        keyed = texts.withColumn("at", F.col("doc_id").cast("double"))
+        placed = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep").transform(keyed).drop("at")
+    # The hash as a share of its range, from 0 on.
+    share = F.col("h").cast("double") / 2.0**64 + 0.5
+    return placed.withColumn("bucket", F.when(known, F.col("bucket")).otherwise(F.lit(float(n)) + F.floor(share * nulls)))
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """Fingerprints of all documents and their edited texts, and their likeness."""
+    """Fingerprints of all documents and their edited texts, and their likeness.
+
+    The first document of each bucket is put at the end of the bucket before,
+    marked as a follower; that of the first bucket goes to the last.
+    """
     placed = _ordered(docs)
-    # A bucket's first document by doc_id and text; the hash only breaks ties of equal rows.
-    first_ids = placed.groupBy(F.col("bucket").alias("b")).agg(F.min("doc_id").alias("i"))
-    # One row a bucket, and MOST_BUCKETS buckets and one for null ids at most.
-    firsts = placed.join(F.broadcast(first_ids), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("i")))
-    firsts = firsts.groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
-    order = Window.orderBy("bucket")
-    firsts = staged(
-        firsts.withColumn("last", F.max("bucket").over(Window.partitionBy()))
-        .withColumn("before", F.lag("bucket").over(order))
-        .select("doc_id", "text", F.coalesce("before", "last").alias("bucket")),
-        "firsts",
-    )
-    rows = placed.select("bucket", F.lit(0).alias("follows"), "doc_id", "text").unionByName(
-        firsts.select("bucket", F.lit(1).alias("follows"), "doc_id", "text")
-    )
+    # Numbers and hashes only, one row a bucket, and MOST_BUCKETS for either kind of document at most.
+    heads = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("f"))
+    heads = heads.withColumn("to", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy())))
+    heads = heads.select(F.col("bucket").alias("b"), "f", "to")
+    same = (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("h") == F.col("f.h"))
+    # Rows of equal id and hash have equal texts; one of them follows.
+    firsts = staged(placed.join(F.broadcast(heads), same).groupBy(F.col("to").alias("bucket"), "doc_id", "h").agg(F.min("text").alias("text")), "firsts")
+    columns = ["bucket", "doc_id", "text", "h"]
+    rows = placed.select(*columns, F.lit(0).alias("follows")).unionByName(firsts.select(*columns, F.lit(1).alias("follows")))
     schema = docs.select("doc_id").schema
     for name, kind in (("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")):
         schema.add(name, kind)
@@ -128,7 +131,7 @@ def compare(docs: DataFrame) -> DataFrame:
         texts: list[str] = []
         bucket, size = None, 0
         for batch in batches:
-            for b, i, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for b, i, t in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
                 if b != bucket:
                     if len(ids) > 1:
                         yield emit(ids, texts)
@@ -142,7 +145,7 @@ def compare(docs: DataFrame) -> DataFrame:
         if len(ids) > 1:
             yield emit(ids, texts)
 
-    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "follows", "doc_id", "text")
+    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "follows", "doc_id", "h", "text")
     return sorted_rows.mapInArrow(run, schema)
 
 
