@@ -201,7 +201,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHARS_
 
 def clean(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHARS_PER_ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; each row is judged by its own text, whatever its doc_id."""
-    schema, at = docs.schema, docs.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
+    # Columns travel by number, so they may have any names.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    schema = numbered.schema
 
     def left(items: list[tuple[int, str]], rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,9 +215,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHARS_PE
 
         return rows.mapInArrow(run, schema)
 
-    rows, held = docs, None
+    rows, held = numbered, None
     for items in blocks(benchmark, block_chars):
         if held is not None:
             rows = staged(left(held, rows), "clean")
         held = items
-    return rows if held is None else left(held, rows)
+    return (rows if held is None else left(held, rows)).toDF(*names)

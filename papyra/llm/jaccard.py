@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, components, free, staged
+from .common import WORD, components, free, named, staged
 from .shingles import distinct, mix, shingle_sets
 
 SHINGLE = 4
@@ -513,9 +513,12 @@ def without_copies(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, **
     kept = grouped(docs, k, percent, **groups).where("of is not null").select("of").distinct()
     kept = kept.select(F.col("of.doc_id").alias("__id"), F.col("of.t").alias("__t"))
     # Columns may have any names, so a row travels as one struct.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__doc"), text_hash().alias("__hash"))
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__doc"), text_hash().alias("__hash"))
     worded = F.coalesce(F.col("__row.text").rlike(WORD), F.lit(False))
     same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__t"))
-    order = Window.partitionBy("__doc", "__hash").orderBy(*[F.col(f"__row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
+    # What has no order of its own, as maps do, is ordered by how it is written.
+    own = [(F.col("__row")[f.name], f.dataType) for f in docs.schema if f.name not in ("doc_id", "text")]
+    plain = [c.cast("string") if "map<" in kind.simpleString() or kind.simpleString() == "variant" else c for c, kind in own]
+    order = Window.partitionBy("__doc", "__hash").orderBy(*plain, F.lit(0))
     firsts = rows.where(worded).join(kept, same, "left_semi").withColumn("__place", F.row_number().over(order)).where("__place = 1")
     return rows.where(~worded).select("__row").unionByName(firsts.select("__row")).select("__row.*")

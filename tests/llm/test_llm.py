@@ -159,6 +159,22 @@ def test_suffixes_match_brute_force(spark, monkeypatch, hot):
     assert bool(split) == (hot == 3) and all(split)
 
 
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_texts_of_one_id_lose_their_own_bytes(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, other = prose(80), prose(300)
+    docs = [(1, shared), (2, shared + prose(40)), (2, other), (3, prose(30) + other[100:200]), (3, prose(50) + shared), (3, prose(200))]
+    got = sorted(tuple(r)[:5] for r in suffixes.dedup(table(spark, docs, "doc_id long, text string")).collect())
+    want = []
+    for i, t in docs:
+        # Alone with the texts of smaller ids, so rows of its own id have no part in it.
+        alone = brute_bytes([(n, u) for n, (j, u) in enumerate([d for d in docs if d[0] < i])] + [(1000, t)])[1000]
+        want.append((i, *alone))
+    assert got == sorted(want)
+
+
 # -- 3: fingerprints
 
 
@@ -178,6 +194,23 @@ def test_fingerprints(spark):
     assert got[7]["fingerprint"] == got[3]["fingerprint"]
 
 
+@pytest.mark.parametrize("limit", [1 << 24, 40, 1])
+def test_every_document_is_followed(spark, monkeypatch, limit):
+    """Null and repeated ids, in one bucket and in many."""
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", limit)
+    rows = [(i, f"text {i} " * (i % 4)) for i in range(30)] + [(3, "another three"), (3, "a third three"), (4, "text 4 " * 0), (None, "no id"), (None, "none either"), (None, None), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = [tuple(r) for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    order = sorted(hashed, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))
+    want = []
+    for (i, t, _), (_, u, _) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()))
+    assert sorted([tuple(r)[:3] for r in fingerprints.compare(df).collect()], key=repr) == sorted(want, key=repr)
+    only = spark.createDataFrame([(None, "one row alone")], "doc_id long, text string")
+    assert [r["n_chars"] for r in fingerprints.compare(only).collect()] == [13]
+
+
 def test_block_tables_find_all_within_radius(spark):
     rng = random.Random(5)
     prints = [rng.getrandbits(64) for _ in range(60)]
