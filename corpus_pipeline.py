@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm import decontaminate, jaccard, language, lines, mixing
-from papyra.llm.common import staged, table
+from papyra.llm.common import named, staged, table
 from papyra.session import ship
 
 #: A text's language counts as known from this share of its n-grams on.
@@ -31,7 +31,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rejected. Ties go to the language first by code point; equal texts fare alike.
     """
     ship(spark)
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    rows = docs.select("text", F.struct(*[named(c) for c in docs.columns]).alias("row"))
     found = language.predict(rows, language.train(docs), keep=("row",))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
@@ -43,10 +43,10 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     doc_id, none before any, then the place in the text. Of rows with equal doc_id
     and equal text each keeps the lines that one of them would.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = lines.dedup(docs.select("doc_id", "text", F.struct(*rest).alias("rest"))).where("n_lines = 0 or n_removed < n_lines")
+    rest = [named(c) for c in docs.columns if c not in ("doc_id", "text")]
+    found = lines.dedup(docs.select("doc_id", "text", F.struct(*(rest or [F.lit(0)])).alias("rest"))).where("n_lines = 0 or n_removed < n_lines")
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return found.select(*[new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
+    return found.select(*[new[c].alias(c) if c in new else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,12 +69,18 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, with size, target and words taken; these replace columns of their names.
 
-    Documents under one doc_id share what is taken of them; null and wordless texts have nothing to take and go.
+    A document is told apart by doc_id, source and text; rows that are equal in all three each show the most that is
+    taken of one. Null and wordless texts have nothing to take and go.
     """
-    taken = mixing.mix(docs)["taken"].where("taken > 0").groupBy(F.col("doc_id").alias("mixed_id"))
-    taken = taken.agg(F.sum("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
-    own = docs.select(*[c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "mixed_id")])
-    return own.join(taken, own["doc_id"].eqNullSafe(taken["mixed_id"])).drop("mixed_id")
+    key = F.struct("doc_id", "source", F.xxhash64("text").alias("t"))
+    taken = mixing.mix(docs.select(key.alias("doc_id"), "text", "source"))["taken"].where("taken > 0").groupBy(F.col("doc_id").alias("mixed"))
+    taken = taken.agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
+    taken = taken.select(F.struct("mixed", "size", "source_size", "target", "taken").alias("mix"))
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), key.alias("key"))
+    both = [F.col("key")[c].eqNullSafe(F.col("mix.mixed")[c]) for c in ("doc_id", "source", "t")]
+    found = rows.join(taken, both[0] & both[1] & both[2])
+    new = ("size", "source_size", "target", "taken")
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *[F.col("mix")[c].alias(c) for c in new])
 
 
 STAGES = [
