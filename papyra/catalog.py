@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html, numbers, text, urls
-from .operators import chunking, dispatch, extract, ranking, relational, sections, structure, understanding
+from .operators import chunking, dispatch, extract, pruned, ranking, relational, sections, structure, understanding
 from .session import ship
 from .sources import sinks, tables
 from .sources.tables import table
@@ -281,8 +281,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9)
 
 
 def _bm25(spark: SparkSession, sf_dir: str, tokens=text.tokens_stemmed, k: int = 5, **options) -> DataFrame:
-    scored = ranking.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", tokens, **options)
-    return ranking.top_k(scored, "item_id", "doc_id", k)
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pruned.bm25_top(docs, table(spark, sf_dir, "benchmark"), "doc_id", "item_id", tokens, k, **options)
 
 
 @query(f"WITH {_bm25_sql(stemmed_sql, 'plus_one', False)} SELECT item_id, doc_id, rank, round(score, 4) AS score FROM r WHERE rank <= 5")
@@ -297,6 +298,28 @@ def bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
+_WORD_SQL = "string_split(trim(text), ' ')[1]"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {plural_sql("text")} AS ts FROM documents),
+stat AS (SELECT count(*) AS n, greatest(avg(len(ts)), 1.0) AS avgdl FROM d),
+q AS (SELECT DISTINCT item_id, unnest({plural_sql(_WORD_SQL)}) AS term FROM benchmark),
+p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM q JOIN p USING (term) JOIN f USING (term), stat GROUP BY item_id, doc_id),
+a AS (SELECT b.item_id, d.doc_id, coalesce(score, 0) AS score FROM benchmark b CROSS JOIN d LEFT JOIN s ON s.item_id = b.item_id AND s.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM a)
+SELECT item_id, doc_id, rank, round(score, 4) AS score FROM r WHERE rank <= 15""")
+def zero_score_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of 15 for queries of one word, documents without it at the end."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.get(F.split(F.trim("text"), " "), F.lit(0)).alias("text"))
+    ranked = pruned.bm25_top(docs, items, "doc_id", "item_id", text.tokens_plural, 15, 1.5, 0.75)
+    return ranking.listed_in_full(ranked, docs, items, "item_id", "doc_id", 15).select("item_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
 _DENSE_SQL = """
 v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 c AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label AS ql, b.label AS dl, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS score

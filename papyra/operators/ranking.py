@@ -71,6 +71,23 @@ def top_k(scored: DataFrame, qkey: str, key: str, k: int, score: str = "score",
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def listed_in_full(ranked: DataFrame, docs: DataFrame, queries: DataFrame, qkey: str, key: str, k: int, score: str = "score") -> DataFrame:
+    """Ranked hits of positive scores, and after them documents with score 0, by key, until each query has ``k`` rows.
+
+    A query with h hits lacks k - h rows, and of the k smallest keys at most h
+    are hits: so the k smallest keys are enough for every query, and no query
+    meets all documents.
+    """
+    smallest = [r[0] for r in docs.select(key).where(F.col(key).isNotNull()).orderBy(key).limit(k).collect()]
+    kind = docs.schema[key].dataType
+    first = F.array(*[F.lit(x) for x in smallest]).cast(T.ArrayType(kind))
+    hits = ranked.groupBy(qkey).agg(F.collect_list(key).alias("__hits"))
+    short = queries.select(qkey).distinct().join(hits, qkey, "left").withColumn("__hits", F.coalesce("__hits", F.array().cast(T.ArrayType(kind)))).where(F.size("__hits") < k)
+    rest = F.slice(F.filter(first, lambda x: ~F.array_contains("__hits", x)), 1, F.greatest(F.lit(k) - F.size("__hits"), F.lit(0)))
+    filled = short.select(qkey, F.size("__hits").alias("__n"), F.posexplode(rest).alias("__i", key))
+    return ranked.select(qkey, key, score, "rank").unionByName(filled.select(qkey, key, F.lit(0.0).alias(score), (F.col("__n") + F.col("__i") + 1).alias("rank")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -85,13 +102,15 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, k: int, b
     Queries pass in blocks of bounded size, each with its norms taken once and
     held by every task. A batch of vectors meets a block in one matrix product,
     and only each query's best of the batch leave it. Equally near ones are
-    ranked by key; vectors without a direction have score null and come last.
+    ranked by key; vectors without a direction and null ones have score null and
+    come last.
     """
     fields = [*queries.select(F.col(qkey)).schema.fields, *vectors.select(F.col(key)).schema.fields, T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
     kinds = [to_arrow_type(f.dataType) for f in fields]
 
     def nearest(ids: list, matrix: np.ndarray):
+        none = [0.0] * matrix.shape[1]
         norms = np.linalg.norm(matrix, axis=1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +118,8 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, k: int, b
                 if not batch.num_rows:
                     continue
                 keys = batch.column(0).to_pylist()
-                rows = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+                # A null vector has no direction either.
+                rows = np.array([v if v is not None else none for v in batch.column(1).to_pylist()], dtype=np.float64)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     scores = matrix @ rows.T / (norms[:, None] * np.linalg.norm(rows, axis=1))
                 out: tuple[list, list, list] = ([], [], [])
@@ -120,7 +140,8 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, k: int, b
     asked = queries.select(F.col(qkey), F.col("embedding")).toLocalIterator()
     some = list(islice(asked, block))
     while some:
-        near = rows.mapInArrow(nearest([r[0] for r in some], np.array([r[1] for r in some], dtype=np.float64)), schema)
+        width = max((len(r[1]) for r in some if r[1] is not None), default=0) or len((rows.select("embedding").where("embedding is not null").first() or [[]])[0])
+        near = rows.mapInArrow(nearest([r[0] for r in some], np.array([r[1] if r[1] is not None else [0.0] * width for r in some], dtype=np.float64)), schema)
         some = list(islice(asked, block))
         # The plan keeps the last block only; what earlier ones found is written.
         found = found.unionByName(staged(near, "near") if some else near)

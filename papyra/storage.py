@@ -46,6 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Input below which rows are dealt out before work that is heavy for its bytes.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores: its file may be one row group, so one task. A larger input stays where it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
