@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from .functions import html, numbers, text, urls
 from .operators import chunking, dispatch, extract, pruned, ranking, relational, sections, structure, understanding
 from .session import ship
-from .sources import sinks, tables
+from .sources import sinks, tables, vectors
 from .sources.tables import table
-from .streaming import serving
+from .storage import shared_dir
+from .streaming import cache, serving
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -328,9 +330,9 @@ dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return ranking.dense(vectors.select(F.col("vec_id").alias("id"), "embedding"), queries, "id", "query_id", k)
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return ranking.dense(rows.select(F.col("vec_id").alias("id"), "embedding"), queries, "id", "query_id", k)
 
 
 @query(f"WITH {_DENSE_SQL} SELECT query_id, id, rank, round(score, 4) AS score FROM dr WHERE rank <= 8")
@@ -443,6 +445,49 @@ def admitted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.admitted(hits, "item_id").groupBy("item_id").agg(F.count("*").alias("n_hits"), F.sum("doc_id").alias("ids"))
 
 
+# -- the vector store ---------------------------------------------------------------------------------------------
+
+
+def _store(spark: SparkSession, sf_dir: str) -> vectors.VectorStore:
+    ship(spark)
+    return vectors.VectorStore.create(table(spark, sf_dir, "embeddings"), f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", "vec_id")
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+c AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS score
+  FROM v a, v b WHERE a.vec_id % 50 = 0 AND b.label % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM c)
+SELECT query_id, vec_id, rank, round(score, 4) AS score FROM r WHERE rank <= 12""")
+def vector_store_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors with an odd label, from all lists of the store."""
+    found = _store(spark, sf_dir).query(_asked_vectors(spark, sf_dir), "query_id", 12, "label % 2 = 1", exact=True)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query()
+def vector_store_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each query's eight nearest vectors the lists that it reads give, and how many of the best hold."""
+    store, asked = _store(spark, sf_dir), _asked_vectors(spark, sf_dir)
+    found = store.query(asked, "query_id", 8).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    exact = store.query(asked, "query_id", 8, exact=True).select("query_id", "vec_id")
+    return exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
+
+
+@query("""SELECT label, count(*) AS n, (SELECT count(*) FROM embeddings) AS n_all, min(vec_id) AS first, sum(len(embedding))::BIGINT AS width FROM embeddings
+WHERE label <> 0 AND vec_id % 3 = 0 GROUP BY label""")
+def vector_store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows that pass a filter, by label, beside the store's whole count."""
+    store = _store(spark, sf_dir)
+    rows = store.get((F.col("label") != 0) & (F.col("vec_id") % 3 == 0))
+    return rows.groupBy("label").agg(
+        F.count("*").alias("n"), F.lit(store.count()).cast("long").alias("n_all"), F.min("vec_id").alias("first"), F.sum(F.size("embedding")).alias("width")
+    )
+
+
 # -- windows, joins, sets, aggregates -----------------------------------------------------------------------------
 
 
@@ -881,6 +926,30 @@ def answer_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.cacheable(rows, F.lit("v1")).select("cache_key", "ts")
 
 
+@query("""WITH RECURSIVE asked AS (
+  SELECT conv_id % 5 AS part, conv_id * 100 + turn AS request_id, conv_id * 60 + turn AS now, length(text) > 20 AS ok, lower(string_split(trim(text), ' ')[1]) AS k
+  FROM conversations),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY now, request_id) AS i FROM asked),
+walk AS (
+  SELECT DISTINCT part, 0::BIGINT AS i, NULL::BIGINT AS request_id, '' AS k, false AS hit, []::STRUCT(k VARCHAR, saved BIGINT)[] AS held FROM asked
+  UNION ALL
+  SELECT part, i, request_id, k, hit, CASE WHEN hit THEN list_concat(list_filter(alive, lambda e: e.k <> k), list_filter(alive, lambda e: e.k = k))
+    WHEN ok THEN list_concat(alive, [{'k': k, 'saved': now}])[-6:] ELSE alive END
+  FROM (
+    SELECT *, len(list_filter(alive, lambda e: e.k = k)) > 0 AS hit FROM (
+      SELECT n.*, list_filter(w.held, lambda e: n.now - e.saved <= 900) AS alive FROM walk w JOIN numbered n ON n.part = w.part AND n.i = w.i + 1)))
+SELECT part, request_id, k AS cache_key, hit FROM walk WHERE i > 0""")
+def answer_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by their first word, through one cache of six answers that live 15 minutes for each part."""
+    ship(spark)
+    rows = table(spark, sf_dir, "conversations")
+    first = F.lower(F.get(F.split(F.trim("text"), " "), F.lit(0)))
+    at = (F.col("conv_id") * 60 + F.col("turn")).cast("timestamp")
+    asked = rows.select((F.col("conv_id") % 5).alias("part"), (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"), first.alias("cache_key"), at.alias("ts"), (F.length("text") > 20).alias("cacheable"))
+    return cache.answered(asked, 6, 900).select("part", "request_id", "cache_key", "hit")
+
+
+
 @query(f"""SELECT req, total FROM (SELECT conv_id AS req, sum(len(regexp_extract_all(text, '\\S+|\\n|\\s+'))) AS total FROM conversations GROUP BY conv_id)""")
 def answer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("req"), F.size(text.answer_tokens(F.col("text"))).alias("n"))
