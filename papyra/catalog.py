@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html, numbers, text, urls
-from .operators import chunking, dispatch, extract, pages, pruned, ranking, relational, sections, structure, understanding
+from .operators import chunking, dispatch, extract, intents, pages, pruned, ranking, relational, sections, structure, understanding
 from .session import ship
 from .sources import sinks, tables, vectors
 from .sources.tables import table
@@ -1230,10 +1230,110 @@ WANTS = ["list all experiments", "module wise notes", "the teaching scheme", "on
          "total credits for the degree", "text books", "textbooks and useful links", "marks and term work", "group size", "aims of it", "semester 12", "nothing at all"]
 
 
+#: Topics as SQL sees them: whole phrases between spaces, and beginnings of words.
+_TOPIC_SQL = {
+    "activity": ["activity", "activities"],
+    "aim": ["aim", "aims", "objective", "objectives"],
+    "all": ["all"],
+    "asking": ["is", "are", "do", "does", "can", "which", "why", "when", "who", "how", "whether", "what is", "tell me about"],
+    "assessment": ["scheme", "mark", "marks", "grade", "grades", "graded", "grading", "weightage", "ciap", "ese", "esep", "ise", "mse", "term work", "criteria", "assess*", "evaluat*", "exam*"],
+    "assignment": ["assignment", "assignments"],
+    "available": ["course offered", "courses offered", "course available", "courses available", "course in", "courses in", "course at", "courses at",
+                  "program offered", "programs offered", "program available", "programs available", "program in", "programs in", "program at", "programs at"],
+    "book": ["book", "books", "textbook", "textbooks", "reference", "references", "reading", "bibliography"],
+    "both": ["both"],
+    "content": ["syllabus", "curriculum", "course content", "course outline"],
+    "count": ["how many", "how much", "count", "total number", "number of"],
+    "course": ["course", "courses", "subject", "subjects"],
+    "credit": ["credit", "credits"],
+    "credit share": ["total credit", "total credits", "degree credit", "degree credits", "credit distribution", "credits distribution"]
+    + [f"credit{s} for {w}" for s in ("", "s") for w in ("degree", "engineering", "program", "the degree", "the program")],
+    "degree": ["b tech", "btech", "degree", "engineering", "program"],
+    "department": ["computer", "it", "information", "extc", "electronics", "ecs", "mech", "mechanical", "aids", "aiml", "ai"],
+    "deployment": ["cloud", "hosting", "prototype", "deploy*"],
+    "detail": ["describe", "detail", "details"],
+    "each": ["each subject", "every subject", "all subject", "all subjects", "all course", "all courses", "detailed syllabus", "detailed module", "module wise", "modulewise", "syllabus for each"],
+    "elective": ["elective", "electives", "minor", "minors", "mdm", "mdms", "multidisciplinary"],
+    "exam scheme": ["ise", "mse", "ese", "exam scheme", "examination scheme", "evaluation scheme", "assessment scheme", "marks distribution"],
+    "experiment": ["experiment", "experiments", "practical", "practicals", "task", "tasks", "exp", "exps", "prac", "pracs"],
+    "first part": [f"{w} {p}" for p in ("1", "i") for w in ("math", "mathematics", "applied", "project", "physics", "chemistry", "mechanics", "bee", "graphics", "part", "sem", "semester")],
+    "full": ["full", "complete", "overall"],
+    "guide": ["guideline", "guidelines", "rule", "rules", "instruction", "instructions", "step", "steps", "process", "procedure", "selection", "topic", "topics"],
+    "hours": ["teaching scheme", "contact hour", "contact hours", "lecture hour", "lecture hours", "hours per week"],
+    "info": ["information", "info", "details", "overview", "summary", "about", "explain", "give", "what is"],
+    "lab": ["lab", "labs", "laboratory"],
+    "listing": ["list", "give me", "show me", "what are the"],
+    "module": ["module", "modules", "unit", "units"],
+    "mixed": ["lab and subject", "subject and lab", "theory and lab", "lab and theory"],
+    "online": ["online"],
+    "only lab": ["only lab", "only labs", "lab subject", "lab subjects", "lab course", "lab courses", "practical subject", "practical subjects", "practical", "practicals"],
+    "only theory": ["only theory", "theory subject", "theory subjects", "theory course", "theory courses"],
+    "oral": ["oral", "viva", "presentation", "rubric", "rubrics"],
+    "outcome": ["outcome", "outcomes", "co", "cos"],
+    "people": ["faculty", "staff", "teacher", "professor", "hod", "head"],
+    "reading": ["reading"],
+    "refer": ["refer"],
+    "reference": ["reference", "references"],
+    "scheme": ["program structure", "curriculum structure", "teaching scheme", "all subject", "all subjects", "all course", "all courses", "credit distribution", "total credit", "total credits"],
+    "semester": [f"{t} {p}" for t in ("sem", "semester", "term") for p in ("1", "2", "3", "4", "5", "6", "7", "8", "1st", "2nd", "3rd", "4th", "5th", "6th", "7th", "8th", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii")]
+    + [f"{p} {t}" for t in ("sem", "semester", "term") for p in ("1", "2", "3", "4", "5", "6", "7", "8", "1st", "2nd", "3rd", "4th", "5th", "6th", "7th", "8th", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii")],
+    "semesters": [f"{t} {a} to {b}" for t in ("sem", "semester", "term", "sems", "semesters") for own in ("1 2 3 4 5 6 7 8".split(), "i ii iii iv v vi vii viii".split()) for i, a in enumerate(own) for b in own[i + 1 :]],
+    "structure": ["structure", "teaching scheme"],
+    "studies": ["branches", "degrees", "intake", "undergraduate", "postgraduate", "ug and pg"],
+    "study": ["study", "learn", "video", "videos", "nptel", "coursera", "material", "materials", "resource", "resources", "link", "links", "where"],
+    "teaching term": ["topic", "topics", "chapter", "chapters", "section", "sections", "goal", "goals", "prerequisite", "prerequisites", "purpose", "self learning"],
+    "team": ["team", "teams", "group", "groups", "how many students", "number of students"],
+    "text": ["textbook", "textbooks", "text book", "text books"],
+    "theory": ["theory"],
+    "tool": ["tool", "tools", "useful link", "useful links", "web resource", "web resources", "online resource", "online resources"],
+    "whole": ["overall", "total", "altogether", "entire", "complete", "whole", "in total", "four years"],
+    "whole structure": ["program structure", "curriculum structure", "course structure", "teaching scheme", "all subject", "all subjects", "all course", "all courses"],
+}
+
+
+def _topic_sql(topic: str) -> str:
+    """Whether the words ``n``, with spaces around, have a phrase of the topic."""
+    if topic == "code":
+        return "regexp_matches(n, ' [a-z]{2,6}[0-9]{3,} ')"
+    own = _TOPIC_SQL[topic]
+    whole = ", ".join(quoted(f" {p} ") for p in own if not p.endswith("*"))
+    begun = "".join(f" OR contains(n, ' {p[:-1]}')" for p in own if p.endswith("*"))
+    return f"(len(list_filter([{whole}], lambda p: contains(n, p))) > 0{begun})"
+
+
+def _any_sql(*topics: str) -> str:
+    return "(" + " OR ".join(_topic_sql(t) for t in topics) + ")"
+
+
+def _only_sql(every: list[str], none: list[str]) -> str:
+    return " AND ".join([_topic_sql(t) for t in every] + [f"NOT {_topic_sql(t)}" for t in none])
+
+
+_INTENT_SQL = {
+    "asks_attribute": _any_sql("asking"), "asks_for_list": _any_sql("listing", "all", "detail"), "asks_info": _any_sql("info"), "asks_programmes": _any_sql("studies", "available"),
+    "asks_staff": _only_sql(["people", "department"], []), "counts": _any_sql("count"), "counts_experiments": _only_sql(["count", "experiment"], []),
+    "counts_modules": _only_sql(["count", "module"], []), "is_assessment_query": _any_sql("assessment"), "is_credit_query": _any_sql("credit share"),
+    "is_degree_credits": f"{_any_sql('whole', 'degree')} AND {_only_sql(['credit'], ['code'])}", "is_lab_query": _any_sql("lab", "experiment"),
+    "is_outline_query": _any_sql("content", "module", "teaching term", "lab", "experiment", "assignment", "outcome", "aim", "book"),
+    "is_semester_catalogue": _only_sql(["semester"], ["code", "module", "lab", "experiment"]), "is_semester_range": _only_sql(["semesters"], ["code", "module", "lab", "experiment"]),
+    "is_strict_module_query": _any_sql("content", "module", "teaching term"), "names_books": _any_sql("book", "text"), "names_code": _topic_sql("code"), "names_first_part": _any_sql("first part"),
+    "names_labs": _any_sql("lab"), "names_semester": _any_sql("semester"), "names_theory": _any_sql("theory"), "only_labs": _any_sql("only lab"),
+    "only_online": _only_sql(["online"], ["text", "book", "both"]), "only_references": _only_sql(["reference"], ["text", "all", "both", "online", "refer"]),
+    "only_textbooks": _only_sql(["text"], ["reference", "online", "all", "both", "reading"]), "only_theory": _any_sql("only theory"), "studies_online": _only_sql(["online", "study"], []),
+    "wants_activities": _any_sql("activity"), "wants_assessment": _any_sql("assessment"), "wants_assignments": _any_sql("assignment"), "wants_books": _any_sql("book", "text", "tool", "assignment"),
+    "wants_both": _any_sql("both", "mixed"), "wants_credits": _any_sql("credit"), "wants_deployment": _any_sql("deployment"), "wants_detailed": _any_sql("each"), "wants_electives": _any_sql("elective"),
+    "wants_evaluation": _any_sql("assessment", "oral"), "wants_exam_scheme": _any_sql("exam scheme"), "wants_experiments": _any_sql("experiment"), "wants_guidelines": _any_sql("guide"),
+    "wants_modules": _any_sql("module"), "wants_objectives": _any_sql("aim"), "wants_outcomes": _any_sql("outcome"), "wants_scheme": _any_sql("scheme"),
+    "wants_short_list": _only_sql(["listing"], ["detail", "experiment", "all"]), "wants_some_modules": _only_sql(["module"], ["full"]), "wants_structure": _any_sql("structure"),
+    "wants_syllabus": _any_sql("content", "module"), "wants_teaching_hours": _any_sql("hours"), "wants_teams": _any_sql("team"),
+    "wants_term_courses": f"{_any_sql('course', 'content', 'credit')} AND {_topic_sql('semester')}", "wants_whole": _any_sql("whole structure"),
+}
+
+
 @query(f"""WITH w AS (SELECT [{listed(WANTS)}] AS a),
 q AS (SELECT event_id, lower(a[event_id % {len(WANTS)} + 1] || ' / ' || a[user_id % {len(WANTS)} + 1]) AS text FROM events, w),
-s AS (SELECT *, regexp_extract(text, '\\b(?:sem(?:ester)?|term)\\s*([1-8]|viii|vii|vi|iv|v|iii|ii|i)\\b', 1) AS t FROM q)
-SELECT event_id, {", ".join(f"regexp_matches(text, {quoted(p)}) AS {name}" for name, p in dispatch.PREDICATES.items())},
+s AS (SELECT *, regexp_extract(text, '\\b(?:sem(?:ester)?|term)\\s*([1-8]|viii|vii|vi|iv|v|iii|ii|i)\\b', 1) AS t, ' ' || array_to_string(regexp_extract_all(text, '[a-z0-9]+'), ' ') || ' ' AS n FROM q)
+SELECT event_id, {", ".join(f"{_INTENT_SQL[name]} AS {name}" for name in dispatch.ASKED)},
   CASE t WHEN 'iv' THEN 4 WHEN '7' THEN 7 END AS semester FROM s""")
 def query_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array(*[F.lit(w) for w in WANTS])
@@ -1242,6 +1342,26 @@ def query_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dispatch.predicates(rows).drop("text")
 
 
+#: What follows a message in the intent query, by turn and conversation.
+MORE_WANTS = [*WANTS, "tell me about csa101", "how many modules", "number of experiments in physics 1", "courses offered, intake and degrees", "who is the HOD of computer", "where to study online",
+              "reference books only", "total credits of the degree, altogether", "semester 1 to 4", "sem 3 subjects", "3rd semester syllabus", "self-learning topics", "hosting and deployment rules",
+              "viva, oral and rubrics", "course outcomes (COs)", "ESE and ISE", "contact hours per week", "both theory and lab", "give me the full list of units", "activities, assignments"]
+
+
+@query(f"""WITH w AS (SELECT [{listed(MORE_WANTS)}] AS a),
+q AS (SELECT conv_id, turn, lower(coalesce(text, '') || ' / ' || a[(conv_id * 7 + turn) % {len(MORE_WANTS)} + 1]) AS x FROM conversations, w),
+s AS (SELECT conv_id, turn, ' ' || array_to_string(regexp_extract_all(x, '[a-z0-9]+'), ' ') || ' ' AS n FROM q)
+SELECT conv_id, turn, concat_ws(',', {", ".join(f"CASE WHEN {sql} THEN {quoted(name)} END" for name, sql in sorted(_INTENT_SQL.items()))}) AS intents FROM s""")
+def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with a request at their end, and all that they ask for."""
+    ship(spark)
+    rows = table(spark, sf_dir, "conversations")
+    wants = F.element_at(F.array(*[F.lit(w) for w in MORE_WANTS]), ((F.col("conv_id") * 7 + F.col("turn")) % len(MORE_WANTS) + 1).cast("int"))
+    found = intents.with_intents(rows.select("conv_id", "turn", F.concat_ws(" / ", F.coalesce("text", F.lit("")), wants).alias("text")))
+    held = F.filter(F.array(*[F.lit(i) for i in sorted(intents.INTENTS)]), lambda i: F.element_at(F.col("intents"), i))
+    return found.select("conv_id", "turn", F.array_join(held, ",").alias("intents"))
+
+
 _TERM_SQL = "list_extract(['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii'], n_nationkey % 8 + 1)"
 
 
@@ -1286,11 +1406,17 @@ def structure_or_electives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dispatch.structure_or_electives(queries, "n_nationkey", "text", kinds.where("elective = 0"), kinds.where("elective = 1"), named)
 
 
+def _named(*names: str, number: str = "") -> str:
+    """A pattern for any of these names, words apart by spaces, with the number that follows."""
+    return r"\b(?:" + "|".join(n.replace(" ", r"\s+") for n in names) + r")" + number + r"\b"
+
+
+#: Special tables in order of precedence; a numbered one by digit or numeral up to four.
 SPECIALS = [
-    ("nomenclature", r"\b(?:nomenclature|curriculum\s+abbreviations?)\b"),
-    ("program_elective", r"\b(?:program\s+elective|pe)\s*[-_ ]?\s*([1-4]|iii|ii|iv|i)\b"),
-    ("open_elective", r"\b(?:open\s+electives?|oe)\b"),
-    ("minors", r"\b(?:minors?|mdms?)\b"),
+    ("nomenclature", _named("nomenclature", "curriculum abbreviations?")),
+    ("program_elective", _named("program elective", "pe", number=r"[\s_-]*(" + "|".join([str(n) for n in range(1, 5)] + sorted((r for r, n in numbers.ROMANS.items() if n <= 4), key=len, reverse=True)) + ")")),
+    ("open_elective", _named("open electives?", "oe")),
+    ("minors", _named("minors?", "mdms?")),
 ]
 
 
