@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html, numbers, text, urls
-from .operators import chunking, dispatch, extract, intents, pages, pruned, ranking, relational, sections, structure, understanding
+from .operators import chunking, dispatch, extract, intents, pages, pruned, ranking, relational, robots, sections, structure, understanding
 from .session import ship
 from .sources import sinks, tables, vectors
 from .sources.tables import table
@@ -1001,14 +1001,47 @@ def answer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- sections and links -------------------------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
-s0 AS (SELECT 1::BIGINT AS url), s1 AS (SELECT DISTINCT dst AS url FROM s0 JOIN e ON url = src WHERE dst NOT IN (SELECT url FROM s0)),
-s2 AS (SELECT DISTINCT dst AS url FROM s1 JOIN e ON url = src WHERE dst NOT IN (SELECT url FROM s0 UNION SELECT url FROM s1))
-SELECT url, 0 AS depth FROM s0 UNION ALL SELECT url, 1 FROM s1 UNION ALL SELECT url, 2 FROM s2""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
+r AS (SELECT 1::BIGINT AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON url = src WHERE depth < 5)
+SELECT url, min(depth) AS depth FROM r GROUP BY url""")
 def link_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reachable pages and their depth, over a link graph made of order lines."""
+    """Reachable pages and their least depth up to 5, over a link graph made of all order lines."""
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    return sections.link_closure(edges, spark.range(1, 2).select(F.col("id").alias("url")), 2)
+    return sections.link_closure(edges, spark.range(1, 2).select(F.col("id").alias("url")), 5)
+
+
+def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of rules for each host, made of the paths of its pages."""
+    at = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), robots.url_path(F.col("url")).alias("p"))
+    ends = at.groupBy("host").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    part = lambda c, i: F.coalesce(F.get(F.split(c, "/"), F.lit(i)), F.lit(""))
+    lines = F.concat_ws("\n", F.lit("# rules of"), F.lit("User-agent: other"), F.lit("Disallow: /"), F.lit(""), F.lit("User-Agent: *"), F.concat(F.lit("Disallow: /"), part("low", 1), F.lit("/")),
+                        F.concat(F.lit("Allow: "), F.regexp_replace("low", "[?].*$", "")), F.lit("Disallow: /*?page="), F.lit("disallow: /*7$  # sevens"), F.concat(F.lit("Allow: /*"), F.left(part("high", 2), F.lit(2)), F.lit("*")),
+                        F.lit("Crawl-delay: 2.5"))
+    return ends.select("host", lines.alias("text"))
+
+
+@query(r"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+  CASE WHEN starts_with(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1), '/') THEN '' ELSE '/' END || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS path FROM pages),
+h AS (SELECT host, min(path) AS low, max(path) AS high FROM p GROUP BY host),
+r AS (
+  SELECT host, false AS allow, '/' || split_part(low, '/', 2) || '/' AS rule, NULL AS pattern FROM h
+  UNION ALL SELECT host, true, regexp_replace(low, '[?].*$', ''), NULL FROM h
+  UNION ALL SELECT host, false, '/*?page=', '/%?page=%' FROM h
+  UNION ALL SELECT host, false, '/*7$', '/%7' FROM h
+  UNION ALL SELECT host, true, '/*' || left(split_part(high, '/', 3), 2) || '*', '/%' || left(split_part(high, '/', 3), 2) || '%' FROM h),
+m AS (SELECT p.page_id, max({'n': length(rule), 'allow': allow}) AS best FROM p JOIN r ON r.host = p.host AND CASE WHEN pattern IS NULL THEN starts_with(path, rule) ELSE path LIKE pattern END GROUP BY p.page_id),
+a AS (SELECT p.*, coalesce(best.allow, true) AS allowed FROM p LEFT JOIN m USING (page_id)),
+o AS (SELECT page_id, row_number() OVER (PARTITION BY host ORDER BY page_id, url) AS place FROM a WHERE allowed)
+SELECT a.page_id, a.allowed, place, (place - 1) * 2.5::DOUBLE AS at FROM a LEFT JOIN o ON o.page_id = a.page_id AND place <= 3""")
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that their host's rules allow, and when the first three of each host are read."""
+    held = robots.rules(_robots(spark, sf_dir), "papyra")
+    judged = robots.allowed(table(spark, sf_dir, "pages").select("page_id", "url"), held)
+    delays = held.groupBy("host").agg(F.max("delay").alias("delay"))
+    asked = judged.where("allowed").withColumn("host", urls.host(F.col("url"))).join(delays, "host", "left")
+    first = robots.crawl_order(asked, 3, F.col("delay"), order=("page_id",))
+    return judged.select("page_id", "allowed").join(first.select("page_id", "place", "at"), "page_id", "left")
 
 
 @query("""WITH l AS (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN '/File.PDF?x=1' ELSE '' END AS link FROM pages)

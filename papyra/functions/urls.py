@@ -57,20 +57,36 @@ def is_pdf_url(url: Column) -> Column:
     return F.lower(path(url)).endswith(".pdf")
 
 
+def without_dots(x: Column) -> Column:
+    """A path whose ``.`` and ``..`` parts are followed: a stack of parts, on which ``..`` takes the last away (RFC 3986, 5.2.4)."""
+    parts = F.split(x, "/", -1)
+    last = F.element_at(parts, -1)
+    held = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda stack, part: F.when(part == ".", stack).when(part == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.concat(stack, F.array(part))),
+    )
+    # A path that ends in dots ends in a folder.
+    closed = F.when(last.isin(".", ".."), F.concat(held, F.array(F.lit("")))).otherwise(held)
+    return F.concat(F.lit("/"), F.array_join(closed, "/"))
+
+
 def resolved(url: Column, base: Column) -> Column:
-    """``url`` resolved against ``base``: absolute, protocol-relative, rooted, or relative to the base's folder."""
+    """``url`` resolved against ``base`` (RFC 3986, 5.2), without its fragment: absolute, protocol-relative, rooted, a query, or relative to the base's folder."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(path(base), "^(.*/)", 1)
     plain = F.regexp_replace(url, "#.*$", "")
-    joined = F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), plain)
-    out = (
+    query = F.regexp_extract(plain, r"(\?.*)$", 1)
+    own = F.regexp_replace(plain, r"\?.*$", "")
+    rooted = lambda p: F.concat(root, F.when(F.contains(p, F.lit("/.")), without_dots(p)).otherwise(p), query)
+    return (
         F.when(plain.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), plain)
         .when(plain.startswith("//"), F.concat(scheme(base), F.lit(":"), plain))
-        .when(plain.startswith("/"), F.concat(root, plain))
+        .when(plain.startswith("/"), rooted(own))
         .when(plain == "", F.regexp_replace(base, "#.*$", ""))
-        .otherwise(joined)
+        .when(plain.startswith("?"), F.concat(root, path(base), plain))
+        .otherwise(rooted(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own)))
     )
-    return F.regexp_replace(out, r"/\./", "/")
 
 
 def kept_url(url: Column, base: Column, netloc: str, excluded: list[str]) -> Column:

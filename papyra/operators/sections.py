@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
 from .relational import first_of, union_first
 
 #: Markers of a page that opens a course section, of module pages, and of where a lab text ends.
@@ -102,15 +103,22 @@ def pdf_links(links: DataFrame, url: str = "link") -> DataFrame:
 def link_closure(edges: DataFrame, seeds: DataFrame, depth: int = 3, most: int | None = None) -> DataFrame:
     """``url, depth`` of pages reached from seeds, each at its least depth; a level is a join and an anti-join.
 
-    With ``most`` the first so many by depth and URL, as a crawl limit has it.
+    Each level's new pages are written, and the next one reads these and the
+    written ones before it, so no level repeats another and a plan is as large at
+    any depth. It ends where a level finds nothing new. With ``most`` the first
+    so many by depth and URL, as a crawl limit has it.
     """
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    spark = seeds.sparkSession
+    levels = [staged(seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)), "level")]
+    seen = lambda: spark.read.schema(levels[0].schema).parquet(*[t.staged_path for t in levels])
+    links = edges.select(F.col("src").alias("url"), "dst")
     for level in range(1, depth + 1):
-        reached = frontier.join(edges, frontier["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
-        frontier = reached.join(seen, "url", "left_anti").withColumn("depth", F.lit(level))
-        seen = seen.unionByName(frontier)
-    return seen if most is None else seen.orderBy("depth", "url").limit(most)
+        reached = levels[-1].select("url").join(links, "url").select(F.col("dst").alias("url")).where("url is not null").distinct()
+        found = staged(reached.join(seen().select("url"), "url", "left_anti").withColumn("depth", F.lit(level)), "level")
+        if found.isEmpty():
+            break
+        levels.append(found)
+    return seen() if most is None else seen().orderBy("depth", "url").limit(most)
 
 
 def clause_union(full: DataFrame, parts: DataFrame, key: str, most: int = 8, qkey: str | None = None) -> DataFrame:
