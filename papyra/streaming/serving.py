@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import cache_key
-from ..sources.sinks import append_new
+from ..sources.sinks import append_new, ingest_batch
 
 
 def request_metrics(events: DataFrame, request: str = "req_id") -> DataFrame:
@@ -86,3 +87,13 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, *keys: str) -> Streami
         append_new(batch, path, *keys)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_counted(stream: DataFrame, path: str, checkpoint: str, *keys: str, failed: Column | None = None) -> StreamingQuery:
+    """Ingest each batch with its counts; a batch is known by its checkpoint and number, so a restart that repeats it adds nothing."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def add(batch: DataFrame, number: int) -> None:
+        ingest_batch(batch, path, f"{name}-{number:09d}", *keys, failed=failed)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
