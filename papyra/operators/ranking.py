@@ -32,8 +32,8 @@ def doc_stats(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return docs.select(key, F.size(tokens).alias("dl"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, qkey: str, tokens, k1: float = K1, b: float = B, idf: str = "plus_one", repeated: bool = False) -> DataFrame:
-    """``qkey, key, score`` of every query and document with a common term.
+def bm25(docs: DataFrame, queries: DataFrame, key: str, qkey: str, tokens, k1: float = K1, b: float = B, idf: str = "plus_one", repeated: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """``qkey, key, score`` of every query and document with a common term, of these ``pairs`` only if any are given.
 
     ``tokens`` maps a text column to tokens. ``plus_one`` is the logarithm of one
     plus the odds, ``okapi`` that of the odds, as published by Robertson and
@@ -61,7 +61,9 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, qkey: str, tokens, k1: f
     weighted = df.select("term", F.log(odds + 1 if idf == "plus_one" else odds).alias("idf"))
     per_query = asked.join(weighted, "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return posts.join(per_query, "term").groupBy(qkey, key).agg(F.sum(part * F.col("qtf")).alias("score"))
+    met = posts.join(per_query, "term")
+    met = met if pairs is None else met.join(pairs.select(qkey, key).distinct(), [qkey, key], "left_semi")
+    return met.groupBy(qkey, key).agg(F.sum(part * F.col("qtf")).alias("score"))
 
 
 def top_k(scored: DataFrame, qkey: str, key: str, k: int, score: str = "score", higher_id_first: bool = False) -> DataFrame:
@@ -96,13 +98,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, k: int, block: int = 1000) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, k: int, block: int = 1000, others_only: bool = True) -> DataFrame:
     """The ``k`` nearest vectors by cosine of each of a stated set of query vectors: ``qkey, key, score, rank``.
 
     Queries pass in blocks of bounded size, each with its norms taken once and
     held by every task. A batch of vectors meets a block in one matrix product,
     and only each query's best of the batch leave it. Equally near ones are
-    ranked by key; vectors without a direction and null ones have score null and
+    ranked by key; with ``others_only`` a query's own key is none of its
+    neighbours. Vectors without a direction and null ones have score null and
     come last.
     """
     fields = [*queries.select(F.col(qkey)).schema.fields, *vectors.select(F.col(key)).schema.fields, T.StructField("score", T.DoubleType())]
@@ -128,7 +131,7 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, qkey: str, k: int, b
                     # One more than k, as the query itself may be among them; ties stay together.
                     least = np.partition(ordered, -k - 1)[-k - 1] if len(ordered) > k + 1 else -np.inf
                     for i in np.flatnonzero(ordered >= least).tolist():
-                        if keys[i] != q:
+                        if not others_only or keys[i] != q:
                             for held, x in zip(out, (q, keys[i], None if np.isnan(found[i]) else float(found[i])), strict=True):
                                 held.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=schema.names)
