@@ -878,7 +878,8 @@ def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda prefix, key, alias: (alias.alias("alias"), F.concat(F.lit(prefix), key).alias("code"))
     aliases = items.select(*named("B", "item_id", F.col("text"))).unionByName(items.select(*named("L", "item_id", F.split_part("text", F.lit("\n"), F.lit(1)))))
     aliases = aliases.unionByName(table(spark, sf_dir, "nation").select(*named("N", "n_nationkey", F.col("n_name"))))
-    return understanding.entities_sql(table(spark, sf_dir, "documents"), aliases.distinct(), "doc_id", "text")
+    ship(spark)
+    return understanding.alias_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), aliases.distinct(), "doc_id", "text")
 
 
 @query()

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.numbers import NUMBER, semester_of
+from ..storage import spread
 
 
 def rewritten(query: Column, rules: list[tuple[str, str]]) -> Column:
@@ -79,38 +86,124 @@ def longest_first(found: list[tuple[int, int, str]]) -> list[str]:
     """Codes of non-overlapping matches, longest first, in order of place, each once."""
     kept: list[tuple[int, int, str]] = []
     for start, end, code in sorted(found, key=lambda m: (m[0] - m[1], m[0], m[2])):
-        if all(end <= s or start >= e for s, e, _ in kept):
-            kept.append((start, end, code))
-    return list(dict.fromkeys(code for _, _, code in sorted(kept)))
+        # Those kept are in order and apart, so only its neighbours can overlap it.
+        i = bisect.bisect(kept, (start, end, code))
+        if (i == 0 or kept[i - 1][1] <= start) and (i == len(kept) or end <= kept[i][0]):
+            kept.insert(i, (start, end, code))
+    return list(dict.fromkeys(code for _, _, code in kept))
 
 
 def entities(queries: DataFrame, aliases: DataFrame, qkey: str, text: str, explicit: str = r"\b([A-Z]{2,6}\s?\d{3}[A-Z]?)\b") -> DataFrame:
     """``qkey, codes``: codes that each query names, by code or by alias at word bounds.
 
-    Aliases meet queries by their first word, an equality, and then by place.
-    Explicit codes come before aliases of the same place.
+    Explicit codes come before aliases of the same place; an alias without a
+    letter or digit of ASCII names nothing. Of a bounded number of
+    aliases each task makes one automaton; beyond it they meet queries by their
+    first word, an equality, and the words that agree fetch the text once.
     """
     low = F.lower(text)
-    words = queries.select(qkey, low.alias("__q"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
-    given = aliases.select(F.lower("alias").alias("a"), "code", F.regexp_extract(F.lower("alias"), "([a-z0-9]+)", 1).alias("w"))
-    near = words.join(given, "w").where(F.contains(F.col("__q"), F.col("a"))).groupBy(qkey).agg(F.collect_set(F.struct("a", "code")).alias("hits"))
-    rows = queries.select(qkey, F.col(text).alias("__q")).join(near, qkey, "left")
+    given = aliases.select(F.lower("alias").alias("a"), "code").where(F.col("a").rlike("[a-z0-9]")).distinct()
+    few = _few(given)
+    if few is None:
+        words = queries.select(qkey, F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
+        first = given.withColumn("w", F.regexp_extract("a", "([a-z0-9]+)", 1))
+        near = words.join(first, "w").groupBy(F.col(qkey).alias("__k")).agg(F.collect_set(F.struct("a", "code")).alias("hits"))
+        rows = queries.select(qkey, F.col(text).alias("__q")).join(near, F.col(qkey).eqNullSafe(F.col("__k")), "left").drop("__k")
+    else:
+        rows = queries.select(qkey, F.col(text).alias("__q"), F.lit(None).cast("array<struct<a: string, code: string>>").alias("hits"))
     pattern = re.compile(explicit, re.I)
 
     @F.pandas_udf("array<string>")
-    def resolve(texts: pd.Series, hits: pd.Series) -> pd.Series:
-        def one(q: str, found) -> list[str]:
-            places = [(m.start(), m.end(), re.sub(r"\s", "", m[1]).upper()) for m in pattern.finditer(q or "")]
-            for hit in [] if found is None else found:
-                for m in re.finditer(rf"(?<![a-z0-9]){re.escape(hit['a'])}(?![a-z0-9])", (q or "").lower()):
-                    places.append((m.start(), m.end(), hit["code"]))
+    def resolve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = _automaton(few) if few else None
+
+        def one(q: str | None, found) -> list[str]:
+            q = q or ""
+            lowered = q.lower()
+            places = [(m.start(), m.end(), re.sub(r"\s", "", m[1]).upper()) for m in pattern.finditer(q)]
+            scanned = known if known is not None else _automaton([(h["a"], h["code"]) for h in found]) if found is not None and len(found) else None
+            word = lambda i: 0 <= i < len(lowered) and lowered[i] in _WORD_CHARS
+            for end, (alias, codes) in scanned.iter(lowered) if scanned is not None else ():
+                start = end + 1 - len(alias)
+                if not word(start - 1) and not word(end + 1):
+                    places += [(start, end + 1, code) for code in codes]
             return longest_first(places)
 
-        return pd.Series([one(q, h) for q, h in zip(texts, hits, strict=True)])
+        for texts, hits in batches:
+            yield pd.Series([one(q, h) for q, h in zip(texts, hits, strict=True)])
 
     return rows.select(qkey, resolve("__q", "hits").alias("codes"))
 
 
+_WORD_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+#: Aliases that go to every task as one automaton: so many, of so many characters, at most.
+MOST_ALIASES, MOST_ALIAS_CHARS = 20_000, 4_000_000
+
+
+def _few(given: DataFrame) -> list[tuple[str, str]] | None:
+    """Aliases and codes if they are within the bound."""
+    n, chars = given.agg(F.count("*"), F.sum(F.length(given.columns[0]))).first()
+    return [tuple(r) for r in given.collect()] if n <= MOST_ALIASES and (chars or 0) <= MOST_ALIAS_CHARS else None
+
+
+def _automaton(named: list[tuple[str, str]]):
+    """An automaton of aliases, each with its codes."""
+    import ahocorasick
+
+    codes: dict[str, list[str]] = {}
+    for alias, code in named:
+        codes.setdefault(alias, []).append(code)
+    found = ahocorasick.Automaton()
+    for alias, own in codes.items():
+        found.add_word(alias, (alias, sorted(own)))
+    found.make_automaton()
+    return found if codes else None
+
+
+def alias_hits(queries: DataFrame, aliases: DataFrame, qkey: str, text: str) -> DataFrame:
+    """``qkey, alias, code, place``: alias matches at every place, not overlapped by a longer one; places count words.
+
+    Of a bounded number of aliases each task makes one automaton, and a text
+    passes it once; more are joined by their first words (``entities_sql``).
+    """
+    given = aliases.select(F.array_join(_plain_words(F.col("alias")), " ").alias("alias"), "code").where("alias <> ''").distinct()
+    few = _few(given)
+    if few is None:
+        return entities_sql(queries, aliases, qkey, text)
+    schema = T.StructType([*queries.select(F.col(qkey)).schema.fields, *given.schema.fields, T.StructField("place", T.IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def hits(known, plain: str) -> list[tuple[str, str, int]]:
+        found = [(end - len(key) + 2, key.strip(), codes) for end, (key, codes) in known.iter(f" {plain} ")]
+        if not found:
+            return []
+        ends = np.flatnonzero(np.frombuffer(plain.encode(), dtype=np.uint8) == 32)
+        place = np.searchsorted(ends, [at - 1 for at, _, _ in found])
+        size = np.array([key.count(" ") + 1 for _, key, _ in found])
+        kept = np.zeros(len(found), dtype=bool)
+        covered = np.zeros(len(ends) + 1, dtype=np.int64)
+        for n in np.unique(size)[::-1].tolist():
+            own = np.flatnonzero(size == n)
+            before = np.append(0, np.cumsum(covered > 0))
+            kept[own] = before[place[own] + n] == before[place[own]]
+            for p in place[own].tolist():
+                covered[p : p + n] = 1
+        return [(key, code, int(p)) for (_, key, codes), p, yes in zip(found, place, kept, strict=True) if yes for code in codes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _automaton([(f" {alias} ", code) for alias, code in few])
+        for batch in batches:
+            rows = []
+            for key, plain in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if plain and known is not None:
+                    rows += [(key, *hit) for hit in hits(known, plain.strip())]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    plain = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+    return spread(queries).select(qkey, plain.alias("plain")).mapInArrow(run, schema)
+
+
 def _plain_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 

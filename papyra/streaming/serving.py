@@ -55,14 +55,11 @@ def cacheable(answers: DataFrame, version: Column, least: int = 20) -> DataFrame
 def cached_stream(requests: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     """Of a stream of ``cache_key, query, ts``, whether each request repeats one less than the time to live ago.
 
-    A key that isn't asked for so long leaves no state. ``cache.answered_stream`` bounds the number of answers too.
+    One time is kept for each key, for ever; ``cache.answered_stream`` bounds keys and lets them expire.
     """
     schema = "cache_key string, query string, ts timestamp, hit boolean"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
         for frame in frames:
             frame = frame.sort_values("ts")
@@ -75,9 +72,8 @@ def cached_stream(requests: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
             yield frame.assign(hit=hits)[["cache_key", "query", "ts", "hit"]]
         if last is not None:
             state.update((last,))
-            state.setTimeoutDuration(ttl_seconds * 1000)
 
-    return requests.groupBy("cache_key").applyInPandasWithState(step, schema, "last double", "append", "ProcessingTimeTimeout")
+    return requests.groupBy("cache_key").applyInPandasWithState(step, schema, "last double", "append", "NoTimeout")
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, *keys: str) -> StreamingQuery:

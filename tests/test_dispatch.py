@@ -1,6 +1,7 @@
 """Queries that several tables answer, crawl state, and aliases at every place: small cases with known results."""
 
 import json
+import re
 
 from papyra.operators import dispatch, understanding
 from papyra.sources import tables
@@ -91,3 +92,30 @@ def test_aliases_at_every_place(spark):
     aliases = spark.createDataFrame([("a b", "S"), ("A-b c d e f", "L"), ("", "E")], "alias string, code string")
     found = understanding.entities_sql(docs, aliases, "doc_id", "text").collect()
     assert sorted((r["doc_id"], r["code"], r["place"]) for r in found) == [(1, "L", 0), (1, "S", 7), (1, "S", 9)]
+
+
+def test_alias_hits_by_automaton_and_by_join(spark, monkeypatch):
+    """Both ways give the same hits, and those of a search word by word."""
+    import random
+
+    rng = random.Random(5)
+    words = ["a", "b", "c1", "dd", "é", "A"]
+    text = lambda n: rng.choice([" ", "-", "  ", ". "]).join(rng.choice(words) for _ in range(n))
+    aliases = [(text(rng.randint(1, 5)), f"k{i % 25}") for i in range(40)] + [("", "none"), ("é", "none"), (None, "none"), ("a b", "k1"), ("a b", "k2")]
+    docs = [(i, text(rng.randint(0, 30))) for i in range(40)] + [(50, None), (51, ""), (52, "a b " * 2000)]
+    plain = lambda x: re.findall("[a-z0-9]+", (x or "").lower())
+    want = set()
+    for i, t in docs:
+        own = plain(t)
+        if i == 52:
+            continue
+        hits = {(" ".join(a), code, p, len(a)) for x, code in aliases if (a := plain(x)) for p in range(len(own) - len(a) + 1) if own[p : p + len(a)] == a}
+        want |= {(i, a, c, p) for a, c, p, n in hits if not any(m > n and q < p + n and p < q + m for _, _, q, m in hits)}
+    queries, given = spark.createDataFrame(docs, "q int, text string"), spark.createDataFrame(aliases, "alias string, code string")
+    one = {tuple(r) for r in understanding.alias_hits(queries, given, "q", "text").collect()}
+    assert {r for r in one if r[0] != 52} == want
+    codes = {r["q"]: r["codes"] for r in understanding.entities(queries, given, "q", "text").collect()}
+    monkeypatch.setattr(understanding, "MOST_ALIASES", 0)
+    assert {tuple(r) for r in understanding.alias_hits(queries, given, "q", "text").collect()} == one
+    assert {r["q"]: r["codes"] for r in understanding.entities(queries, given, "q", "text").collect()} == codes
+    assert codes[50] == [] and codes[52]
