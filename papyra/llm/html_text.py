@@ -8,7 +8,10 @@ zero to where it next dives to zero.
 Elements are evidence for the weights. What a page holds beside its article
 (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 reader comments), known by element, role, or the main word of a class or id,
-weighs nothing. A page without a mark of its article has its links at no weight
+weighs nothing; a paragraph of an article is no such part by a word that prose is
+also about. Up to LINKS lines of links between two surges belong to the article,
+and so do whole sentences after the last one, unless they speak of rights; more
+links in a row are a menu. A page without a mark of its article has its links at no weight
 either. On a page that marks its article or main part, links within that are text
 like other text, any sum there is a surge, and lines elsewhere weigh nothing.
 
@@ -31,11 +34,15 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 SURGE = 86
+#: Lines of links in a row that an article may have; more are a menu.
+LINKS = 4
 
+#: What stands in a tag. A quote counts after an equals sign only, and if a space or the tag's end follows its mate: others are characters.
+_INNER = r"""(?:=\s*"[^"]*"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^>])*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|iframe|textarea|svg|title|head(?=>|\s))\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>",
+    rf"|<(script|style|noscript|template|iframe|textarea|svg|title|head(?=>|\s))\b{_INNER}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_INNER})>",
     re.I | re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -62,6 +69,10 @@ SHAPE_WORDS = frozenset(
     " right row secondary section single site slot small stories story text thread title top unit wrap wrapper".split()
 )
 ABOUT_WORDS = frozenset("no not has have with without show hide js after before".split())
+#: Words that a paragraph of an article may bear although other parts of these names are apart.
+PROSE_WORDS = frozenset("alert alerts copyright disclaimer footer form header login overlay search".split())
+#: Words of articles that speak of another page, or of readers.
+OTHER_ARTICLES = frozenset("comment comments preview previews promo recommended related reply sponsored teaser teasers".split())
 _KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 _ENDS_P = frozenset("p div ul ol dl table section article main header footer aside nav form h1 h2 h3 h4 h5 h6 pre blockquote hr figure address".split())
 
@@ -78,8 +89,8 @@ def _apart(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     heads = {_head(name) for k in ("class", "id") for name in found.get(k, "").split()}
     if tag in _KEPT:
-        return tag == "article" and not heads.isdisjoint(("comment", "reply"))
-    return not heads.isdisjoint(APART_WORDS)
+        return tag == "article" and not heads.isdisjoint(OTHER_ARTICLES)
+    return not heads.isdisjoint(APART_WORDS - PROSE_WORDS if tag == "p" and in_article else APART_WORDS)
 
 
 def _head(name: str) -> str:
@@ -202,6 +213,10 @@ def stretches(weights: list[int], window: int, surge: int) -> Iterator[tuple[int
             rise = None
 
 
+_SENTENCE = re.compile(r"[.!?…][\"'”’»)]*$")
+_IMPRINT = re.compile(r"©|\(c\)|\bcopyright\b|\ball rights reserved\b", re.I)
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's lines, joined by line feeds."""
     lines = lines_of(page or "")
@@ -210,10 +225,28 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         weights = [len(line) if main else 0 for line, _, main in lines]
     else:
         weights = [max(0, len(line) - line.count(" ") - linked) for line, linked, _ in lines]
-    kept = [line for a, b in stretches(weights, window, 1 if marked else surge) for line, _, main in lines[a:b] if line and main == marked]
+    found = list(stretches(weights, window, 1 if marked else surge))
+    if found and not marked:
+        found = _joined(lines, weights, found)
+    kept = [line for a, b in found for line, _, main in lines[a:b] if line and main == marked]
     return "\n".join(kept)
 
 
+def _joined(lines: list[tuple[str, int, bool]], weights: list[int], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches with the short lists of links between them, and the sentences after the last one."""
+    linked = lambda a, b: sum(1 for line, _, _ in lines[a:b] if line)
+    end = found[-1][1]
+    for i in range(end, len(lines)):
+        if weights[i] and _SENTENCE.search(lines[i][0]) and not _IMPRINT.search(lines[i][0]) and linked(end, i) <= LINKS:
+            end = i + 1
+        elif weights[i]:
+            break
+    out = [found[0]]
+    for a, b in [*found[1:-1], *([(found[-1][0], end)] if len(found) > 1 else [])]:
+        out[-1:] = [(out[-1][0], b)] if linked(out[-1][1], a) <= LINKS else [out[-1], (a, b)]
+    return out if len(found) > 1 else [(found[0][0], end)]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")

@@ -312,6 +312,31 @@ def test_block_walk_matches_brute_force():
     assert html_text.main_text(page, surge=1) == f"{body}\nShort.\nLow"  # without the threshold all stretches stay
 
 
+def test_tags_with_odd_quotes_do_not_leak():
+    for page, want in (
+        ("<p title=it's>Text one.</p><p>it's two.</p>", "Text one.\nit's two."),
+        ('<p class="x>Hello there.</p><p class="y">Again.</p>', "Hello there.\nAgain."),
+        ('<p class="x>Hello there.', "Hello there."),
+        ('<p data-x="<b>a > b</b>">Text.</p>', "Text."),
+        ("<p a='1>2' b=\"3>4\">Text.</p>", "Text."),
+        ('<a href="/x?a=1">He said "no" > yes.</a>', None),
+    ):
+        got = html_text.main_text(page)
+        assert got == want if want is not None else "href" not in got
+
+
+def test_short_ends_and_lists_stay():
+    body = "word " * 60 + "end."
+    apart = '<div class="ad">Buy</div><nav>Menu</nav><form>Form</form>'
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Link number {i}</a></li>' for i in range(4)) + "</ul>"
+    listed = "\n".join(f"Link number {i}" for i in range(4))
+    assert html_text.main_text(f"<div><p>{body}</p>{apart}<p>Short end.</p></div>") == f"{body}\nShort end."
+    assert html_text.main_text(f"<div><p>{body}</p>{links}<p>Short end.</p></div>") == f"{body}\n{listed}\nShort end."
+    assert html_text.main_text(f"<div><p>{body}</p>{links}<p>{body}</p>{links}<p>\u00a9 2024 A company. All rights reserved.</p></div>") == f"{body}\n{listed}\n{body}"
+    assert html_text.main_text(f'<article><p>{body}</p><p class="search">Of searching.</p><p id="copyright">Of rights.</p><p class="alert">Of alarms.</p><p class="ad">Buy.</p></article>') == f"{body}\nOf searching.\nOf rights.\nOf alarms."
+    assert html_text.main_text(f'<main><p>{body}</p></main><article class="teaser"><p>Another page.</p></article>') == body
+
+
 def test_unlucky_names_stay():
     body = "A paragraph that is long enough to surge over the threshold of the window, and then some more words."
     for name in ("social-history", "related-work", "search-results", "has-sidebar content", "no-footer", "noticeable", "adsorption"):
