@@ -36,6 +36,10 @@ RADIUS = 3
 BUCKET_BYTES = 16 << 20
 ORDER_ROWS = 50_000
 MOST_BUCKETS = 10_000
+#: Stands for no id where numbers are compared.
+NO_ID = (1 << 63) - 1
+#: Fingerprints compared with as many at once.
+TILE = 1024
 
 
 def simhashes(texts: list[bytes | None]) -> np.ndarray:
@@ -178,3 +182,78 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, spare: i
         .where("query_id <> id")
         .select("query_id", "id", "distance")
     )
+
+
+def _lowest(radius: int, spare: int) -> np.ndarray:
+    """By the blocks on which two fingerprints agree (bits): the first table that puts them together."""
+    n = radius + spare
+    tables = [sum(1 << i for i in chosen) for chosen in combinations(range(n), spare)]
+    return np.array([next((t for t, mask in enumerate(tables) if z & mask == mask), -1) for z in range(1 << n)], dtype=np.int64)
+
+
+def neighbours(prints: DataFrame, radius: int = RADIUS, spare: int = 2) -> DataFrame:
+    """``fp, n_near, first_near`` of every fingerprint of ``prints`` (``id, fp``): other documents within ``radius`` bits, and the smallest id (an integer) within it, its own included.
+
+    Equal fingerprints are one row. A bucket of a block table holds those that
+    agree on its blocks; its members are compared in tiles and a pair counts in
+    the first table that has it, so what leaves a task is a count for each member
+    of a bucket, not the pairs.
+    """
+    tables = list(combinations(range(radius + spare), spare))
+    blocks = _blocks(radius, spare)
+    classes = staged(prints.groupBy("fp").agg(F.count("*").alias("n"), F.coalesce(F.min(F.col("id").cast("long")), F.lit(NO_ID)).alias("first")), "prints")
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[blocks[i] for i in chosen]).alias("key")) for t, chosen in enumerate(tables)])
+    keyed = classes.select("fp", "n", "first", F.explode(keys).alias("k")).select("k.key", "k.t", "fp", "n", "first")
+    firsts = _lowest(radius, spare)
+    cuts = [BITS * i // (radius + spare) for i in range(radius + spare + 1)]
+    masks = np.array([((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)], dtype=np.uint64)
+
+    def met(t: int, fp: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each member of a bucket its partners' documents and their smallest id."""
+        docs, low = np.zeros(len(fp), dtype=np.int64), np.full(len(fp), NO_ID)
+        for a in range(0, len(fp), TILE):
+            for b in range(0, len(fp), TILE):
+                apart = fp[a : a + TILE, None] ^ fp[None, b : b + TILE]
+                i, j = np.nonzero((np.bitwise_count(apart) <= radius) & (apart != 0))
+                agree = ((apart[i, j][:, None] & masks) == 0) @ (1 << np.arange(len(masks)))
+                own = firsts[agree] == t
+                np.add.at(docs, a + i[own], n[b + j[own]])
+                np.minimum.at(low, a + i[own], first[b + j[own]])
+        return docs, low
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=k) for k in (np.int64, np.int32, np.uint64, np.int64, np.int64)]
+
+        def emit(key: np.ndarray, t: np.ndarray, fp: np.ndarray, n: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+            ends = np.append(edges[1:], len(key))
+            out: list[tuple] = [(fp[:0], n[:0], first[:0])]
+            for a, b in zip(edges[ends - edges > 1].tolist(), ends[ends - edges > 1].tolist(), strict=True):
+                docs, low = met(int(t[a]), fp[a:b], n[a:b], first[a:b])
+                some = docs > 0
+                out.append((fp[a:b][some], docs[some], low[some]))
+            own, docs, low = (np.concatenate(c) for c in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(docs), pa.array(low)], names=["fp", "docs", "low"])
+
+        for batch in batches:
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy(), batch.column(4).to_numpy()]
+            held = [np.concatenate(pair) for pair in zip(held, new, strict=True)]
+            # The last bucket may go on in the next batch.
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            yield emit(*[h[:last] for h in held])
+            held = [h[last:] for h in held]
+        yield emit(*held)
+
+    dealt = keyed.repartition("key").sortWithinPartitions("key")
+    near = dealt.mapInArrow(run, "fp long, docs long, low long").groupBy("fp").agg(F.sum("docs").alias("docs"), F.min("low").alias("low"))
+    low = F.least("first", F.coalesce("low", F.lit(NO_ID)))
+    return classes.join(near, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("docs", F.lit(0))).alias("n_near"), F.when(low != NO_ID, low).alias("first_near"))
+
+
+def searched(docs: DataFrame) -> DataFrame:
+    """``compare`` with ``n_near`` and ``first_near`` of each document."""
+    found = staged(compare(docs), "compared")
+    # Two halves, as a number of 64 bits has no sign to fit.
+    half = lambda a: F.conv(F.substring("fingerprint", a, 8), 16, 10).cast("long")
+    rows = found.withColumn("fp", F.shiftleft(half(1), 32).bitwiseOR(half(9)))
+    return rows.join(neighbours(rows.select(F.col("doc_id").alias("id"), "fp")), "fp").select(*found.columns, "n_near", "first_near")

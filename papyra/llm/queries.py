@@ -24,7 +24,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare(table(spark, sf_dir, "documents"))
+    return fingerprints.searched(table(spark, sf_dir, "documents"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def rows_of(df):
 RUNS = {
     "lines": lambda d: lines.dedup(d.select("doc_id", "text")),
     "suffixes": lambda d: suffixes.dedup(d),
-    "fingerprints": lambda d: fingerprints.compare(d),
+    "fingerprints": lambda d: fingerprints.searched(d),
     "language": lambda d: language.identify(d),
     "jaccard": lambda d: jaccard.join(d),
     "mixing": lambda d: mixing.mix(d)["taken"],
@@ -221,6 +221,34 @@ def test_block_tables_find_all_within_radius(spark):
     assert got == {(a, b): d for a, x in enumerate(prints) for b, y in enumerate(prints) if a != b and (d := (x ^ y).bit_count()) <= 3}
 
 
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_neighbours_match_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(fingerprints, "TILE", tile)
+    rng = random.Random(6)
+    prints = [rng.getrandbits(64) for _ in range(25)] + [0, 0, (1 << 64) - 1]
+    for _ in range(4):
+        prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for p in prints[:30]]
+    ids = [None if rng.random() < 0.1 else i for i in range(len(prints))]
+    df = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in zip(ids, prints)], "id long, fp long")
+    got = {r["fp"] % (1 << 64): (r["n_near"], r["first_near"]) for r in fingerprints.neighbours(df.repartition(3)).collect()}
+    for p in prints:
+        near = [(i, q) for i, q in zip(ids, prints) if (p ^ q).bit_count() <= 3]
+        assert got[p] == (len(near) - 1, min((i for i, _ in near if i is not None), default=None))
+    assert fingerprints.neighbours(df.limit(0)).collect() == []
+
+
+def test_searched_documents(spark):
+    base = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, base), (2, base), (3, base + " more"), (4, "something else altogether"), (None, base), (5, None), (6, "")]
+    got = {}
+    for r in fingerprints.searched(table(spark, rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], (r["n_near"], r["first_near"]))
+    prints = {i: int(fingerprints.simhashes([(t or "").encode()])[0]) for i, t in rows}
+    for i, p in prints.items():
+        near = [j for j, q in prints.items() if (p ^ q).bit_count() <= 3]
+        assert got[i] == (len(near) - 1, min((j for j in near if j is not None), default=None))
+
+
 # -- 4: benchmark
 
 
