@@ -155,12 +155,16 @@ def html_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.drop_boilerplate(pages, "page_id", "lines", 0.05).select("page_id", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("kept"))
 
 
-@query(r"""WITH k AS (SELECT event_id, regexp_extract_all(event_type || ': ' || user_id || '; value: ' || event_id || '; value: x', '[^;]+') AS p FROM events)
-SELECT event_id, 2 AS n_keys, 'x' AS last_value FROM k""")
+@query(r"""WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[.] ', '; ', 'g'), '(^|; )([^ \t\n\f\r]+) ', '\1\2: ', 'g') AS x FROM documents),
+p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(x, ';'), lambda i: trim(i)), lambda i: contains(i, ': '))) AS pair, generate_subscripts(list_filter(string_split(x, ';'), lambda i: contains(trim(i), ': ')), 1) AS i FROM l),
+k AS (SELECT doc_id, left(pair, position(': ' IN pair) - 1) AS name, arg_max(substr(pair, position(': ' IN pair) + 2), i) AS value FROM p GROUP BY ALL)
+SELECT doc_id, count(*) AS n_keys, sha256(string_agg(name || '=' || value, chr(10) ORDER BY name || '=' || value)) AS pairs FROM k GROUP BY doc_id""")
 def key_value_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat("event_type", F.lit(": "), "user_id", F.lit("; value: "), "event_id", F.lit("; value: x"))
-    found = table(spark, sf_dir, "events").select("event_id", text.key_values(line).alias("m"))
-    return found.select("event_id", F.size("m").alias("n_keys"), F.element_at("m", "value").alias("last_value"))
+    """Sentences as pairs of their first word and the rest; of a repeated word the last sentence counts."""
+    line = F.regexp_replace(F.regexp_replace("text", "[.] ", "; "), r"(^|; )([^ \t\n\f\r]+) ", "$1$2: ")
+    found = table(spark, sf_dir, "documents").select("doc_id", text.key_values(line).alias("m")).where(F.size("m") > 0)
+    pairs = F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.select("doc_id", F.size("m").cast("long").alias("n_keys"), F.sha2(F.array_join(pairs, "\n"), 256).alias("pairs"))
 
 
 @query(r"""SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS cache_key FROM conversations""".replace(r"\s+", text.SPACES))
@@ -910,6 +914,31 @@ def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return understanding.name_tokens(table(spark, sf_dir, "pages"), ["www", "com"])
 
 
+@query(rf"""WITH p AS (SELECT url, list_filter(list_transform(list_concat(regexp_extract_all(html, '<li><a[^>]*>([^<]*)<', 1), regexp_extract_all(html, '<h1>([^<]*)<', 1)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM pages),
+sl AS (SELECT lower(regexp_replace(string_split(url, '/en/')[-1], '^/+|/+$', '', 'g')) AS s FROM p WHERE contains(url, '/en/')),
+first AS (SELECT unnest(lines[1:4]) AS x FROM p WHERE contains(url, '/en/')),
+kept AS (SELECT trim(regexp_replace(regexp_replace(x, '^(?i:dr|mr|mrs|ms|prof)(?:[.]\s*|\s+)', ''), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')) AS x FROM first WHERE NOT (contains(x, '@') OR contains(x, 'Home') OR contains(x, 'Serving') OR starts_with(x, '##'))),
+w AS (SELECT list_filter(regexp_split_to_array(x, '\s+'), lambda t: t <> '') AS ws FROM kept),
+st AS (SELECT list_filter(regexp_split_to_array(regexp_replace(regexp_replace(trim(regexp_extract(unnest(lines), '^Les\s*([^;]+)', 1)), '^(?i:dr|mr|mrs|ms|prof)(?:[.]\s*|\s+)', ''), '[.-]+', ' ', 'g'), '\s+'), lambda t: t <> '') AS ws FROM p),
+g AS (SELECT list_filter(list_transform(ws, lambda t: lower(t)), lambda t: length(t) >= 3 AND t NOT IN ('the', 'and')) AS ws FROM (SELECT ws FROM w WHERE len(ws) BETWEEN 1 AND 4 UNION ALL SELECT ws FROM st)),
+names AS (
+  SELECT unnest(string_split(s, '-')) AS name FROM sl UNION SELECT trim(replace(s, '-', ' ')) FROM sl UNION SELECT regexp_extract(s, '^([a-z]{{4,}})[a-z]$', 1) FROM sl
+  UNION SELECT unnest(ws) FROM g UNION SELECT array_to_string(ws, ' ') FROM g WHERE len(ws) >= 2),
+a AS (SELECT DISTINCT name, {_PLAIN % "name"} AS ws FROM names WHERE length(name) >= 3 AND name NOT IN ('the', 'and')),
+d AS (SELECT conv_id * 100 + turn AS id, {_PLAIN % "text"} AS ws FROM conversations),
+t AS (SELECT id, ws, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM d),
+h AS (SELECT id, name, len(a.ws) AS n, i FROM t JOIN a ON x = a.ws[1] WHERE t.ws[i:i + len(a.ws) - 1] = a.ws)
+SELECT id, name, i - 1 AS place FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.id = x.id AND y.n > x.n AND y.i < x.i + x.n AND x.i < y.i + y.n)""")
+def names_in_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names from addresses, first lines and labelled lines of pages, wherever a message has them."""
+    ship(spark)
+    found = F.concat(F.regexp_extract_all("html", F.lit("<li><a[^>]*>([^<]*)<"), F.lit(1)), F.regexp_extract_all("html", F.lit("<h1>([^<]*)<"), F.lit(1)))
+    lines = F.filter(F.transform(found, F.trim), lambda x: x != "")
+    names = understanding.name_dictionary(table(spark, sf_dir, "pages").select("url", lines.alias("lines")), ["the", "and"], "/en/", "Les")
+    messages = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    return understanding.names_in(messages, names, "id")
+
+
 # -- structure and extraction over authored fixtures --------------------------------------------------------------
 
 COURSE = """CSA101 Data Tools

@@ -243,3 +243,46 @@ def name_tokens(pages: DataFrame, stop: list[str]) -> DataFrame:
     parts = pages.select(F.explode(F.split(F.regexp_replace(slug, r"\.(php|html)$", ""), "[-_.]")).alias("token"))
     return parts.where((F.length("token") >= 3) & F.col("token").rlike("^[a-z]+$") & ~F.col("token").isin(stop)).distinct()
 
+
+
+#: Titles before a name, and signs of lines that hold none.
+TITLES = r"(?i)^(?:dr|mr|mrs|ms|prof)(?:\.\s*|\s+)"
+NO_NAME_LINES = ["@", "Home", "Serving"]
+FIRST_LINES = 4
+
+
+def name_dictionary(pages: DataFrame, stop: list[str], part: str = "/faculty/", label: str = "Name of the Staff:") -> DataFrame:
+    """``name``: names by which people may be called, of rows ``url, lines``.
+
+    From addresses with ``part``: the words of what follows it, all of it, and
+    it without a last initial; from the first lines of such pages, if they have
+    four words at most, their words and all of them; from lines with the label,
+    on any page, the name that follows. Words have three characters or more and
+    are none of ``stop``, which is in lower case.
+    """
+    good = lambda w: (F.length(w) >= 3) & ~w.isin(stop)
+    lines = F.coalesce("lines", F.array().cast("array<string>"))
+
+    def named(words: Column) -> Column:
+        kept = F.filter(F.transform(words, F.lower), good)
+        return F.when(F.size(kept) >= 2, F.concat(kept, F.array(F.array_join(kept, " ")))).otherwise(kept)
+
+    words_of = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    own = F.contains("url", F.lit(part))
+    slug = F.lower(F.regexp_replace(F.element_at(F.split("url", re.escape(part)), -1), "^/+|/+$", ""))
+    initial = F.regexp_extract(slug, "^([a-z]{4,})[a-z]$", 1)
+    whole = F.trim(F.replace(slug, F.lit("-"), F.lit(" ")))
+    from_slug = F.when(own, F.filter(F.concat(F.split(slug, "-"), F.array(whole, initial)), good)).otherwise(F.array().cast("array<string>"))
+    short = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), TITLES, ""), r"[^\p{L}\p{N}_\s]", " "))
+    no_name = lambda x: F.trim(x).startswith("##") | reduce(lambda a, b: a | b, [F.contains(x, F.lit(sign)) for sign in NO_NAME_LINES])
+    opening = F.filter(F.slice(lines, 1, FIRST_LINES), lambda x: ~no_name(x) & F.size(words_of(short(x))).between(1, 4))
+    from_lines = F.when(own, F.flatten(F.transform(opening, lambda x: named(words_of(short(x)))))).otherwise(F.array().cast("array<string>"))
+    staff = F.filter(lines, lambda x: x.startswith(label))
+    after = lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, re.escape(label) + r"\s*([^;]+)", 1)), TITLES, "")
+    from_staff = F.flatten(F.transform(staff, lambda x: named(words_of(F.regexp_replace(after(x), r"[.\-]+", " ")))))
+    return pages.select(F.explode(F.concat(from_slug, from_lines, from_staff)).alias("name")).distinct()
+
+
+def names_in(texts: DataFrame, names: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, name, place``: names at every place of a text, none within a longer one."""
+    return alias_hits(texts, names.select(F.col("name").alias("alias"), F.col("name").alias("code")), key, text).select(key, F.col("code").alias("name"), "place")

@@ -119,3 +119,19 @@ def test_alias_hits_by_automaton_and_by_join(spark, monkeypatch):
     assert {tuple(r) for r in understanding.alias_hits(queries, given, "q", "text").collect()} == one
     assert {r["q"]: r["codes"] for r in understanding.entities(queries, given, "q", "text").collect()} == codes
     assert codes[50] == [] and codes[52]
+
+
+def test_name_dictionary(spark):
+    stop = ["computer", "professor", "department"]
+    pages = [
+        ("https://x.example/faculty/ada-lee-computer/", ["Home | Site", "Dr. Ada M. Lee", "Professor", "A line of more than four words", "Fifth Line"]),
+        ("https://x.example/faculty/deepikak", ["ada@x.example", "## Heading", None, ""]),
+        ("https://x.example/department", ["Name of the Staff: Prof. Cy-Ann Roe; Room 5", "Dr. Nobody Here"]),
+        ("https://x.example/faculty/", None),
+        (None, ["x"]),
+    ]
+    got = {r["name"] for r in understanding.name_dictionary(spark.createDataFrame(pages, "url string, lines array<string>"), stop).collect()}
+    assert got == {"ada", "lee", "ada lee computer", "ada lee", "deepikak", "deepika", "ann", "roe", "ann roe"}
+    texts = spark.createDataFrame([(1, "Tell ADA LEE, or Roe; not adaptive"), (2, None)], "k int, text string")
+    names = spark.createDataFrame([(n,) for n in got], "name string")
+    assert sorted(tuple(r) for r in understanding.names_in(texts, names, "k").collect()) == [(1, "ada lee", 1), (1, "roe", 4)]
