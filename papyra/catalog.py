@@ -14,7 +14,7 @@ from .plans import retrieval
 from .session import ship
 from .sources import sinks, tables, vectors
 from .sources.tables import table
-from .storage import shared_dir
+from .storage import shared_dir, spread, staged
 from .streaming import cache, serving
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1178,26 +1178,43 @@ def patched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.patched(pages, fixes).select("doc_id", "text")
 
 
-@query(f"""WITH b AS (SELECT item_id, list_distinct({plural_sql("text")}) AS q FROM benchmark),
+@query(f"""WITH b AS (SELECT item_id, list_distinct(list_concat({plural_sql("text")}, CASE WHEN item_id % 3 = 0 THEN ['src' || (item_id % 20)] ELSE [] END)) AS q FROM benchmark),
 d AS (SELECT doc_id, source, list_distinct({plural_sql("split_part(text, chr(10), 1)")}) AS t, list_distinct({plural_sql("text")}) AS c, list_distinct({plural_sql("split_part(text, chr(10), -1)")}) AS m FROM documents),
-s AS (SELECT item_id, doc_id,
+s AS (SELECT item_id, doc_id, len(list_intersect(q, t)) > 0 OR len(list_intersect(q, m)) > 0 OR list_contains(q, source) AS gate,
   CASE WHEN len(t) > 0 AND len(list_filter(t, lambda x: NOT list_contains(q, x))) = 0 THEN 60.0
     WHEN len(list_intersect(q, t)) >= 2 AND len(list_intersect(q, t)) / greatest(len(t), 1) >= 0.66 THEN 40.0 ELSE 0.0 END AS n,
   2.0 * len(list_intersect(q, c)) + 1.5 * len(list_intersect(q, m)) + CASE WHEN list_contains(q, source) THEN 100.0 ELSE 0.0 END AS r
-  FROM b JOIN d ON d.source = 'src' || (item_id % 20)),
-o AS (SELECT item_id, doc_id, n + r AS section_score, n, row_number() OVER (PARTITION BY item_id ORDER BY n + r DESC, doc_id) AS k FROM s)
+  FROM b, d),
+o AS (SELECT item_id, doc_id, n + r AS section_score, n, row_number() OVER (PARTITION BY item_id ORDER BY n + r DESC, doc_id) AS k FROM s WHERE gate)
 SELECT item_id, doc_id, round(section_score, 4) AS section_score FROM o WHERE k = 1 AND section_score > 0 AND (n > 0 OR section_score >= 1.5)""")
 def section_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best section of its source for each item: first lines are titles, last lines modules."""
+    """The best section of all for each item: first lines are titles, last lines modules, sources codes, which every third item names."""
     words = lambda c: F.array_distinct(text.tokens_plural(c))
-    items = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("q"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"))
-    docs = table(spark, sf_dir, "documents")
+    code = F.when(F.col("item_id") % 3 == 0, F.array(F.concat(F.lit("src"), F.col("item_id") % 20))).otherwise(F.array().cast("array<string>"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.array_union(words(F.col("text")), code).alias("words"))
     first, last = F.split_part("text", F.lit("\n"), F.lit(1)), F.split_part("text", F.lit("\n"), F.lit(-1))
-    docs = docs.select("doc_id", "source", F.col("source").alias("code"), words(first).alias("t"), words(F.col("text")).alias("c"), words(last).alias("m"))
-    scored = sections.section_scores(items.join(docs, "source").withColumn("score", F.lit(0.0)), "q", "t", "c", "m")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = docs.select("doc_id", F.col("source").alias("code"), words(first).alias("title"), words(F.col("text")).alias("content"), words(last).alias("modules"))
+    scored = sections.matched_sections(items, staged(docs, "sections"), "item_id", "doc_id")
     return sections.best_section(scored, "item_id", "doc_id").select("item_id", "doc_id", F.round("section_score", 4).alias("section_score"))
 
 
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) >= 6")
+def at_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with six documents of a language or more."""
+    return relational.at_least(table(spark, sf_dir, "documents"), ["source", "lang"], 6)
+
+
+@query(f"""WITH {_DENSE_SQL}
+SELECT ql AS label, count(*) FILTER (ql = dl) AS passed, count(*) FILTER (ql <> dl) AS failed, count(*) AS n, round(count(*) FILTER (ql = dl) / count(*), 6) AS share FROM dr WHERE rank <= 5 GROUP BY ql""")
+def pass_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the five nearest vectors of each query, how many have its label, by label."""
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    found = _dense(spark, sf_dir, 5).join(labels.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    found = found.join(labels.select(F.col("vec_id").alias("id"), F.col("label").alias("dl")), "id")
+    return relational.tally(found, F.col("label") == F.col("dl"), "label").withColumn("share", F.round("share", 6))
+
+
 SEMESTER_PAGES = [("a.pdf", 1, "Semester III and Sem IV"), ("a.pdf", 2, "no term"), ("a.pdf", 10, "Semester I"), ("b.pdf", 1, "SEM-VIII")]
 
 

@@ -134,3 +134,16 @@ def longest_contained(queries: DataFrame, names: DataFrame, qkey: str, text: str
     given = names.select(key, F.lower(name).alias("__name"), F.regexp_extract(F.lower(name), r"([\p{L}\p{N}]+)", 1).alias("__word"))
     met = words.join(given, "__word").where(F.contains(F.col("__text"), F.col("__name")))
     return first_of(met.select(qkey, key, F.col("__name").alias("matched")), [qkey], [F.length("matched").desc(), F.col(key)])
+
+
+def at_least(rows: DataFrame, by: list[str], n: int, distinct: str | None = None) -> DataFrame:
+    """Groups of ``n`` rows or more, or of ``n`` different values, with their number."""
+    count = F.count("*") if distinct is None else F.countDistinct(distinct)
+    return rows.groupBy(*by).agg(count.alias("n")).where(F.col("n") >= n)
+
+
+def tally(checked: DataFrame, passed: Column, *by: str) -> DataFrame:
+    """How many rows pass, fail and are there, and the share that passes; a null check fails."""
+    ok = F.coalesce(passed, F.lit(False))
+    counts = [F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), F.count("*").alias("n")]
+    return checked.groupBy(*by).agg(*counts).withColumn("share", F.when(F.col("n") > 0, F.col("passed") / F.col("n")))

@@ -46,6 +46,28 @@ def section_scores(pairs: DataFrame, query: str, title: str, content: str, modul
     return pairs.withColumn("name_boost", name).withColumn("section_score", F.col(score) + boost + code)
 
 
+def matched_sections(queries: DataFrame, sections: DataFrame, qkey: str, key: str) -> DataFrame:
+    """``qkey, key, name_boost, section_score`` of every query and section that share a title or module word or a code.
+
+    ``queries`` are ``qkey, words``, ``sections`` ``key, code, title, content,
+    modules``, all lists of distinct words but the code. Scores are those of
+    ``section_scores`` without a lexical part. Common words are counted by a join
+    on the word, so no query meets a section that has none of its words.
+    """
+    has = lambda c: F.array_contains(c, F.col("word")).cast("int")
+    apart = F.array_except(F.array_union("title", "modules"), "content")
+    held = [F.col(key), F.lower("code").alias("code"), F.size("title").alias("n_title"), "title", "modules"]
+    each = sections.select(*held, F.explode("content").alias("word"), F.lit(1).alias("c")).unionByName(sections.select(*held, F.explode(apart).alias("word"), F.lit(0).alias("c")))
+    coded = sections.select(key, F.lower("code").alias("code"), F.size("title").alias("n_title"), F.lower("code").alias("word"), *[F.lit(0).alias(c) for c in ("c", "t", "m")], F.lit(1).alias("named"))
+    rows = each.select(key, "code", "n_title", "word", "c", has("title").alias("t"), has("modules").alias("m"), F.lit(0).alias("named")).unionByName(coded)
+    met = rows.join(queries.select(qkey, F.explode("words").alias("word")), "word").groupBy(qkey, key)
+    counted = met.agg(*[F.sum(c).alias(c) for c in ("c", "t", "m", "named")], F.max("n_title").alias("n_title")).where("t > 0 or m > 0 or named > 0")
+    coverage = F.col("t") / F.greatest(F.col("n_title"), F.lit(1))
+    name = F.when((F.col("t") == F.col("n_title")) & (F.col("n_title") > 0), 60.0).when((F.col("t") >= 2) & (coverage >= 0.66), 40.0).otherwise(0.0)
+    score = name + 2.0 * F.col("c") + 1.5 * F.col("m") + F.when(F.col("named") > 0, 100.0).otherwise(0.0)
+    return counted.select(qkey, key, name.alias("name_boost"), score.alias("section_score"))
+
+
 def best_section(scored: DataFrame, qkey: str, key: str, least: float = 1.5) -> DataFrame:
     """Each query's best section, ties by key; none at or below zero, nor a weak one without a code or title match."""
     best = first_of(scored, [qkey], [F.col("section_score").desc(), F.col(key)])
