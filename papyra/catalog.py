@@ -42,6 +42,17 @@ def listed(words: list[str]) -> str:
     return ", ".join(quoted(w) for w in words)
 
 
+# -- requests ------------------------------------------------------------------------------------------------------
+
+#: Texts of the predicate queries, put together from these by id.
+WANTS = ["list all experiments", "module wise notes", "the teaching scheme", "only theory", "lab subjects", "open electives of term 7", "course structure for sem iv",
+         "total credits for the degree", "text books", "textbooks and useful links", "marks and term work", "group size", "aims of it", "semester 12", "nothing at all"]
+#: What follows a message in the intent query, by turn and conversation.
+MORE_WANTS = [*WANTS, "tell me about csa101", "how many modules", "number of experiments in physics 1", "courses offered, intake and degrees", "who is the HOD of computer", "where to study online",
+              "reference books only", "total credits of the degree, altogether", "semester 1 to 4", "sem 3 subjects", "3rd semester syllabus", "self-learning topics", "hosting and deployment rules",
+              "viva, oral and rubrics", "course outcomes (COs)", "ESE and ISE", "contact hours per week", "both theory and lab", "give me the full list of units", "activities, assignments"]
+
+
 # -- tokens in SQL ------------------------------------------------------------------------------------------------
 
 _STEM = """CASE WHEN length(t) > 5 AND t LIKE '%ies' THEN left(t, length(t) - 3) || 'y'
@@ -833,36 +844,39 @@ def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", understanding.intent_with_rewrite(F.col("text"), INTENTS, REWRITES, "website").alias("intent"))
 
 
-#: Our own phrases and the numbers that they ask for, of modules 1 to 6.
-PHRASES = [
-    ("show the first three modules", "first", "1,2,3"),
-    ("last 2 modules please", "last", "5,6"),
-    ("modules between 2 and 4", "range", "2,3,4"),
-    ("explain modules 1-3", "range", "1,2,3"),
-    ("modules 2, 5 and 6", "list", "2,5,6"),
-    ("3rd and 6th modules", "list", "3,6"),
-    ("module 4", "list", "4"),
-    ("the whole course", "all", "1,2,3,4,5,6"),
-]
+def _numbers(column: Column) -> Column:
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({quoted(a)}, {quoted(b)}, {quoted(c)})' for a, b, c in PHRASES)}) AS v(phrase, kind, numbers)")
+@query(f"""WITH p AS (SELECT p_partkey, p_partkey % 7 AS turn, p_size % 6 + 1 AS a, p_partkey // 7 % 6 + 1 AS b FROM part),
+n AS (SELECT *, CASE turn WHEN 0 THEN 'first' WHEN 1 THEN 'last' WHEN 2 THEN 'range' WHEN 3 THEN 'range' WHEN 4 THEN 'list' WHEN 5 THEN 'list' ELSE 'all' END AS kind FROM p)
+SELECT p_partkey, kind, array_to_string(list_filter(range(1, 7), lambda x: CASE turn WHEN 0 THEN x <= a WHEN 1 THEN x > 6 - a WHEN 2 THEN x BETWEEN least(a, b) AND greatest(a, b)
+  WHEN 3 THEN x BETWEEN least(a, b) AND greatest(a, b) WHEN 4 THEN x = a OR x = b WHEN 5 THEN x = a OR x = b ELSE true END), ',') AS numbers FROM n""")
 def number_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p, _, _ in PHRASES], "phrase string")
-    asked = numbers.requested(F.col("phrase"), "module")
-    chosen = numbers.selected(F.col("r"), F.array(*[F.lit(i) for i in range(1, 7)]))
-    rows = rows.withColumn("r", asked).select("phrase", "r.kind", chosen.alias("n"))
-    return rows.select("phrase", "kind", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("numbers"))
-
-
-SEMESTERS = [("semester iii to v", "3,4,5"), ("sem 2 and sem 7", "2,7"), ("third semester", "3"), ("semester 8", "8"), ("no term named", "")]
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(f'({quoted(a)}, {quoted(b)})' for a, b in SEMESTERS)}) AS v(phrase, semesters)")
+    """Phrases made of each part's numbers, and the modules of 1 to 6 that they ask for."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 6 + 1).alias("a"), F.expr("p_partkey div 7 % 6 + 1").cast("int").alias("b"))
+    word = lambda c, words: F.element_at(F.array(*[F.lit(w) for w in words]), F.col(c))
+    phrases = [
+        F.concat(F.lit("show the first "), word("a", numbers.CARDINALS), F.lit(" modules")), F.concat(F.lit("last "), "a", F.lit(" modules please")),
+        F.concat(F.lit("modules between "), "a", F.lit(" and "), "b"), F.concat(F.lit("explain modules "), "a", F.lit("-"), "b"),
+        F.concat(F.lit("modules "), "a", F.lit(", "), word("b", numbers.CARDINALS)), F.concat(word("a", numbers.ORDINALS), F.lit(" and "), word("b", numbers.ORDINALS), F.lit(" modules")), F.lit("the whole course"),
+    ]
+    asked = rows.select("p_partkey", numbers.requested(F.element_at(F.array(*phrases), (F.col("p_partkey") % 7 + 1).cast("int")), "module").alias("r"))
+    return asked.select("p_partkey", "r.kind", _numbers(numbers.selected(F.col("r"), F.array(*[F.lit(i) for i in range(1, 7)]))).alias("numbers"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 5 AS turn, p_size % 8 + 1 AS a, p_partkey // 5 % 8 + 1 AS b FROM part)
+SELECT p_partkey, array_to_string(list_filter(range(1, 9), lambda x: CASE turn WHEN 0 THEN x BETWEEN least(a, b) AND greatest(a, b) WHEN 1 THEN x = a OR x = b WHEN 2 THEN x = a WHEN 3 THEN x = b ELSE false END), ',') AS semesters FROM p""")
 def semester_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p, _ in SEMESTERS], "phrase string")
-    found = understanding.requested_semesters(F.col("phrase"))
-    return rows.select("phrase", F.array_join(F.transform(found, lambda x: x.cast("string")), ",").alias("semesters"))
+    """Phrases made of each part's numbers, and the semesters that they name."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 8 + 1).alias("a"), F.expr("p_partkey div 5 % 8 + 1").cast("int").alias("b"))
+    word = lambda c, words: F.element_at(F.array(*[F.lit(w) for w in words]), F.col(c))
+    phrases = [
+        F.concat(F.lit("semester "), word("a", list(numbers.ROMANS)), F.lit(" to "), word("b", list(numbers.ROMANS))), F.concat(F.lit("sem "), "a", F.lit(" and sem "), "b"),
+        F.concat(word("a", numbers.ORDINALS), F.lit(" semester")), F.concat(F.lit("semester "), "b"), F.lit("no term named"),
+    ]
+    asked = rows.select("p_partkey", F.element_at(F.array(*phrases), (F.col("p_partkey") % 5 + 1).cast("int")).alias("phrase"))
+    return asked.select("p_partkey", _numbers(understanding.requested_semesters(F.col("phrase"))).alias("semesters"))
 
 
 _PLAIN = "list_filter(string_split(regexp_replace(lower(%s), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
@@ -939,104 +953,98 @@ def names_in_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return understanding.names_in(messages, names, "id")
 
 
-# -- structure and extraction over authored fixtures --------------------------------------------------------------
-
-COURSE = """CSA101 Data Tools
-Prerequisites: Algebra, Logic and Sets
-1.0 Records 6
-1.1 Rows and columns
-continued over lines
-802.11 a foreign number
-CO1 1.2 Keys
-Self-learning topics: Index cards
-2.0 Joins 8
-2.1 Hash joins
-Text Books
-1. First book
-second line
-2. Other book
-References
-1) A paper
-2.2 Sort joins
-End Semester Exam Pattern: six questions, four to answer
-Assessment: two tests of twenty marks
-Scheme: 3 2 - 3 1 - 4"""
-LAB = """Experiments
-1 Load a table
-with many rows
-2
-Join two tables
-4 Window sums
-9 out of order
-References
-1. A manual"""
-
-
-def _course(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("course.txt", 1, COURSE)], "filename string, page int, text string")
-
-
-@query(f"""WITH t AS (SELECT {quoted(COURSE)} AS x)
-SELECT trim(regexp_extract(x, 'Text Books\\n((?s:.*?))\\nReferences', 1)) AS textbooks_part, 2 AS n_textbooks, 'First book second line' AS first_textbook,
-  'six questions, four to answer' AS exam, 'two tests of twenty marks' AS assessed, 'Algebra|Logic|Sets' AS needs FROM t""".replace("\\n", "\n"))
+# -- structure and extraction over pages made of parts -------------------------------------------------------------
+
+
+def _course(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a course for each part, with the part's name, brand, kind and size in it."""
+    lines = [
+        F.concat(F.lit("CSA"), F.col("p_partkey") % 900 + 100, F.lit(" "), F.initcap("p_name")),
+        F.concat(F.lit("Prerequisites: Algebra, Logic and "), F.initcap("p_type")),
+        F.concat(F.lit("1.0 Records "), F.col("p_size") % 9 + 1),
+        F.concat(F.lit("1.1 Rows of "), "p_name"),
+        F.lit("continued over lines\n802.11 a foreign number\nCO1 1.2 Keys"),
+        F.concat(F.lit("Self-learning topics: "), "p_name", F.lit(" cards")),
+        F.concat(F.lit("2.0 Joins "), F.col("p_size") % 7 + 1),
+        F.concat(F.lit("2.1 Hash joins\nText Books\n1. The "), "p_name", F.lit("\nsecond line\n2. Other book\nReferences\n1) A paper\n2.2 Sort joins")),
+        F.concat(F.lit("End Semester Exam Pattern: "), F.col("p_size") % 5 + 3, F.lit(" questions, two to answer")),
+        F.concat(F.lit("Assessment: tests of "), "p_size", F.lit(" marks")),
+        F.concat(F.lit("Scheme: "), F.col("p_size") % 4 + 1, F.lit(" "), F.col("p_partkey") % 3 + 1, F.lit(" - 3 1 - "), F.col("p_size") % 6 + 2),
+    ]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("filename"), F.lit(1).alias("page"), F.concat_ws("\n", *lines).alias("text"))
+
+
+_TITLE_SQL = "array_to_string(list_transform(string_split(%s, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+
+
+@query(f"""SELECT p_partkey AS filename, '1. The ' || p_name || chr(10) || 'second line' || chr(10) || '2. Other book' AS textbooks_part, 2 AS n_textbooks, 'The ' || p_name || ' second line' AS first_textbook,
+  (p_size % 5 + 3) || ' questions, two to answer' AS exam, 'tests of ' || p_size || ' marks' AS assessed, 'Algebra|Logic|' || {_TITLE_SQL % "p_type"} AS needs FROM part""")
 def between_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     part = extract.between_headings(t, r"text\s?books?")
-    return _course(spark).select(
-        part.alias("textbooks_part"), F.size(extract.numbered_items(part)).alias("n_textbooks"), F.get(extract.numbered_items(part), 0).alias("first_textbook"),
+    return _course(spark, sf_dir).select(
+        "filename", part.alias("textbooks_part"), F.size(extract.numbered_items(part)).alias("n_textbooks"), F.get(extract.numbered_items(part), 0).alias("first_textbook"),
         extract.exam_pattern(t).alias("exam"), extract.assessment(t).alias("assessed"), F.array_join(extract.prerequisites(t), "|").alias("needs"),
     )
 
 
-@query("SELECT 3.0::DOUBLE AS theory, 2.0::DOUBLE AS practical, 4.0::DOUBLE AS credits, 5 AS n")
+@query("SELECT p_partkey AS filename, (p_size % 4 + 1)::DOUBLE AS theory, (p_partkey % 3 + 1)::DOUBLE AS practical, (p_size % 6 + 2)::DOUBLE AS credits, 5 AS n FROM part")
 def scheme_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _course(spark).select(extract.scheme(F.col("text"), "scheme").alias("s"), F.size(extract.scheme_numbers(F.col("text"), "scheme")).alias("n"))
-    return found.select("s.theory", "s.practical", "s.credits", "n")
+    found = _course(spark, sf_dir).select("filename", extract.scheme(F.col("text"), "scheme").alias("s"), F.size(extract.scheme_numbers(F.col("text"), "scheme")).alias("n"))
+    return found.select("filename", "s.theory", "s.practical", "s.credits", "n")
 
 
-@query("SELECT * FROM (VALUES (1, 'Load a table with many rows'), (2, 'Join two tables'), (4, 'Window sums 9 out of order')) AS v(number, title)")
+@query("""SELECT p_partkey AS part, number, title FROM part, unnest([{'number': 1, 'title': 'Load a ' || p_name || ' with many rows'}, {'number': 2, 'title': 'Join two of ' || lower(p_type)},
+  {'number': 4, 'title': 'Window sums 9 out of order'}]) AS t(e), (SELECT 1) AS one, LATERAL (SELECT e.number AS number, e.title AS title) AS x""")
 def numbered_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of experiments for each part; a number out of order goes on the line before."""
     ship(spark)
-    rows = spark.createDataFrame([(LAB,)], "text string")
-    return rows.select(F.explode(structure.lab_experiments("text")).alias("e")).select("e.number", "e.title")
+    lines = ["Experiments\n1 Load a ", "p_name", "\nwith many rows\n2\nJoin two of ", "type", "\n4 Window sums\n9 out of order\nReferences\n1. A manual"]
+    rows = table(spark, sf_dir, "part").withColumn("type", F.lower("p_type"))
+    rows = rows.select("p_partkey", F.concat(*[F.col(x) if x in ("p_name", "type") else F.lit(x) for x in lines]).alias("text"))
+    return rows.select(F.col("p_partkey").alias("part"), F.explode(structure.lab_experiments("text")).alias("e")).select("part", "e.number", "e.title")
 
 
-@query("""SELECT * FROM (VALUES (1, 'Records', 6, '1.1 Rows and columns continued over lines 802.11 a foreign number|1.2 Keys', 'Index cards'),
-  (2, 'Joins', 8, '2.1 Hash joins|2.2 Sort joins End Semester Exam Pattern: six questions, four to answer', '')) AS v(number, title, hours, units, self_learning)""")
+@query("""SELECT p_partkey AS filename, 1 AS number, 'Records' AS title, p_size % 9 + 1 AS hours, '1.1 Rows of ' || p_name || ' continued over lines 802.11 a foreign number|1.2 Keys' AS units, p_name || ' cards' AS self_learning FROM part
+UNION ALL SELECT p_partkey, 2, 'Joins', p_size % 7 + 1, '2.1 Hash joins|2.2 Sort joins', '' FROM part""")
 def module_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    lines = structure.page_lines(_course(spark))
+    lines = structure.page_lines(_course(spark, sf_dir))
     found = structure.module_outlines(lines, "filename")
     units = F.array_join(F.transform("units", lambda u: F.concat_ws(" ", u["number"], u["text"])), "|")
-    return found.select("number", "title", "hours", units.alias("units"), F.array_join("self_learning", "|").alias("self_learning"))
+    return found.select("filename", "number", "title", "hours", units.alias("units"), F.array_join("self_learning", "|").alias("self_learning"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'general', 'CSA101', NULL, NULL), (1, 'module', 'CSA101', '1', NULL), (2, 'unit', 'CSA101', '1', '1.1'), (3, 'unit', 'CSA101', '1', '1.2'),
-  (4, 'self_learning', 'CSA101', '1', '1.2'), (5, 'module', 'CSA101', '2', NULL), (6, 'unit', 'CSA101', '2', '2.1'), (7, 'unit', 'CSA101', '2', '2.2'))
-  AS v(chunk_index, section_type, course_code, module_no, unit_no)""")
+@query("""WITH c AS (SELECT * FROM (VALUES (0, 'general', NULL, NULL), (1, 'module', '1', NULL), (2, 'unit', '1', '1.1'), (3, 'unit', '1', '1.2'), (4, 'self_learning', '1', '1.2'),
+  (5, 'module', '2', NULL), (6, 'unit', '2', '2.1'), (7, 'unit', '2', '2.2')) AS v(chunk_index, section_type, module_no, unit_no))
+SELECT p_partkey AS filename, chunk_index, section_type, 'CSA' || (p_partkey % 900 + 100) AS course_code, module_no, unit_no FROM part, c""")
 def syllabus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.syllabus_chunks(_course(spark)).select("chunk_index", "section_type", "course_code", "module_no", "unit_no")
+    return structure.syllabus_chunks(_course(spark, sf_dir)).select("filename", "chunk_index", "section_type", "course_code", "module_no", "unit_no")
 
 
-PROGRAM = """Semester III
-CSA101 Data Tools 3 2 1 3 1 1 5
-CSA102 Query Languages
-and Engines 3 1 - 4
-CSA103 Project 2.5*
-Total 11.5"""
+def _program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a programme for each part: three courses, of which one has its name on two lines; every other page states its total."""
+    n = F.col("p_partkey") % 900 + 100
+    lines = [
+        F.lit("Semester III"), F.concat(F.lit("CSA"), n, F.lit(" "), F.initcap("p_name"), F.lit(" 3 2 1 3 1 1 5")), F.concat(F.lit("CSB"), n, F.lit(" Query Languages\nand "), F.initcap("p_type"), F.lit(" 3 1 - 4")),
+        F.concat(F.lit("CSC"), n, F.lit(" Project "), F.col("p_size") % 4 + 1, F.lit(".5*")),
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Total "), F.col("p_size"), F.lit(".5"))),
+    ]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("filename"), F.lit(1).alias("page"), F.concat_ws("\n", *lines).alias("text"))
 
 
-@query("""SELECT * FROM (VALUES ('CSA101', 'Data Tools', 'full', 5.0), ('CSA102', 'Query Languages and Engines', 'credit', 4.0), ('CSA103', 'Project', 'credit', 2.5)) AS v(code, name, scheme, credits)""")
+@query(f"""WITH p AS (SELECT *, p_partkey % 900 + 100 AS n FROM part)
+SELECT p_partkey AS filename, 'CSA' || n AS code, {_TITLE_SQL % "p_name"} AS name, 'full' AS scheme, 5.0::DOUBLE AS credits FROM p
+UNION ALL SELECT p_partkey, 'CSB' || n, 'Query Languages and ' || {_TITLE_SQL % "p_type"}, 'credit', 4.0 FROM p
+UNION ALL SELECT p_partkey, 'CSC' || n, 'Project', 'credit', p_size % 4 + 1.5 FROM p""")
 def program_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.createDataFrame([("p.txt", 1, PROGRAM)], "filename string, page int, text string")
-    rows = structure.program_rows(structure.page_lines(pages), "filename")
-    return rows.select("code", "name", "scheme", "credits")
+    rows = structure.program_rows(structure.page_lines(_program(spark, sf_dir)), "filename")
+    return rows.select("filename", "code", "name", "scheme", "credits")
 
 
-@query("SELECT 'p.txt' AS filename, 3 AS n_courses, 11.5 AS credits")
+@query("SELECT p_partkey AS filename, 3 AS n_courses, CASE WHEN p_partkey % 2 = 0 THEN p_size + 0.5 ELSE 10.5 + p_size % 4 END::DOUBLE AS credits FROM part")
 def program_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.createDataFrame([("p.txt", 1, PROGRAM)], "filename string, page int, text string")
-    return structure.credit_totals(structure.program_rows(structure.page_lines(pages), "filename"), "filename")
+    return structure.credit_totals(structure.program_rows(structure.page_lines(_program(spark, sf_dir)), "filename"), "filename")
 
 
 @query("""WITH p AS (SELECT source, doc_id, text, 10 + doc_id % 3 AS n FROM documents), l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -1101,7 +1109,7 @@ walk AS (
     SELECT *, len(list_filter(alive, lambda e: e.k = k)) > 0 AS hit FROM (
       SELECT n.*, list_filter(w.held, lambda e: n.now - e.saved <= 900) AS alive FROM walk w JOIN numbered n ON n.part = w.part AND n.i = w.i + 1)))
 SELECT part, request_id, k AS cache_key, hit FROM walk WHERE i > 0""")
-def answer_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answer_cache_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages by their first word, through one cache of six answers that live 15 minutes for each part."""
     ship(spark)
     rows = table(spark, sf_dir, "conversations")
@@ -1111,7 +1119,6 @@ def answer_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.answered(asked, 6, 900).select("part", "request_id", "cache_key", "hit")
 
 
-
 @query(f"""SELECT req, total FROM (SELECT conv_id AS req, sum(len(regexp_extract_all(text, '\\S+|\\n|\\s+'))) AS total FROM conversations GROUP BY conv_id)""")
 def answer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("req"), F.size(text.answer_tokens(F.col("text"))).alias("n"))
@@ -1215,16 +1222,19 @@ def pass_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.tally(found, F.col("label") == F.col("dl"), "label").withColumn("share", F.round("share", 6))
 
 
-SEMESTER_PAGES = [("a.pdf", 1, "Semester III and Sem IV"), ("a.pdf", 2, "no term"), ("a.pdf", 10, "Semester I"), ("b.pdf", 1, "SEM-VIII")]
-
-
-@query("""SELECT * FROM (VALUES (1, 'a.pdf', 1), (1, 'a.pdf', 10), (2, 'b.pdf', 1)) AS v(query_id, filename, page)""")
+@query("""WITH m AS (SELECT source AS filename, doc_id % 100 AS page, CASE WHEN doc_id % 100 = 10 THEN [4] WHEN doc_id % 10 < 8 THEN list_distinct([doc_id % 10 + 1, (doc_id // 10) % 8 + 1]) ELSE [] END AS own FROM documents),
+e AS (SELECT filename, page, unnest(own) AS semester FROM m), q AS (SELECT item_id, unnest([item_id % 8 + 1]) AS semester FROM benchmark)
+SELECT DISTINCT item_id AS query_id, filename, page::INT AS page FROM q JOIN e USING (semester)""")
 def semester_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.createDataFrame(SEMESTER_PAGES, "filename string, page int, text string")
+    """Pages that name the semester an item asks for; one page has an override."""
+    roman = lambda n: F.upper(F.element_at(F.array(*[F.lit(r) for r in numbers.ROMANS]), n.cast("int")))
+    heading = F.concat(F.lit("Semester "), roman(F.col("doc_id") % 10 + 1), F.lit(" and Sem "), roman(F.expr("doc_id div 10 % 8 + 1")))
+    text_ = F.when(F.col("doc_id") % 10 < 8, F.concat(heading, F.lit("\n"), "text")).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("filename"), (F.col("doc_id") % 100).cast("int").alias("page"), text_.alias("text"))
     overrides = spark.createDataFrame([(10, 4)], "page int, semester int")
-    asked = spark.createDataFrame([(1, "semester 4"), (2, "sem viii")], "query_id int, q string")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("subjects of semester "), F.col("item_id") % 8 + 1).alias("q"))
     asked = asked.select("query_id", understanding.requested_semesters(F.col("q")).alias("semesters"))
-    return sections.semester_pages(sections.semester_markers(pages, overrides), asked, "query_id")
+    return sections.semester_pages(sections.semester_markers(rows, overrides), asked, "query_id")
 
 
 @query(f"""WITH {_bm25_sql(stemmed_sql, 'plus_one', False)},
@@ -1259,13 +1269,18 @@ def relevant_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.relevant_sources(rows, "conv_id", "title", F.col("a"), F.col("a")).select("conv_id", "turn")
 
 
-QUESTIONS = [("which textbooks", "all_pages"), ("list lab experiments", "lab_pages"), ("module 3 please", "outlines"), ("all topics", "module_pages"), ("tell me more", "pages")]
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(f'({quoted(a)}, {quoted(b)})' for a, b in QUESTIONS)}) AS v(question, pages)")
+@query(f"""WITH w AS (SELECT [{listed(MORE_WANTS)}] AS a),
+q AS (SELECT conv_id, turn, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '') || ' / ' || a[(conv_id * 7 + turn) % {len(MORE_WANTS)} + 1]), '[a-z0-9]+'), ' ') || ' ' AS n FROM conversations, w)
+SELECT conv_id, turn, CASE
+  WHEN len(list_filter([' textbook ', ' textbooks ', ' text book ', ' text books ', ' reference ', ' references ', ' assessment ', ' evaluation ', ' exam '], lambda p: contains(n, p))) > 0 THEN 'all_pages'
+  WHEN len(list_filter([' experiment ', ' experiments ', ' practical ', ' practicals ', ' lab '], lambda p: contains(n, p))) > 0 THEN 'lab_pages'
+  WHEN regexp_matches(n, ' modules? ([0-9][a-z0-9]*|one|two|three|four|five|six) ') THEN 'outlines'
+  WHEN len(list_filter([' module ', ' modules ', ' unit ', ' units ', ' topic ', ' topics '], lambda p: contains(n, p))) > 0 THEN 'module_pages' ELSE 'pages' END AS pages FROM q""")
 def section_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(q,) for q, _ in QUESTIONS], "question string")
-    return rows.select("question", sections.routed(F.col("question")).alias("pages"))
+    """Which pages of a section answer each message and the request at its end."""
+    wants = F.element_at(F.array(*[F.lit(w) for w in MORE_WANTS]), ((F.col("conv_id") * 7 + F.col("turn")) % len(MORE_WANTS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" / ", F.coalesce("text", F.lit("")), wants).alias("question"))
+    return rows.select("conv_id", "turn", sections.routed(F.col("question")).alias("pages"))
 
 
 @query("""SELECT left(sha256('https://h/' || (doc_id % 50) || '/a-b.pdf'), 16) AS hash_id, 'a b' AS title, min(doc_id) AS source_page FROM documents GROUP BY doc_id % 50""")
@@ -1275,11 +1290,15 @@ def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.file_records(links).select("hash_id", "title", "source_page")
 
 
-@query("""SELECT 1 AS page, 'one' AS text UNION ALL SELECT 2, 'three'""")
+@query("""WITH p AS (SELECT source, doc_id, text, doc_id % 7 = 3 AS ends FROM documents WHERE text IS NOT NULL),
+o AS (SELECT *, coalesce(max(ends::INT) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM p)
+SELECT source, doc_id, sha256(CASE WHEN ends THEN 'Lab page' ELSE text END) AS text FROM o WHERE ended = 0""")
 def lab_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lab's pages up to its assessment."""
-    rows = spark.createDataFrame([("f", 1, "one"), ("f", 2, "three\nAssessment: x"), ("f", 3, "gone")], "filename string, page int, text string")
-    return sections.lab_text(rows, "filename", "page").select("page", F.trim(F.regexp_replace("text", r"\s+$", "")).alias("text"))
+    """A source's pages up to the first that has an assessment, which is cut there."""
+    ends = F.col("doc_id") % 7 == 3
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", F.when(ends, F.concat(F.lit("Lab page\nAssessment: "), "text")).otherwise(F.col("text")).alias("text"))
+    found = sections.lab_text(rows, "source", "doc_id")
+    return found.select("source", "doc_id", F.sha2(F.when(ends, F.regexp_replace("text", r"\s+$", "")).otherwise(F.col("text")), 256).alias("text"))
 
 
 # -- queries that several tables answer ---------------------------------------------------------------------------
@@ -1395,11 +1414,6 @@ def course_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dispatch.course_answers(queries, "o_orderkey", "text", courses, items)
 
 
-#: Texts of the predicate queries, put together from these by id.
-WANTS = ["list all experiments", "module wise notes", "the teaching scheme", "only theory", "lab subjects", "open electives of term 7", "course structure for sem iv",
-         "total credits for the degree", "text books", "textbooks and useful links", "marks and term work", "group size", "aims of it", "semester 12", "nothing at all"]
-
-
 #: Topics as SQL sees them: whole phrases between spaces, and beginnings of words.
 _TOPIC_SQL = {
     "activity": ["activity", "activities"],
@@ -1512,12 +1526,6 @@ def query_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dispatch.predicates(rows).drop("text")
 
 
-#: What follows a message in the intent query, by turn and conversation.
-MORE_WANTS = [*WANTS, "tell me about csa101", "how many modules", "number of experiments in physics 1", "courses offered, intake and degrees", "who is the HOD of computer", "where to study online",
-              "reference books only", "total credits of the degree, altogether", "semester 1 to 4", "sem 3 subjects", "3rd semester syllabus", "self-learning topics", "hosting and deployment rules",
-              "viva, oral and rubrics", "course outcomes (COs)", "ESE and ISE", "contact hours per week", "both theory and lab", "give me the full list of units", "activities, assignments"]
-
-
 @query(f"""WITH w AS (SELECT [{listed(MORE_WANTS)}] AS a),
 q AS (SELECT conv_id, turn, lower(coalesce(text, '') || ' / ' || a[(conv_id * 7 + turn) % {len(MORE_WANTS)} + 1]) AS x FROM conversations, w),
 s AS (SELECT conv_id, turn, ' ' || array_to_string(regexp_extract_all(x, '[a-z0-9]+'), ' ') || ' ' AS n FROM q)

@@ -100,7 +100,7 @@ def syllabus_chunks(pages: DataFrame, by: str = "filename", most_chars: int = 12
 _MODULE = re.compile(r"^\s*([1-9])\.0\s+(.+?)(?:\s+(\d{1,2}))?\s*$")
 _UNIT = re.compile(r"^\s*(?:CO\s?\d\s+)?(\d+)\.([1-9]\d*)\s+(\S.*)$")
 _SELF = re.compile(r"(?i)^\s*self[- ]?learning(?:\s+topics?)?\s*:?\s*(.*)$")
-_REFERENCES = re.compile(r"(?i)^\s*(?:text\s?books?|references?|reference\s+books?|online\s+resources?|assessment)\b")
+_REFERENCES = re.compile(r"(?i)^\s*(?:text\s?books?|references?|reference\s+books?|online\s+resources?|assessment|end\s+semester)\b")
 
 
 def outline(lines: list[tuple[int, str]]) -> list[dict]:
