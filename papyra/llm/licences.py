@@ -9,8 +9,11 @@ the first word of such a text.
 
 Defined results: null and empty texts, and texts of punctuation or copyright
 lines only, match nothing; a licence found several times in a document is listed
-once; repeated rows give equal results; an empty table gives an empty result;
-extra columns are ignored. The known texts are a table of licence and text, by
+once; of two names for one digest the last by code point is the whole text's and
+both are listed; repeated rows give equal results, as do rows without a doc_id,
+each for its own text; texts of any length are read whole, in memory that grows
+with the longest; an empty table gives an empty result; extra columns are
+ignored. The known texts are a table of licence and text, by
 default KNOWN and the files in ``licence_texts``; their digests are broadcast.
 """
 

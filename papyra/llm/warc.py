@@ -15,8 +15,8 @@ record by record.
 
 Defined results: null html counts as empty, a null url as none; empty payloads
 are deduplicated like others if ``min_bytes`` is 0; rows that repeat a page_id
-with one payload have equal record types; a null page_id is a response; an empty
-table gives no archive, which reads as no record; extra columns are ignored.
+with one payload have equal record types; a page without a page_id revisits the
+largest page_id with its payload and is a response if there is none; an empty table gives no archive, which reads as no record; extra columns are ignored.
 Pages are written whole, up to the 2 GB that a row of Spark holds. A group of
 copies may be of any size, as only its largest page_id is gathered, and the join
 with it may be split.
@@ -72,8 +72,9 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     originals = staged(heads.where(F.col("payload_bytes") >= min_bytes).groupBy(*key).agg(F.max("page_id").alias("original")), "originals")
     decided = heads.join(originals, key, "left")
     known = read.where("page_id is not null").join(decided, ["page_id", *key])
-    unknown = read.where("page_id is null").withColumn("original", F.lit(None).cast(pages.schema["page_id"].dataType))
-    revisit = F.coalesce(F.col("page_id") != F.col("original"), F.lit(False))
+    # Pages without an id are no original; they meet theirs by payload.
+    unknown = read.where("page_id is null").join(originals, key, "left")
+    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return known.unionByName(unknown).select(
         "page_id", "url", "html", "payload_digest", "payload_bytes",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),

@@ -427,11 +427,11 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r["record_type"] for r in kept} == {"response"}
     warc.write(pages.limit(0), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
-    odd = spark.createDataFrame([(None, None, "a"), (None, "u v", "a"), (1, None, "a"), (1, None, "b"), (2, None, "b"), (3, None, "é" * 300_000)], "page_id long, url string, html string")
+    odd = spark.createDataFrame([(None, None, "a"), (None, "u v", "a"), (None, None, "c"), (1, None, "a"), (1, None, "b"), (2, None, "b"), (3, None, "é" * 300_000)], "page_id long, url string, html string")
     warc.write(odd.withColumn("original", F.lit(9)).withColumn("value", F.lit(9)), str(tmp_path / "o"))
     found = warc.resolved(warc.read(spark, str(tmp_path / "o")))
     assert sorted(map(repr, rows_of(found.select("page_id", "record_type", "refers_to", "payload_bytes")))) == sorted(
-        map(repr, [(None, "response", None, 1), (None, "response", None, 1), ("1", "response", None, 1), ("1", "revisit", "2", 1), ("2", "response", None, 1), ("3", "response", None, 600_000)])
+        map(repr, [(None, "revisit", "1", 1), (None, "revisit", "1", 1), (None, "response", None, 1), ("1", "response", None, 1), ("1", "revisit", "2", 1), ("2", "response", None, 1), ("3", "response", None, 600_000)])
     )
 
 
