@@ -225,7 +225,7 @@ kept AS (SELECT doc_id, begin, regexp_replace(chunk, '^[\s]+|[\s]+$', '', 'g') A
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY begin) - 1 AS chunk_index, length(c) AS n_chars, sha256(c) AS chunk FROM kept WHERE c <> ''""")
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    chunks = chunking.chunk_overlapping(table(spark, sf_dir, "documents"))
+    chunks = chunking.chunk_overlapping(_texts(spark, sf_dir))
     return chunks.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("chunk"))
 
 
@@ -255,8 +255,13 @@ def query_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- tokens, statistics, ranking ----------------------------------------------------------------------------------
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts for work that is heavy for its bytes."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _token_rows(tokens, spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    rows = _texts(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens"))
 
 
@@ -282,7 +287,7 @@ def tokens_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT doc_id, unnest({stemmed_sql("text")}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term""")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.term_stats(ranking.postings(table(spark, sf_dir, "documents"), "doc_id", text.tokens_stemmed(F.col("text"))))
+    return ranking.term_stats(ranking.postings(_texts(spark, sf_dir), "doc_id", text.tokens_stemmed(F.col("text"))))
 
 
 def _bm25_sql(tokens, idf: str, repeated: bool, k1: float = 1.2, b: float = 0.7, where: str = "") -> str:

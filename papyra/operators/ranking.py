@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..storage import staged
+from ..storage import spread, staged
 
 K1, B = 1.2, 0.7
 
@@ -43,7 +43,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, qkey: str, tokens, k1: f
     terms are joined to it before any counting, so only tokens that some query
     asks for are shuffled.
     """
-    each = staged(docs.select(F.col(key), tokens(F.col("text")).alias("ts")).withColumn("dl", F.size("ts")), "tokens")
+    each = staged(spread(docs.select(key, "text")).select(F.col(key), tokens(F.col("text")).alias("ts")).withColumn("dl", F.size("ts")), "tokens")
     totals = each.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = F.lit(float(totals["n"])), F.lit(max(totals["avgdl"] or 0.0, 1.0))
     asked = queries.select(qkey, F.explode(tokens(F.col("text"))).alias("term")).groupBy(qkey, "term").agg(F.count("*").alias("qtf"))
