@@ -25,10 +25,13 @@ def union_first(parts: list[DataFrame], key: str, order: str, most: int | None =
 
 
 def all_found(wanted: DataFrame, rows: DataFrame, qkey: str, key: str, order: str) -> DataFrame:
-    """Rows of a query's keys, in the query's order, for queries all of whose keys are found."""
-    n = Window.partitionBy(qkey)
-    joined = wanted.withColumn("__want", F.count("*").over(n)).join(rows, key)
-    return joined.withColumn("__have", F.count("*").over(n)).where("__have >= __want").drop("__want", "__have").orderBy(qkey, order)
+    """Rows of a query's keys with their ``place`` in the query's order, for queries all of whose keys are found."""
+    keys = wanted.groupBy(F.col(qkey).alias("__q")).agg(F.countDistinct(key).alias("__want"))
+    joined = wanted.join(rows, key)
+    have = joined.groupBy(F.col(qkey).alias("__p")).agg(F.countDistinct(key).alias("__have"))
+    whole = keys.join(have, F.col("__q").eqNullSafe(F.col("__p"))).where("__have = __want").select("__q")
+    place = F.row_number().over(Window.partitionBy(qkey).orderBy(order, key))
+    return joined.join(whole, F.col(qkey).eqNullSafe(F.col("__q")), "left_semi").withColumn("place", place)
 
 
 def mapped_or_same(rows: DataFrame, mapping: DataFrame, key: str, source: str, target: str) -> DataFrame:
