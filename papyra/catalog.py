@@ -1027,6 +1027,23 @@ def syllabus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.syllabus_chunks(_course(spark, sf_dir)).select("filename", "chunk_index", "section_type", "course_code", "module_no", "unit_no")
 
 
+@query("""WITH u AS (SELECT p_partkey, unnest([{'m': 1, 't': 'Records', 'u': '1.1', 'x': 'Rows of ' || p_name || ' continued over lines 802.11 a foreign number'}, {'m': 1, 't': 'Records', 'u': '1.2', 'x': 'Keys'},
+  {'m': 2, 't': 'Joins', 'u': '2.1', 'x': 'Hash joins'}, {'m': 2, 't': 'Joins', 'u': '2.2', 'x': 'Sort joins'}]) AS r FROM part)
+SELECT p_partkey AS filename, r.m AS module, r.t AS title, r.u AS unit, r.x AS text FROM u""")
+def unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.unit_rows(structure.page_lines(_course(spark, sf_dir)), "filename")
+
+
+@query("""WITH u AS (SELECT p_partkey, unnest([{'u': '1.1', 'x': 'Rows of ' || p_name || ' continued over lines 802.11 a foreign number'}, {'u': '1.2', 'x': 'Keys'}, {'u': '2.1', 'x': 'Hash joins'}, {'u': '2.2', 'x': 'Sort joins'}]) AS r FROM part)
+SELECT o_orderkey, r.u AS unit, r.x AS text FROM orders JOIN u ON p_partkey = o_custkey WHERE r.u = (o_orderkey % 2 + 1) || '.' || (o_orderkey % 3 + 1)""")
+def unit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units that orders, read as queries, name of their customer's course; some name a unit that there is not."""
+    asked = F.concat(F.lit("Explain unit "), F.col("o_orderkey") % 2 + 1, F.lit("."), F.col("o_orderkey") % 3 + 1, F.lit(" please"))
+    queries = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("filename"), F.explode(structure.requested_units(asked)).alias("unit"))
+    units = structure.unit_rows(structure.page_lines(_course(spark, sf_dir)), "filename")
+    return queries.join(units, ["filename", "unit"]).select("o_orderkey", "unit", "text")
+
+
 def _program(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of a programme for each part: three courses, of which one has its name on two lines; every other page states its total."""
     n = F.col("p_partkey") % 900 + 100

@@ -233,3 +233,37 @@ def program_rows(lines: DataFrame, by: str) -> DataFrame:
 def credit_totals(rows: DataFrame, by: str) -> DataFrame:
     """Credits of each table: the stated total, else the sum."""
     return rows.groupBy(by).agg(F.count("*").alias("n_courses"), F.coalesce(F.max("stated_total"), F.sum("credits")).alias("credits"))
+
+
+#: Headings of a syllabus in the dialect of columns: a module, a unit, and what belongs to neither.
+MODULE_LINE = r"^\s*([1-9])\.0\s+(.+?)(?:\s+(\d{1,2}))?\s*$"
+UNIT_LINE = r"^\s*(?:CO\s?\d\s+)?(\d+\.[1-9]\d*)\s+(\S.*)$"
+ASIDE_LINE = r"(?i)^\s*(?:self[- ]?learning|text\s?books?|references?|reference\s+books?|online\s+resources?|assessment|end\s+semester)\b"
+
+
+def unit_rows(lines: DataFrame, by: str) -> DataFrame:
+    """``by, module, title, unit, text``: the units of each module, with the lines that continue them.
+
+    A unit belongs to the module in whose interval it lies, from its heading to
+    the next one; a number of another module is no unit there and continues the
+    line before, as any other line does. Headings of books, exams and
+    self-learning end a unit. Windows and a grouping, so lines of a file of any
+    length are sorted on disk.
+    """
+    w = Window.partitionBy(by).orderBy("page", "line_no")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    line = F.col("line")
+    opens = line.rlike(MODULE_LINE)
+    own = F.when(opens, F.struct(F.regexp_extract(line, MODULE_LINE, 1).alias("module"), F.regexp_extract(line, MODULE_LINE, 2).alias("title")))
+    rows = lines.select(by, "page", "line_no", "line").withColumn("m", F.last(own, ignorenulls=True).over(so_far)).where("m is not null")
+    unit = F.regexp_extract(line, UNIT_LINE, 1)
+    kind = F.when(opens, "module").when((unit != "") & (F.substring_index(unit, ".", 1) == F.col("m.module")), "unit").when(line.rlike(ASIDE_LINE), "aside")
+    rows = rows.withColumn("kind", kind).withColumn("island", F.count("kind").over(so_far))
+    parts = F.array_sort(F.collect_list(F.struct("page", "line_no", F.when(F.col("kind") == "unit", F.regexp_extract(line, UNIT_LINE, 2)).otherwise(F.trim(line)).alias("line"))))
+    found = rows.groupBy(by, "island").agg(F.max("kind").alias("kind"), F.max("m").alias("m"), F.max(F.when(F.col("kind") == "unit", unit)).alias("unit"), parts.alias("parts")).where("kind = 'unit'")
+    return found.select(by, F.col("m.module").cast("int").alias("module"), "m.title", "unit", F.array_join(F.transform("parts", lambda p: p["line"]), " ").alias("text"))
+
+
+def requested_units(query: Column) -> Column:
+    """Numbers of units, as 2.1, that a query names after unit, topic or section."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"\b(?:units?|topics?|sections?)\s+(?:no\.?\s+)?(\d+\.\d+)\b"), F.lit(1)))

@@ -117,3 +117,34 @@ def test_lab_pages_and_semesters(spark):
     marked = sections.semester_markers(pages, spark.createDataFrame([(10, 4)], "page int, semester int"))
     asked = spark.createDataFrame([(1, [4]), (2, [8])], "q int, semesters array<int>")
     assert sorted(tuple(r) for r in sections.semester_pages(marked, asked, "q").collect()) == [(1, "a.pdf", 1), (1, "a.pdf", 10), (2, "b.pdf", 1)]
+
+
+def test_units_within_modules(spark):
+    """As in the outline, by windows: a number of another module is no unit, and headings end one."""
+    got = sorted((r["module"], r["title"], r["unit"], r["text"]) for r in structure.unit_rows(lines_of(spark, COURSE), "filename").collect())
+    assert got == [
+        (1, "Records", "1.1", "Rows and columns continued over lines 802.11 a foreign number"), (1, "Records", "1.2", "Keys"), (2, "Joins", "2.1", "Hash joins"), (2, "Joins", "2.2", "Sort joins"),
+    ]
+    rows = spark.createDataFrame([("Unit 2.1 and topic 3.10, not 4.1",), ("units no. 1.2; unit 1.2",), ("module 2",), (None,)], "q string")
+    assert [r[0] for r in rows.select(structure.requested_units(F.col("q"))).collect()] == [["2.1", "3.10"], ["1.2"], [], None]
+
+
+def test_sections_share_words_or_codes(spark):
+    """Counts by a join on words give the scores of whole lists, for those that the gate lets through."""
+    import random
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(12)]
+    some = lambda n: sorted(rng.sample(words, rng.randint(0, n)))
+    docs = [(i, rng.choice(["c1", "C2"]), some(3), some(8), some(3)) for i in range(40)]
+    queries = [(i, sorted({*some(5), *rng.choice([[], ["c1"], ["c2"]])})) for i in range(20)]
+    got = sections.matched_sections(spark.createDataFrame(queries, "q int, words array<string>"), spark.createDataFrame(docs, "d int, code string, title array<string>, content array<string>, modules array<string>"), "q", "d")
+    want = {}
+    for q, asked in queries:
+        for d, code, title, content, modules in docs:
+            t, c, m = (len({*asked} & {*x}) for x in (title, content, modules))
+            named = code.lower() in asked
+            if t or m or named:
+                name = 60.0 if title and t == len(title) else 40.0 if t >= 2 and t / len(title) >= 0.66 else 0.0
+                want[q, d] = (name, name + 2 * c + 1.5 * m + 100 * named)
+    assert {(r["q"], r["d"]): (r["name_boost"], r["section_score"]) for r in got.collect()} == want
