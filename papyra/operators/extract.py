@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import normalize_url
+
 #: Headings that end a part of a course text.
 HEADINGS = r"text\s?books?|references?(?:\s+books?)?|online\s+(?:resources?|references?)|assessment|evaluation|prerequisites?|course\s+(?:objectives?|outcomes?)|end\s+sem(?:ester)?\s+exam\w*|assignments?|activities|scheme|modules?|[1-9]\.0"
 
@@ -158,3 +160,28 @@ def grouped_sources(hits: DataFrame, by: str) -> DataFrame:
 def without_sources_tail(x: Column, within: int = 800) -> Column:
     """An answer without a list of sources that starts in its last characters."""
     return F.trim(F.regexp_replace(x, rf"(?is)\n\s*(?:#+\s*|\*\*)?sources?\b[^\n]{{0,40}}(?:\n(?=.{{0,{within}}}\z).*)?\z", ""))
+
+
+#: What a reader is told of an address that is not indexed.
+NOT_FOUND = "No page has this address."
+
+
+def upper_headings(lines: Column, mark: str = "## ") -> Column:
+    """Lines as one text, headings in capitals without their mark."""
+    return F.array_join(F.transform(lines, lambda x: F.when(x.startswith(mark), F.upper(F.substring(x, len(mark) + 1, 1_000_000))).otherwise(x)), "\n")
+
+
+def read_pages(requests: DataFrame, pages: DataFrame, size: int = 6000, not_found: str = NOT_FOUND) -> DataFrame:
+    """``requests`` (``url, offset``) with the ``piece`` of the page (``url, lines``) that each asks for.
+
+    Addresses are compared in their normal form. A piece has ``size`` characters
+    at most and says where the rest begins; pages that are not there and offsets
+    past the end get messages.
+    """
+    own = pages.select(normalize_url(F.col("url")).alias("__url"), upper_headings(F.col("lines")).alias("__text")).dropDuplicates(["__url"])
+    asked = requests.withColumn("__key", normalize_url(F.col("url"))).join(own, F.col("__key") == F.col("__url"), "left")
+    piece = F.substring(F.col("__text"), F.col("offset") + 1, F.lit(size))
+    end = F.col("offset") + F.length(piece)
+    more = F.concat(piece, F.lit("\n\n[Continues at offset "), end, F.lit(".]"))
+    shown = F.when(F.col("__text").isNull(), not_found).when(end < F.length("__text"), more).when(piece == "", "No more content.").otherwise(piece)
+    return asked.withColumn("piece", shown).drop("__key", "__url", "__text")

@@ -93,3 +93,33 @@ def ingest_counted(stream: DataFrame, path: str, checkpoint: str, *keys: str, fa
         ingest_batch(batch, path, f"{name}-{number:09d}", *keys, failed=failed)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Tags of a call that an answer's reader does not see.
+CALL_TAGS = ("<tool_call>", "</tool_call>")
+
+
+def visible_tokens(tokens: DataFrame, request: str, order: str, delta: str, tags: tuple[str, str] = CALL_TAGS) -> DataFrame:
+    """``request, place, token``: an answer's tokens less those of calls in it.
+
+    From the token that completes an opening tag to the one that completes the
+    closing tag none is shown; what came of a tag before it was complete has been
+    shown. An answer without a closing tag ends at the opening one. The tokens of
+    one answer, which has a bounded length, meet in one row.
+    """
+    opening, closing = (F.lit(t) for t in tags)
+    keep = max(len(t) for t in tags) - 1
+    ordered = tokens.groupBy(request).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(delta, F.lit("")).alias("t")))), lambda x: x["t"]).alias("ts"))
+
+    def step(state: Column, token: Column) -> Column:
+        text = F.concat(state["tail"], token)
+        opens = state["hidden"] | F.contains(text, opening)
+        # A closing tag counts after the opening one only.
+        rest = F.when(state["hidden"], text).otherwise(F.substring_index(text, tags[0], -1))
+        closes = opens & F.contains(rest, closing)
+        tail = F.when(closes, F.substring_index(rest, tags[1], -1)).when(opens, F.right(rest, F.lit(keep))).otherwise(F.right(text, F.lit(keep)))
+        shown = F.when(opens, state["shown"]).otherwise(F.concat(state["shown"], F.array(token)))
+        return F.struct(tail.alias("tail"), (opens & ~closes).alias("hidden"), shown.alias("shown"))
+
+    start = F.struct(F.lit("").alias("tail"), F.lit(False).alias("hidden"), F.array().cast("array<string>").alias("shown"))
+    return ordered.select(request, F.posexplode(F.aggregate("ts", start, step, lambda s: s["shown"])).alias("place", "token"))

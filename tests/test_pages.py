@@ -91,3 +91,32 @@ def test_any_sections(spark):
         want = "O\n1\n\n" + "\n\n".join((f"{h}\nh\n" if h == "T" else f"{h}\n") + "\n".join(held[h]) for h in order)
         row = spark.createDataFrame([([str(i) for i in range(1, 13)],)], "lines array<string>")
         assert row.select(pages.profile(F.col("lines"), first, order, "O")).first()[0] == want
+
+
+def test_read_pages(spark):
+    from papyra.operators import extract
+
+    held = spark.createDataFrame([("https://h/a/", ["## Title", "body text", "### Sub"]), ("https://h/e", []), ("https://h/n", None)], "url string, lines array<string>")
+    asked = spark.createDataFrame([(1, "https://h/a#x", 0), (2, "https://h/a", 10), (3, "https://h/a", 500), (4, "https://h/zzz", 0), (5, "https://h/e", 0), (6, None, 0), (7, "https://h/a", 15)], "n int, url string, offset int")
+    got = {r["n"]: r["piece"] for r in extract.read_pages(asked, held, 10).collect()}
+    text = "TITLE\nbody text\n### Sub"
+    assert got == {
+        1: text[:10] + "\n\n[Continues at offset 10.]", 2: text[10:20] + "\n\n[Continues at offset 20.]", 3: "No more content.", 4: extract.NOT_FOUND, 5: "No more content.", 6: extract.NOT_FOUND,
+        7: text[15:],
+    }
+
+
+def test_hidden_calls(spark):
+    from papyra.streaming import serving
+
+    streams = {
+        1: ["a ", "<tool_call>", "x", "</tool_call>", " b"],
+        2: ["a<tool", "_call>x</to", "ol_call>", "c", "<tool_call>never closed", "d"],
+        3: ["plain </tool_call> text", None, "end"],
+        4: ["<tool_call>x</tool_call>kept?", "yes", "<tool_call>", "y", "</tool_call>", "z"],
+    }
+    rows = [(i, n, t) for i, ts in streams.items() for n, t in enumerate(ts)]
+    got = {}
+    for r in serving.visible_tokens(spark.createDataFrame(rows, "id int, n int, t string").repartition(3), "id", "n", "t").orderBy("id", "place").collect():
+        got.setdefault(r["id"], []).append(r["token"])
+    assert got == {1: ["a ", " b"], 2: ["a<tool", "c"], 3: ["plain </tool_call> text", "", "end"], 4: ["yes", "z"]}
